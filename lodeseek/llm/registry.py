@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, weak_quality
+from . import bpe, feistel_shards, imatch, langid, license_scan, matroska, mixing, setsketch, url_rules, weak_quality
 from .common import table
 
+#: The url rules of op3.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,9 +31,45 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rules_frame(spark, URL_RULES), "page_id")
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id")
+
+
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_shards.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)
