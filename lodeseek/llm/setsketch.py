@@ -247,3 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.join(per, "node").select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id stands in more than one row."""
+    return (docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1) > 1
