@@ -2,36 +2,71 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import langid, weak_quality
+from lodeseek.cluster import ship
+from lodeseek.llm import bpe, langid, mixing, setsketch, weak_quality
+from lodeseek.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with one that is hardly likely, go."""
-    found = langid.identify(docs.select(*COLUMNS), *[c for c in COLUMNS if c != "text"], "text")
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.REJECT_BELOW)).select(*COLUMNS)
+    ship(spark)
+    found = langid.identify(docs.select(*COLUMNS), *COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (found["score"] >= langid.REJECT_BELOW)).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer does not keep go."""
+    ship(spark)
     return weak_quality.classify(docs.select(*COLUMNS), *COLUMNS).where("kept").select(*COLUMNS)
 
 
-STAGES = [("language ID", language), ("quality classifier", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one of the least id."""
+    ship(spark)
+    found = setsketch.near_duplicates(docs.select("doc_id", "text"))
+    # rows of one id and text are copies of each other, too: one of them stays
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id"]) if setsketch.repeats(docs) else kept
 
-#: The fitted models of the first stages cannot be expressed in SQL.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes its words, to the nearest whole; those that it hardly takes go."""
+    ship(spark)
+    mixture, placed = mixing.mixture(docs.select("doc_id", "text", "source"))
+    words = mixture.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    times = placed.join(words, "uid").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    copies = docs.select(*COLUMNS).join(times.groupBy("doc_id").agg(F.max("times").alias("times")), "doc_id")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row of the mix."""
+    ship(spark)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id")
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", quality),
+    ("near-dedup", near_dedup),
+    ("mixing to target weights", mix),
+    ("byte-level BPE", encode),
+]
+
+#: The fitted models of the first two stages cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodeseek.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage")
