@@ -5,11 +5,11 @@ exponential variable over the set, so registers of a union are maxima of registe
 with about their Jaccard similarity. Bands of register values propose pairs; a joint likelihood over which of two
 registers is the larger drops hopeless ones; the rest is verified on the full sets. Links become components.
 
-Copies meet first: documents of one word sequence form a class, which has one sketch. Candidates within a bucket are
-never paired all with all. A bucket's members are set against one leader. Who is linked to it is in its component. Who
-is not goes on to the bucket's next round with a new leader, along with those linked members that could still link to
-them: similarity distance is a metric, so a member nearer to the leader than (distance of the other - 0.15) cannot.
-Buckets with nobody left end; no candidate is dropped.
+Copies meet first: documents of one word sequence form a class, which has one sketch. Only small
+buckets are paired within. A larger bucket's members are set against one leader. Who is linked to it is in its component.
+Who is not goes on to the next round, along with those linked members that could still link to them: distance is a
+metric, so a member nearer to the leader than (distance of the other - 0.15) cannot. What is left over of a bucket is
+paired if it is a handful, else dealt out anew by the members' other bands; no candidate is dropped.
 
 Defined results: a null text, or one without words, has an empty set and no link; texts with fewer words than a
 shingle are one shingle; repeated rows each get their row, with the component of their class; a null doc_id
@@ -41,6 +41,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 HOPELESS = 0.50
 #: Buckets of up to so many classes are paired within; larger ones go by leaders.
 SMALL = 8
+#: In later rounds buckets of up to so many are paired within, so each class has a bounded number of pairs. After LEVELS
+#: rounds, buckets that are still larger are paired within, too: no candidate is ever dropped.
+PAIRED, LEVELS = 96, 6
 
 _FACTORS = splitmix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
@@ -167,47 +170,61 @@ def similarities(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
 _LINKED = f"common * 100 >= (sizes - common) * {LINK}"
 
 
-def links(classes: DataFrame, texts: DataFrame, most_rounds: int = 64) -> DataFrame:
+def _buckets(members: DataFrame) -> DataFrame:
+    """bucket, used, node, n and lead of the members(bucket, used, node) of buckets with company; equal buckets count once."""
+    whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
+    one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "lead")
+    return members.join(one, "bucket").select("bucket", "used", "node", "n", "lead")
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    x, y = held.select("bucket", F.col("node").alias("a")), held.select("bucket", F.col("node").alias("b"))
+    return x.join(y, "bucket").where("a < b").select("a", "b")
+
+
+def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of classes at the threshold.
 
     classes(node, doc_id, n_shingles, regs), a row for each distinct word sequence; texts(doc_id, text) has theirs."""
     keys = classes.select("node", "regs").mapInArrow(_banded, "node long, keys array<bigint>")
     members = keys.select("node", F.explode("keys").alias("key"))
-    # most keys have one member only, and end here; the same members under several keys are one bucket
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
-    one = buckets.groupBy("n", "lead", "mark").agg(F.min("key").alias("key"))
-    held = written(members.join(one, "key").select(F.col("key").alias("bucket"), "node", "n", "lead"), "buckets")
-
-    near = held.where(F.col("n") <= SMALL)
-    small = near.alias("x").join(near.alias("y"), F.expr("x.bucket = y.bucket AND x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = held.where(F.col("n") > SMALL).select("bucket", "node", "lead")
-    stars = large.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    pairs = written(small.union(stars).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
-    found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    found = written(similarities(pairs, classes, sets), "similar")
-    out = found.where(_LINKED).select("a", "b")
-
-    for _ in range(most_rounds):
+    # most keys have one member only, and end here
+    held = written(_buckets(members.select(F.col("key").alias("bucket"), F.array("key").alias("used"), "node")), "buckets")
+    sets = out = None
+    limit = small
+    for level in range(levels + 1):
+        last = level == levels
+        few = held if last else held.where(F.col("n") <= limit)
+        large = held.where(F.col("n") > limit)
+        stars = large.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        pairs = _pairs(few) if last else _pairs(few).union(stars)
+        pairs = written(pairs.distinct(), "pairs")
+        if sets is None:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
+            found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+            sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        found = written(similarities(pairs, classes, sets), "similar")
+        linked = found.where(_LINKED).select("a", "b")
+        out = linked if out is None else out.union(linked)
+        if last:
+            break
         # how each member stands to its bucket's leader: linked, or apart; unknown similarities are hopeless ones
-        stands = large.where("node != lead").join(found.select(F.col("a").alias("lead"), F.col("b").alias("node"), "sizes", "common"), ["lead", "node"], "left")
         far = F.lit(1.0) - F.col("common") / (F.col("sizes") - F.col("common"))
-        stands = stands.select("bucket", "node", F.coalesce(F.expr(_LINKED), F.lit(False)).alias("linked"), F.coalesce(far, F.lit(1.0)).alias("far"))
-        per = stands.groupBy("bucket").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest"), F.min(F.when(~F.col("linked"), F.col("node"))).alias("next"))
-        # nobody is left where all are linked; else the linked ones stay that lie within reach of one who is not
-        left = stands.join(per.where("next IS NOT NULL"), "bucket").where(~F.col("linked") | (F.col("far") + (100 - LINK) / 100 + 1e-9 >= F.col("nearest")))
-        left = left.select("bucket", "node", F.col("next").alias("lead"))
-        large = written(left, "left")
-        pairs = large.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        if large.where("node != lead").isEmpty():
-            return out
-        found = written(similarities(pairs, classes, sets), "similar")
-        out = out.union(found.where(_LINKED).select("a", "b"))
-    # whatever adversarial buckets are left: all their pairs, dealt by pair
-    rest = large.alias("x").join(large.alias("y"), F.expr("x.bucket = y.bucket AND x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return out.union(similarities(rest, classes, sets).where(_LINKED).select("a", "b"))
+        stands = large.where("node != lead").join(found.select(F.col("a").alias("lead"), F.col("b").alias("node"), "sizes", "common"), ["lead", "node"], "left")
+        stands = stands.select("bucket", "used", "node", F.coalesce(F.expr(_LINKED), F.lit(False)).alias("linked"), F.coalesce(far, F.lit(1.0)).alias("far"))
+        per = stands.where("NOT linked").groupBy("bucket").agg(F.min("far").alias("nearest"))
+        # nobody is left where all are linked; else those linked ones stay, too, that lie within reach of one who is not
+        left = stands.join(per, "bucket").where(~F.col("linked") | (F.col("far") + (100 - LINK) / 100 + 1e-9 >= F.col("nearest"))).select("bucket", "used", "node")
+        left = written(_buckets(left), "left")
+        if left.isEmpty():
+            break
+        # a handful is paired in the next round; a crowd is dealt out by the members' other bands, in one of which all but
+        # few in a million links show again
+        crowd = left.where(F.col("n") > paired).select("bucket", "used", "node").join(members, "node").where(~F.array_contains("used", F.col("key")))
+        crowd = crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node")
+        held, limit = written(left.where(F.col("n") <= paired).union(_buckets(crowd)), "buckets"), paired
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
