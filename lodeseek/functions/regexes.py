@@ -139,3 +139,11 @@ def literal_prefix(pattern: str) -> str:
         out.append(c)
         i += step
     return "".join(out)
+
+
+def stays_in_line(pattern: str) -> bool:
+    """Whether it is plain that no match can hold a line end; unsure is False."""
+    if re.search(r"\[\^|\[:|&&|\(\?[a-zA-Z-]*[sx]|[\r\n]", pattern):
+        return False
+    bare = re.sub(r"\\[dwbBAz.+*?()\[\]{}|^$/\\-]", "", pattern)
+    return "\\" not in bare and not re.search(r"\[[^\]]*[\x00-\x1f!-/]-", bare)

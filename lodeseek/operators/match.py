@@ -1,7 +1,8 @@
 """Text search as expressions: a row of text in, a row for each hit out.
 
-A text is split at its matches; gaps and matches alternate, so one pass over them gives every hit's line and byte
-column. No Python runs, except for patterns that can match nothing at all, whose empty hits follow rules of their own.
+Matches are marked in the text, the marked text is split into lines, and what stands before a mark in its line gives
+its byte column. Long texts are split at their matches instead, and walked through once. No Python runs, except for
+patterns that can match nothing at all, whose empty hits follow rules of their own.
 """
 
 from __future__ import annotations
@@ -37,35 +38,96 @@ def place(text: Column, byte_offset: Column) -> tuple[Column, Column]:
     return line_and_col(F.decode(F.substring(raw, F.lit(1), F.least(byte_offset, F.octet_length(text))), "UTF-8"))
 
 
-def _hits(gaps: Column, found: Column) -> Column:
-    """Hits of a text from the gaps around its matches and the matches, in one pass."""
+#: Two characters that no text holds (Unicode reserves them from exchange); texts that do are searched the slow way.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+_MARK_BYTES = 3
+#: Texts of more bytes are searched the slow way, too: marks are counted from the start of their line.
+MARKED_BYTES = 1 << 16
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _none() -> Column:
+    return F.array().cast(_HITS)
+
+
+def _count(s: Column, mark: str) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
+
+
+def _head(line: Column, mark: str, k: Column) -> Column:
+    """What stands before the k-th mark."""
+    return F.call_function("substring_index", line, F.lit(mark), k)
+
+
+def _numbered(line: Column, mark: str, body) -> Column:
+    """body(k) for the k-th mark of a line, from 1."""
+    return _bound(_count(line, mark), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), body)).otherwise(F.transform(F.array().cast("array<int>"), body)))
+
+
+def _hit(line1: Column, col1: Column, line2: Column, col2: Column, text: Column) -> Column:
+    return F.struct(line1.alias("line_start"), col1.alias("col_start"), line2.alias("line_end"), col2.alias("col_end"), text.alias("matched_text"))
+
+
+def _within_lines(marked: Column) -> Column:
+    """Hits of a marked text none of which crosses a line end."""
+
+    def one(line: Column, i: Column, k: Column) -> Column:
+        found = F.substring_index(_head(line, CLOSE, k), OPEN, -1)
+        # k - 1 marks of either kind stand before it
+        start = F.octet_length(_head(line, OPEN, k)) - (k - 1) * (2 * _MARK_BYTES)
+        return _bound(F.struct(found.alias("found"), start.alias("start")), lambda x: _hit(i + 1, x["start"], i + 1, x["start"] + F.octet_length(x["found"]), x["found"]))
+
+    return F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: _numbered(line, OPEN, lambda k: one(line, i, k))))
+
+
+def _across_lines(marked: Column, found: Column) -> Column:
+    """Hits of a marked text that may cross line ends: the n-th opening mark belongs to the n-th closing one."""
+
+    def places(mark: str, other: str) -> Column:
+        def one(line: Column, i: Column, k: Column) -> Column:
+            return _bound(_head(line, mark, k), lambda head: F.struct((i + 1).alias("line"), (F.octet_length(head) - (k - 1 + _count(head, other)) * _MARK_BYTES).alias("col")))
+
+        return F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: _numbered(line, mark, lambda k: one(line, i, k))))
+
+    ends = F.zip_with(places(CLOSE, OPEN), found, lambda e, m: F.struct(e.alias("at"), m.alias("found")))
+    return F.zip_with(places(OPEN, CLOSE), ends, lambda s, e: _hit(s["line"], s["col"], e["at"]["line"], e["at"]["col"], e["found"]))
+
+
+def _walked(gaps: Column, found: Column) -> Column:
+    """Hits of a text from the gaps around its matches and the matches, in one pass: linear in long texts, slow for each hit."""
 
     def moved(at: Column, s: Column) -> Column:
         lines, col = line_and_col(s)
         return F.struct((at["line"] + lines).alias("line"), F.when(lines == 0, at["col"] + col).otherwise(col).alias("col"))
 
     def step(acc: Column, piece: Column) -> Column:
-        # the place behind the gap is bound by a one-element aggregate, so that it is worked out once
-        return F.aggregate(
-            F.array(moved(acc["at"], piece["gap"])), acc,
-            lambda a, start: F.aggregate(
-                F.array(moved(start, piece["found"])), a,
-                lambda b, end: F.struct(
-                    end.alias("at"),
-                    F.array_append(b["out"], F.struct(start["line"].alias("line_start"), start["col"].alias("col_start"), end["line"].alias("line_end"), end["col"].alias("col_end"), piece["found"].alias("matched_text"))).alias("out"),
-                ),
-            ),
-        )
+        places = lambda start: _bound(moved(start, piece["found"]), lambda end: F.struct(end.alias("at"), F.array_append(acc["out"], _hit(start["line"], start["col"], end["line"], end["col"], piece["found"])).alias("out")))
+        return _bound(moved(acc["at"], piece["gap"]), places)
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    start = F.struct(F.struct(F.lit(1).alias("line"), F.lit(0).alias("col")).alias("at"), F.array().cast(_HITS).alias("out"))
+    start = F.struct(F.struct(F.lit(1).alias("line"), F.lit(0).alias("col")).alias("at"), _none().alias("out"))
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
-def regex_hits(text: Column, java: str) -> Column:
-    """Hits of a Java pattern that never matches nothing, over the whole text."""
-    pieces = F.array(F.struct(F.split(text, java, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("found")))
-    return F.get(F.transform(pieces, lambda p: _hits(p["gaps"], p["found"])), F.lit(0))
+def _markable(text: Column) -> Column:
+    return (F.octet_length(text) <= MARKED_BYTES) & ~F.contains(text, F.lit(OPEN)) & ~F.contains(text, F.lit(CLOSE))
+
+
+def _all(text: Column, java: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(java), F.lit(0))
+
+
+def regex_hits(text: Column, java: str, one_line: bool = False, marked: Column | None = None) -> Column:
+    """Hits of a Java pattern that never matches nothing, over the whole text. one_line: no match holds a line end."""
+    if marked is None:
+        marked = F.regexp_replace(text, java, f"{OPEN}$0{CLOSE}")
+    fast = _within_lines(marked) if one_line else _across_lines(marked, _all(text, java))
+    slow = _bound(F.struct(F.split(text, java, -1).alias("gaps"), _all(text, java).alias("found")), lambda p: _walked(p["gaps"], p["found"]))
+    return F.when(_markable(text), fast).otherwise(slow)
 
 
 def _delimited(text: Column, java: str) -> Column:
@@ -78,22 +140,23 @@ def _delimited(text: Column, java: str) -> Column:
         after = F.when(F.get(gaps, i + 1) != "", first(F.get(gaps, i + 1))).otherwise(F.coalesce(first(F.get(found, i + 1)), F.lit("")))
         return free(before) & free(after)
 
-    # gaps and matches are bound once, by a one-element array
-    pieces = F.array(F.struct(F.split(text, java, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("found")))
-    return F.get(F.transform(pieces, lambda p: F.filter(_hits(p["gaps"], p["found"]), lambda _, i: alone(p["gaps"], p["found"], i))), F.lit(0))
+    pieces = F.struct(F.split(text, java, -1).alias("gaps"), _all(text, java).alias("found"), regex_hits(text, java, True).alias("hits"))
+    return _bound(pieces, lambda p: F.filter(p["hits"], lambda _, i: alone(p["gaps"], p["found"], i)))
 
 
 def plain_hits(text: Column, needle: str, case_insensitive: bool = False, whole_word: bool = False) -> Column:
     """Hits of a text within lines; a whole word has white space or an edge of its line on either side."""
     if "\n" in needle or needle == "":
-        return F.array().cast(_HITS)
+        return _none()
     literal = regexes.escape(needle)
     if case_insensitive:
-        return _delimited(text, f"(?iu){literal}") if whole_word else regex_hits(text, f"(?iu){literal}")
+        return _delimited(text, f"(?iu){literal}") if whole_word else regex_hits(text, f"(?iu){literal}", True)
     if whole_word:
-        return regex_hits(text, rf"(?U)(?<!\S){literal}(?!\S)")
+        found = regex_hits(text, rf"(?U)(?<!\S){literal}(?!\S)", True)
+    else:
+        found = regex_hits(text, literal, True, F.replace(text, F.lit(needle), F.lit(OPEN + needle + CLOSE)))
     # the cheap test keeps texts without the needle from being split
-    return F.when(F.contains(text, F.lit(needle)), regex_hits(text, literal)).otherwise(F.array().cast(_HITS))
+    return F.when(F.contains(text, F.lit(needle)), found).otherwise(_none())
 
 
 def token_pattern(pattern: str) -> str:
@@ -153,8 +216,8 @@ def hits_column(files: DataFrame, conditions: SearchConditions, text: str = "tex
     if regexes.may_be_empty(files.sparkSession, java):
         return _python_hits(java)(col)
     sure = regexes.literal_prefix(conditions.pattern)
-    hits = regex_hits(col, java)
-    return F.when(F.contains(col, F.lit(sure)), hits).otherwise(F.array().cast(_HITS)) if sure else hits
+    hits = regex_hits(col, java, regexes.stays_in_line(conditions.pattern))
+    return F.when(F.contains(col, F.lit(sure)), hits).otherwise(_none()) if sure else hits
 
 
 def context(lines: Column, hit: Column, n: int) -> list[Column]:

@@ -318,10 +318,10 @@ def _j6(spark, sf_dir):
     return diff.innermost(p, scopes, ["f"]).withColumnRenamed("at", "pos")
 
 
-@query("j7_asof_declaration", """WITH u AS (SELECT event_id, user_id, epoch_ms(ts) AS pos FROM events WHERE event_type <> 'signup'), d AS (SELECT user_id, epoch_ms(ts) AS decl_end, max(event_id) AS t FROM events WHERE event_id % 7 = 0 GROUP BY ALL)
+@query("j7_asof_declaration", """WITH u AS (SELECT event_id, user_id, epoch_us(ts) AS pos FROM events WHERE event_type <> 'signup'), d AS (SELECT user_id, epoch_us(ts) AS decl_end, max(event_id) AS t FROM events WHERE event_id % 7 = 0 GROUP BY ALL)
 SELECT u.event_id, u.user_id, CAST((SELECT arg_max(t, decl_end) FROM d WHERE d.user_id = u.user_id AND d.decl_end < u.pos) AS VARCHAR) AS decl_type FROM u""")
 def _j7(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.lit("events").alias("path"), F.col("user_id").cast("string").alias("name"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type")
+    e = table(spark, sf_dir, "events").select("event_id", F.lit("events").alias("path"), F.col("user_id").cast("string").alias("name"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ms"), "event_type")
     uses = e.where("event_type <> 'signup'").select("path", "name", F.col("ms").alias("start"), "event_id", "user_id")
     decl = e.where("event_id % 7 = 0").groupBy("path", "name", F.col("ms").alias("decl_end")).agg(F.max("event_id").cast("string").alias("decl_type"))
     return diff.as_of(uses, decl, ["path"]).select("event_id", "user_id", F.col("type").alias("decl_type"))
@@ -409,9 +409,9 @@ def _w4(spark, sf_dir):
     return windows.keep_first(table(spark, sf_dir, "documents").select(F.col("text").alias("pattern"), "doc_id"), ["pattern"], ["doc_id"])
 
 
-@query("w5_recent", "SELECT user_id, max(epoch_ms(ts)) AS used FROM events GROUP BY user_id ORDER BY used DESC, user_id LIMIT 30")
+@query("w5_recent", "SELECT user_id, max(epoch_us(ts)) AS used FROM events GROUP BY user_id ORDER BY used DESC, user_id LIMIT 30")
 def _w5(spark, sf_dir):
-    return windows.recent(table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("used")), "user_id", "used")
+    return windows.recent(table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("used")), "user_id", "used")
 
 
 @query("w6_renumber", "SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS id FROM nation")
