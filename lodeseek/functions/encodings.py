@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,8 +160,6 @@ def decoded(files: DataFrame, preference: str = AUTO) -> DataFrame:
     """files(content, ...) with text and text_encoding instead of content; files that are no text are left out.
 
     Well-formed UTF-8 without marks stays in the JVM; only the rest goes to Python."""
-    import pandas as pd
-
     from ..operators.filters import looks_binary as binary
 
     @F.pandas_udf("struct<text:string,text_encoding:string>")

@@ -454,5 +454,145 @@ def _x4(spark, sf_dir):
     return diff.positional(docs.select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("the"), F.lit("THE")).alias("b")), "a", "b", "doc_id")
 
 
+# ---------------------------------------------------------------- syntax
+
+_SCRIPTS_SQL = "scripts AS (SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS text FROM pages)"
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of every page as a file."""
+    body = F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), body.alias("text"))
+
+
+def _syntax(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    hits = search.search(scripts(spark, sf_dir), SearchConditions("pages", pattern, "JavaScript"))
+    return hits.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("page_id"), "line_start", "col_start", "col_end", "matched_text")
+
+
+def _script_hits_sql(re: str) -> str:
+    return f"""WITH {_SCRIPTS_SQL}, m AS (SELECT page_id, text, unnest(regexp_extract_all(text, '{re}')) AS matched_text FROM scripts)
+SELECT page_id, 1 AS line_start, CAST(strlen(string_split(text, matched_text)[1]) AS INT) AS col_start, CAST(strlen(string_split(text, matched_text)[1]) + strlen(matched_text) AS INT) AS col_end, matched_text FROM m"""
+
+
+query("m7_syntax_call", _script_hits_sql("track[(][0-9]+[)]"))(lambda s, d: _syntax(s, d, "track($N)"))
+query("m7_syntax_declaration", _script_hits_sql('var t="</p>"'))(lambda s, d: _syntax(s, d, "var $NAME = $VALUE"))
+query("m9_same_name", "SELECT n_nationkey, 'f(' || n_nationkey || ', ' || n_nationkey || ')' AS matched_text FROM nation")(
+    lambda s, d: search.search(
+        table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), F.format_string("f(%d, %d)\nf(%d, x)\n", "n_nationkey", "n_nationkey", "n_nationkey").alias("text")),
+        SearchConditions("nation", "f($X, $X)", "Python"),
+    ).select(F.substring_index("path", ".", 1).cast("int").alias("n_nationkey"), "matched_text")
+)
+
+
+@query("x1_rewrite", f"WITH {_SCRIPTS_SQL} SELECT page_id, replace(text, 'track(', 'seen(') AS after_, 1 AS replacements FROM scripts WHERE contains(text, 'track(')")
+def _x1(spark, sf_dir):
+    """Rewrites of the files with hits (x2), with the edits of each (a7)."""
+    from .operators.syntax import spark as syntax
+
+    files = scripts(spark, sf_dir).withColumn("source_language", F.lit("JavaScript"))
+    out = syntax.rewritten(files, "track($N)", "seen($N)", "JavaScript")
+    return out.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("page_id"), F.col("after").alias("after_"), "replacements")
+
+
+@query("r3_receiver_types", "SELECT n_nationkey, 'Type' || n_regionkey AS hint FROM nation")
+def _r3(spark, sf_dir):
+    source = F.format_string("class A { void f(Type%d it) { for (int i = 0; i < 3; i++) { it.go(i); } } }", "n_regionkey")
+    files = table(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".java")).alias("path"), source.alias("text"))
+    hits = search.search(files, SearchConditions("nation", "$RECV.go($$$ARGS)", "Java"))
+    return hits.select(F.substring_index("path", ".", 1).cast("int").alias("n_nationkey"), F.col("recv_type_hint").alias("hint"))
+
+
+@query("r_declarations_join", "SELECT n_nationkey, 'Type' || n_regionkey AS hint FROM nation")
+def _r_join(spark, sf_dir):
+    """Declarations as rows, and the last one before a use by as-of join (j6 and j7 of receiver types)."""
+    from .operators.syntax import spark as syntax
+
+    source = F.format_string("class A { void f() { Other it = null; Type%d it = make(); it.go(); } }", "n_regionkey")
+    files = table(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".java")).alias("path"), F.lit("Java").alias("source_language"), source.alias("text"))
+    decl = syntax.declaration_rows(files).select("path", "name", "decl_end", "decl_type")
+    uses = files.select("path", F.lit("it").alias("name"), (F.instr("text", "it.go") - 1).alias("start"))
+    return diff.as_of(uses, decl, ["path"]).select(F.substring_index("path", ".", 1).cast("int").alias("n_nationkey"), F.col("type").alias("hint"))
+
+
+# ---------------------------------------------------------------- suggestions, explanations, dimensions
+
+_PRESETS_SQL = ", ".join("('{}', {}, '{}', '{}')".format(lang, i, p.replace("'", "''"), n) for lang in languages.LANGUAGES for i, (n, p) in enumerate(languages.presets(lang)))
+
+
+@query("p5_presets", f"SELECT lang, no, pattern, label FROM (VALUES {_PRESETS_SQL}) AS t(lang, no, pattern, label)")
+def _p5(spark, sf_dir):
+    rows = [(lang, i, p, n) for lang in languages.LANGUAGES for i, (n, p) in enumerate(languages.presets(lang))]
+    return spark.createDataFrame(rows, "lang string, no int, pattern string, label string")
+
+
+@query("p1_suggest")
+def _p1(spark, sf_dir):
+    """Patterns that fit the pages' scripts, with how many scripts each fits; of distinct scripts, as they have few shapes."""
+    from .operators import suggest
+
+    shapes = scripts(spark, sf_dir).select(F.regexp_replace("text", "[0-9]+", "0").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return suggest.suggestions(shapes.select("n", "text"), "n", "text", "JavaScript").select("n", "position", "pattern", "description", "match_count")
+
+
+@query("p6_regex_tokens", """SELECT * FROM (VALUES (0, 'anchor', '^', 0), (1, 'group', '(', 0), (2, 'literal', 'ab', 1), (3, 'alternation', '|', 1), (4, 'class', '[0-9]', 1), (5, 'quantifier', '+', 1), (6, 'group_end', ')', 0), (7, 'quantifier', '{2}', 0), (8, 'anchor', '$', 0)) AS t(no, kind, token, depth)""")
+def _p6(spark, sf_dir):
+    from .sql import register
+
+    register(spark)
+    return spark.sql("SELECT no, kind, token, depth FROM regex_tokens('^(ab|[0-9]+){2}$')")
+
+
+@query("u2_union_dedupe", "SELECT pattern, arg_min(origin, pos) AS origin FROM (SELECT n_name AS pattern, 'nation' AS origin, n_nationkey AS pos FROM nation UNION ALL SELECT r_name, 'region', 100 + r_regionkey FROM region UNION ALL SELECT n_name, 'again', 200 + n_nationkey FROM nation) GROUP BY pattern")
+def _u2(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lists = n.select(F.col("n_name").alias("pattern"), F.lit("nation").alias("origin"), F.col("n_nationkey").alias("pos"))
+    lists = lists.unionByName(r.select(F.col("r_name").alias("pattern"), F.lit("region").alias("origin"), (F.col("r_regionkey") + 100).alias("pos")))
+    lists = lists.unionByName(n.select(F.col("n_name").alias("pattern"), F.lit("again").alias("origin"), (F.col("n_nationkey") + 200).alias("pos")))
+    return windows.keep_first(lists, ["pattern"], ["pos"]).select("pattern", "origin")
+
+
+@query("j2_semi", f"WITH {_TREE_SQL} SELECT path FROM tree WHERE ext IN ('go', 'kt')")
+def _j2(spark, sf_dir):
+    # a few patterns of one filter
+    globs = spark.createDataFrame([(p,) for p in filters.glob_patterns("*.go;*.kt")], "pattern string")
+    return tree(spark, sf_dir).join(F.broadcast(globs), F.expr("regexp_like(substring_index(path, '/', -1), pattern)"), "left_semi").select("path")
+
+
+# ---------------------------------------------------------------- sources, decoding, sinks
+
+
+@query("s1_scan")
+def _s1(spark, sf_dir):
+    from .sources import tree as files
+
+    return files.scan(spark, sf_dir).select("path", "length")
+
+
+@query("d1_decode", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'Utf16Be' ELSE 'Utf8' END AS text_encoding, md5(text) AS digest FROM documents")
+def _d1(spark, sf_dir):
+    """Texts as UTF-8, UTF-8 with a mark (d2) and UTF-16 with a mark, decoded."""
+    from .functions import encodings
+
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+    files = table(spark, sf_dir, "documents").select("doc_id", raw.alias("content"))
+    return encodings.decoded(files).select("doc_id", "text_encoding", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("k4_json")
+def _k4(spark, sf_dir):
+    """Hits nested by file, as JSON."""
+    files = search.nested(search.search(tree(spark, sf_dir), _plain("worthless")))
+    return files.select("path", F.to_json(F.struct("path", "source_language", "text_encoding", "matches")).alias("json"))
+
+
+@query("t1_hits_by_source", f"WITH h AS ({_line_hits_sql('er')}) SELECT lang, source, count(*) AS hits FROM h JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)")
+def _t1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    hits = docs.select("lang", "source", F.size(match.hits_column(docs, _plain("er"))).alias("n"))
+    return hits.rollup("lang", "source").agg(F.sum("n").alias("hits")).where("hits > 0")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.capped_search(tree(spark, sf_dir), _plain("er"), 100_000).select("path", *_HIT_COLUMNS, F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
