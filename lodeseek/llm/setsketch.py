@@ -6,10 +6,10 @@ with about their Jaccard similarity. Bands of register values propose pairs; a j
 registers is the larger drops hopeless ones; the rest is verified on the full sets. Links become components.
 
 Copies meet first: documents of one word sequence form a class, which has one sketch. Only small
-buckets are paired within. A larger bucket's members are set against one leader. Who is linked to it is in its component.
-Who is not goes on to the next round, along with those linked members that could still link to them: distance is a
-metric, so a member nearer to the leader than (distance of the other - 0.15) cannot. What is left over of a bucket is
-paired if it is a handful, else dealt out anew by the members' other bands; no candidate is dropped.
+buckets are paired within. A larger bucket's members are set against one leader; who is linked to it joins its component.
+Only members of different components need further tests, so buckets end that lie in one component, as those of many near
+copies do after a turn or two. What is left is paired if it is a handful, else dealt out anew by the members' other
+bands; no candidate is dropped.
 
 Defined results: a null text, or one without words, has an empty set and no link; texts with fewer words than a
 shingle are one shingle; repeated rows each get their row, with the component of their class; a null doc_id
@@ -37,13 +37,13 @@ REGISTERS = BANDS * ROWS
 #: Base of the registers' spacing, rate of the exponential variables, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Pairs whose likeliest similarity is lower are not verified. With 168 registers its error is about 0.04, so they are
-#: nowhere near the threshold, and too far apart to have a common neighbour at the threshold.
-HOPELESS = 0.50
-#: Buckets of up to so many classes are paired within; larger ones go by leaders.
-SMALL = 8
-#: In later rounds buckets of up to so many are paired within, so each class has a bounded number of pairs. After LEVELS
-#: rounds, buckets that are still larger are paired within, too: no candidate is ever dropped.
-PAIRED, LEVELS = 96, 6
+#: nowhere near the threshold.
+HOPELESS = 0.65
+#: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns.
+SMALL, TURNS = 6, 3
+#: What is left after the turns is paired within buckets of up to so many classes, so each has a bounded number of pairs;
+#: larger ones are dealt out by other bands. After LEVELS dealings they are paired, too: no candidate is ever dropped.
+PAIRED, LEVELS = 24, 4
 
 _FACTORS = splitmix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
@@ -171,60 +171,77 @@ _LINKED = f"common * 100 >= (sizes - common) * {LINK}"
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """bucket, used, node, n and lead of the members(bucket, used, node) of buckets with company; equal buckets count once."""
+    """The members(bucket, used, node) of buckets with company; buckets of equal members count once."""
     whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
-    one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "lead")
-    return members.join(one, "bucket").select("bucket", "used", "node", "n", "lead")
+    one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket").select("bucket", "used", "node")
 
 
-def _pairs(held: DataFrame) -> DataFrame:
-    x, y = held.select("bucket", F.col("node").alias("a")), held.select("bucket", F.col("node").alias("b"))
-    return x.join(y, "bucket").where("a < b").select("a", "b")
+def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader."""
+    here = held.withColumn("comp", F.col("node")) if found is None else held.join(found, "node", "left").select("bucket", "used", "node", F.coalesce("component", "node").alias("comp"))
+    # one order of all nodes in each turn, so that a node leads in most of its buckets
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
+    per = here.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead")).where("lo <> hi")
+    return here.join(per.select("bucket", "n", "lead"), "bucket")
 
 
-def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of classes at the threshold.
+def _all_pairs(here: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members in different components."""
+    x, y = here.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), here.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b")
+
+
+def _stars(here: DataFrame) -> DataFrame:
+    """Pairs of a bucket's leader and its members in other components."""
+    return here.where("comp <> lead.comp").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+
+
+def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, turns: int = TURNS, levels: int = LEVELS) -> DataFrame | None:
+    """node and component of the components that the links of all pairs of classes at the threshold make.
 
     classes(node, doc_id, n_shingles, regs), a row for each distinct word sequence; texts(doc_id, text) has theirs."""
     keys = classes.select("node", "regs").mapInArrow(_banded, "node long, keys array<bigint>")
     members = keys.select("node", F.explode("keys").alias("key"))
     # most keys have one member only, and end here
     held = written(_buckets(members.select(F.col("key").alias("bucket"), F.array("key").alias("used"), "node")), "buckets")
-    sets = out = None
-    limit = small
+    wanted = held.select("node").distinct()
+    ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
+    found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    tested = linked = found = None
+
+    def test(pairs: DataFrame) -> None:
+        """Verify pairs that were not tested before, and join the components of those linked."""
+        nonlocal tested, linked, found
+        new = pairs.distinct()
+        new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return
+        tested = new if tested is None else tested.union(new)
+        more = written(similarities(new, classes, sets).where(_LINKED).select("a", "b"), "linked")
+        if not more.isEmpty():
+            linked = more if linked is None else linked.union(more)
+            found = written(components(linked), "components")
+
     for level in range(levels + 1):
+        for turn in range(turns):
+            here = written(_open(held, found, level * turns + turn), "open")
+            if here.isEmpty():
+                return found
+            test(_all_pairs(here.where(F.col("n") <= small)).union(_stars(here.where(F.col("n") > small))))
+            held = here.where(F.col("n") > small).select("bucket", "used", "node")
+        here = written(_open(held, found, 0), "open")
+        if here.isEmpty():
+            return found
+        # a handful is paired; a crowd is dealt out by its members' other bands, in one of which all but few in a million
+        # links show again
         last = level == levels
-        few = held if last else held.where(F.col("n") <= limit)
-        large = held.where(F.col("n") > limit)
-        stars = large.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        pairs = _pairs(few) if last else _pairs(few).union(stars)
-        pairs = written(pairs.distinct(), "pairs")
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
-            found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-            sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        found = written(similarities(pairs, classes, sets), "similar")
-        linked = found.where(_LINKED).select("a", "b")
-        out = linked if out is None else out.union(linked)
-        if last:
-            break
-        # how each member stands to its bucket's leader: linked, or apart; unknown similarities are hopeless ones
-        far = F.lit(1.0) - F.col("common") / (F.col("sizes") - F.col("common"))
-        stands = large.where("node != lead").join(found.select(F.col("a").alias("lead"), F.col("b").alias("node"), "sizes", "common"), ["lead", "node"], "left")
-        stands = stands.select("bucket", "used", "node", F.coalesce(F.expr(_LINKED), F.lit(False)).alias("linked"), F.coalesce(far, F.lit(1.0)).alias("far"))
-        per = stands.where("NOT linked").groupBy("bucket").agg(F.min("far").alias("nearest"))
-        # nobody is left where all are linked; else those linked ones stay, too, that lie within reach of one who is not
-        left = stands.join(per, "bucket").where(~F.col("linked") | (F.col("far") + (100 - LINK) / 100 + 1e-9 >= F.col("nearest"))).select("bucket", "used", "node")
-        left = written(_buckets(left), "left")
-        if left.isEmpty():
-            break
-        # a handful is paired in the next round; a crowd is dealt out by the members' other bands, in one of which all but
-        # few in a million links show again
-        crowd = left.where(F.col("n") > paired).select("bucket", "used", "node").join(members, "node").where(~F.array_contains("used", F.col("key")))
-        crowd = crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node")
-        held, limit = written(left.where(F.col("n") <= paired).union(_buckets(crowd)), "buckets"), paired
-    return out
+        test(_all_pairs(here if last else here.where(F.col("n") <= paired)))
+        if not last:
+            crowd = here.where(F.col("n") > paired).select("bucket", "used", "node").join(members, "node").where(~F.array_contains("used", F.col("key")))
+            held = written(_buckets(crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node")), "buckets")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,7 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("n_shingles > 0")
     # a class is named by the 64-bit hash of its word sequence
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
-    found = written(components(written(links(classes, given), "links")), "components")
+    found = links(classes, given)
+    if found is None:
+        found = classes.select("node", F.col("node").alias("component"))
     least = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     per = least.join(named, "component").select("node", "component_id")
