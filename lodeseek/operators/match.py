@@ -43,6 +43,7 @@ OPEN, CLOSE = "\ufdd0", "\ufdd1"
 _MARK_BYTES = 3
 #: Texts of more bytes are searched the slow way, too: marks are counted from the start of their line.
 MARKED_BYTES = 1 << 16
+_BLOCK = 256
 
 
 def _bound(value: Column, body) -> Column:
@@ -109,8 +110,19 @@ def _walked(gaps: Column, found: Column) -> Column:
         return _bound(moved(acc["at"], piece["gap"]), places)
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    start = F.struct(F.struct(F.lit(1).alias("line"), F.lit(0).alias("col")).alias("at"), _none().alias("out"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"))
+
+    def block(all_: Column, acc: Column, b: Column) -> Column:
+        # arrays are copied when they grow, so hits are gathered in blocks
+        walked = F.aggregate(F.slice(all_, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["at"].alias("at"), _none().alias("out")), step)
+        return _bound(walked, lambda w: F.struct(w["at"].alias("at"), F.array_append(acc["out"], w["out"]).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(all_) - 1) / _BLOCK).cast("int")))
+        begin = F.struct(start.alias("at"), F.array().cast(f"array<{_HITS}>").alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, lambda acc, b: block(all_, acc, b), lambda a: a["out"]))
+
+    return _bound(pairs, whole)
 
 
 def _markable(text: Column) -> Column:
