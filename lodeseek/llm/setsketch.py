@@ -40,10 +40,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: nowhere near the threshold.
 HOPELESS = 0.65
 #: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns.
-SMALL, TURNS = 6, 3
+SMALL, TURNS = 6, 2
 #: What is left after the turns is paired within buckets of up to so many classes, so each has a bounded number of pairs;
 #: larger ones are dealt out by other bands. After LEVELS dealings they are paired, too: no candidate is ever dropped.
-PAIRED, LEVELS = 24, 4
+PAIRED, LEVELS = 24, 1
 
 _FACTORS = splitmix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
@@ -197,6 +197,18 @@ def _stars(here: DataFrame) -> DataFrame:
     return here.where("comp <> lead.comp").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
 
 
+def _joined(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    """node and component after more links(a, b), from those before: only components that the links join are worked on."""
+    if found is None:
+        return components(more)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    moved = written(components(ends), "moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = found.join(to, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return old.union(moved.join(found, "node", "left_anti").select("node", "component"))
+
+
 def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, turns: int = TURNS, levels: int = LEVELS) -> DataFrame | None:
     """node and component of the components that the links of all pairs of classes at the threshold make.
 
@@ -209,11 +221,11 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
     ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
     found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    tested = linked = found = None
+    tested = found = None
 
     def test(pairs: DataFrame) -> None:
         """Verify pairs that were not tested before, and join the components of those linked."""
-        nonlocal tested, linked, found
+        nonlocal tested, found
         new = pairs.distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
@@ -221,8 +233,7 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
         tested = new if tested is None else tested.union(new)
         more = written(similarities(new, classes, sets).where(_LINKED).select("a", "b"), "linked")
         if not more.isEmpty():
-            linked = more if linked is None else linked.union(more)
-            found = written(components(linked), "components")
+            found = written(_joined(found, more), "components")
 
     for level in range(levels + 1):
         for turn in range(turns):
