@@ -25,3 +25,12 @@ def ship(spark: SparkSession) -> None:
     target.write_bytes(packed.getvalue())
     sc.addPyFile(str(target))
     sc._lodeseek_shipped = True
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodeseek-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root

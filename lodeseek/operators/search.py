@@ -13,6 +13,7 @@ from ..plans.conditions import AST, PatternJob, SearchConditions
 from . import filters, match
 
 ORDER = ("path", "line_start", "col_start", "hit_no")
+COLUMNS = ("path", "source_language", "text_encoding", "hit_no", *match.HIT_COLUMNS, "span_lines_text", "context_before", "context_after", "recv_type_hint")
 
 
 def search(files: DataFrame, conditions: SearchConditions) -> DataFrame:
@@ -52,7 +53,7 @@ def capped_search(files: DataFrame, conditions: SearchConditions, most: int | No
     if conditions.search_mode == AST or not 0 < most <= SENT_HITS:
         return ordered(capped(search(files, conditions), most))
     first = capped(places(files, conditions), most)
-    return ordered(match.with_context(first, files, conditions.context_lines))
+    return ordered(match.with_context(first, files, conditions.context_lines).select(*COLUMNS))
 
 
 def ordered(hits: DataFrame) -> DataFrame:

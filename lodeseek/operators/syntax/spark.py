@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...cluster import checkpoint_folder
 from ...functions.languages import AUTO
 from ...functions.regexes import PatternError
 from ...plans.conditions import SearchConditions
@@ -139,6 +140,7 @@ def include_rows(files: DataFrame) -> DataFrame:
 
 def include_closure(files: DataFrame, depth: int = receivers.INCLUDE_DEPTH) -> DataFrame:
     """path, target, depth: which files each file takes in, directly or not, up to a depth; each once, at its least depth."""
+    checkpoint_folder(files.sparkSession)
     known = files.where(F.octet_length("text") <= receivers.INCLUDE_BYTES).select(F.col("path").alias("target"))
     edges = include_rows(files).join(known, "target", "left_semi").select("path", "target").distinct()
     step = edges.select(F.col("path").alias("via"), F.col("target").alias("next"))
@@ -146,7 +148,7 @@ def include_closure(files: DataFrame, depth: int = receivers.INCLUDE_DEPTH) -> D
     front = seen
     for d in range(2, depth + 1):
         more = front.join(step, F.col("target") == F.col("via")).select("path", F.col("next").alias("target")).distinct().where("path <> target")
-        front = more.join(seen, ["path", "target"], "left_anti").withColumn("depth", F.lit(d)).checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else more.join(seen, ["path", "target"], "left_anti").withColumn("depth", F.lit(d)).cache()
+        front = more.join(seen, ["path", "target"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
