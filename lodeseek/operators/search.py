@@ -26,7 +26,7 @@ def search(files: DataFrame, conditions: SearchConditions) -> DataFrame:
     if conditions.search_mode == AST:
         from .syntax import spark as syntax
 
-        return syntax.search(narrow, conditions)
+        return syntax.search(narrow, conditions, files)
     hits = match.exploded(narrow, match.hits_column(narrow, conditions), conditions.context_lines, *keep)
     return hits.withColumn("recv_type_hint", F.lit(None).cast("string"))
 

@@ -38,7 +38,7 @@ def _literal(pattern: str) -> str:
     return max(words, key=len, default="")
 
 
-def _rows(text: str, lang: str, pattern: str, wants_receiver: bool) -> list[dict]:
+def _rows(text: str, lang: str, pattern: str, wants_receiver: bool, path: str | None = None, headers: dict | None = None) -> list[dict]:
     try:
         found = matcher.find(text, pattern, lang)
     except SyntaxProblem:
@@ -52,25 +52,38 @@ def _rows(text: str, lang: str, pattern: str, wants_receiver: bool) -> list[dict
         hint = None
         if wants_receiver and "RECV" in h.names:
             a, b = h.names["RECV"]
-            hint = receivers.receiver_type(text, lang, text[a:b], a)
+            hint = receivers.receiver_type(text, lang, text[a:b], a, path, headers.get if headers else None)
         out.append(row | {"matched_text": text[h.start : h.end], "recv_type_hint": hint})
     return out
 
 
-def search(files: DataFrame, conditions: SearchConditions) -> DataFrame:
-    """Hits in files(path, source_language, text_encoding, text). Files without the pattern's longest word never reach Python."""
+def _with_headers(files: DataFrame, all_files: DataFrame) -> DataFrame:
+    """C++ files with the texts of what they take in, by path; others with null."""
+    closure = include_closure(all_files.where(all_files["path"].rlike(r"\.(cpp|cc|cxx|h|hpp|hh|hxx)$")).select("path", "text"))
+    texts = closure.join(all_files.select(F.col("path").alias("target"), F.col("text").alias("header")), "target")
+    per = texts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("target", "header"))).alias("headers"))
+    return files.join(per, "path", "left")
+
+
+def search(files: DataFrame, conditions: SearchConditions, all_files: DataFrame | None = None) -> DataFrame:
+    """Hits in files(path, source_language, text_encoding, text). Files without the pattern's longest word never reach Python.
+
+    With all_files(path, text), receivers in C++ are also looked up in the headers that a file takes in."""
     check(conditions.pattern, conditions.selected_lang)
     pattern, wants = conditions.pattern, conditions.wants_receiver
     word = _literal(pattern)
     some = files.where(F.contains("text", F.lit(word))) if word else files
 
+    headers = wants and all_files is not None and conditions.selected_lang in (AUTO, "C++")
+    some = _with_headers(some, all_files) if headers else some.withColumn("headers", F.lit(None).cast("map<string,string>"))
+
     @F.pandas_udf(f"array<struct<{', '.join(match.HIT.replace(' ', ':').split(',:')).replace(' ', '')},recv_type_hint:string>>")
-    def hits(text: pd.Series, lang: pd.Series) -> pd.Series:
-        return pd.Series([_rows(t or "", g, pattern, wants) for t, g in zip(text, lang, strict=True)])
+    def hits(text: pd.Series, lang: pd.Series, path: pd.Series, header: pd.Series) -> pd.Series:
+        return pd.Series([_rows(t or "", g, pattern, wants, p, dict(h) if h is not None else None) for t, g, p, h in zip(text, lang, path, header, strict=True)])
 
     keep = ("path", "source_language", "text_encoding")
     # the generator's own filter would run the function a second time
-    found = some.select(*keep, "text", hits("text", "source_language").alias("hits"))
+    found = some.select(*keep, "text", hits("text", "source_language", "path", "headers").alias("hits"))
     lines = found.select(*keep, "hits", match.lines_of(F.col("text")).alias("lines"))
     names = [*match.HIT_COLUMNS, "recv_type_hint"]
     full = F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in names], *match.context(F.col("lines"), h, conditions.context_lines)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,3 +67,13 @@ def clipped(ranges: DataFrame, group: str, start: str = "start", end: str = "end
     w = Window.partitionBy(group).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
     out = ranges.withColumn("__done", F.coalesce(F.max(end).over(w), F.lit(0)))
     return out.withColumn(start, F.greatest(start, "__done")).where(F.col(start) < F.col(end)).drop("__done")
+
+
+def expand_tabs(text: Column, width: int = 4) -> Column:
+    """Tabs as blanks up to the next multiple of width, by column within the line."""
+
+    @F.pandas_udf("string")
+    def expanded(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t.expandtabs(width) if t is not None else None)
+
+    return F.when(F.contains(text, F.lit("\t")), expanded(text)).otherwise(text)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .functions import languages
 from .operators import diff, filters, match, search, windows
 from .plans.conditions import PLAIN, REGEX, TOKEN, PatternJob, PlainTextOptions, SearchConditions
+from .sources.tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +44,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: doc_id, path, text, lang, source."""
     ext = F.element_at(F.array(*[F.lit(e) for e in TREE_EXTENSIONS]), (F.col("doc_id") % 12 + 1).cast("int"))
     path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), ext))
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs).select("doc_id", path.alias("path"), "text", "lang", "source")
 
 
 def _plain(pattern: str, **options) -> SearchConditions:
@@ -51,7 +53,7 @@ def _plain(pattern: str, **options) -> SearchConditions:
 
 
 def _places(spark: SparkSession, sf_dir: str, conditions: SearchConditions) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return match.only_places(docs, match.hits_column(docs, conditions), "doc_id")
 
 
@@ -115,7 +117,7 @@ FROM n JOIN lined l ON l.doc_id = n.doc_id"""
 @query("m12_context", _CONTEXT_SQL)
 def _m12(spark, sf_dir):
     """Context before and after, span text (m13) and the joined text with context (f10), once for each line with hits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hits = match.exploded(docs, match.hits_column(docs, _plain("tion.")), 2, "doc_id")
     joined = [F.array_join(c, "\n").alias(c) for c in ("context_before", "context_after")]
     text = match.with_context_text(F.col("context_before"), F.col("span_lines_text"), F.col("context_after")).alias("program")
@@ -450,7 +452,7 @@ r AS (SELECT doc_id, i, 0 AS k, CASE WHEN a[i] = b[i] THEN ' ' ELSE '-' END AS m
  UNION ALL SELECT doc_id, -1, 0, '---', 'before' FROM p UNION ALL SELECT doc_id, 0, 0, '+++', 'after' FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INT) AS no, mark, line FROM r""")
 def _x4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").endswith("\n") & (F.col("text") != ""))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(~F.col("text").endswith("\n") & (F.col("text") != ""))
     return diff.positional(docs.select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("the"), F.lit("THE")).alias("b")), "a", "b", "doc_id")
 
 
@@ -462,7 +464,7 @@ _SCRIPTS_SQL = "scripts AS (SELECT page_id, regexp_extract(html, '(?s)<script>(.
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The script of every page as a file."""
     body = F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), body.alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), body.alias("text"))
 
 
 def _syntax(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:

@@ -174,6 +174,11 @@ def test_bytes_cut(spark):
             assert got == s.encode()[:most].decode("utf-8", "ignore"), (s, most)
 
 
+def test_expanded_tabs(spark):
+    df = spark.createDataFrame([("a\tb\n\tc",), ("x",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(windows.expand_tabs(F.col("t"))).collect()] == ["a   b\n    c", "x", None]
+
+
 def test_batch(spark):
     from lodeseek.plans.conditions import PatternJob
 

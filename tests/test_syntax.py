@@ -123,6 +123,13 @@ def test_search_and_rewrite_in_spark(spark):
     assert sorted((r.path, r.after, r.replacements) for r in out) == [("src/a.py", "x.come(1)\nprint(x)\n", 1), ("src/b.rs", "x.come(2);", 1)]
 
 
+def test_headers_in_spark(spark):
+    rows = [("src/foo.cpp", '#include "../inc/foo.h"\nvoid Foo::bar() { m_x.go(); }'), ("inc/foo.h", '#include "base.h"\n'), ("inc/base.h", "class Foo { CThing m_x; };")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = search.search(df, SearchConditions("d", "$RECV.go()", "C++")).collect()
+    assert [(h.path, h.recv_type_hint) for h in got] == [("src/foo.cpp", "CThing")]
+
+
 def test_write_back(spark, tmp_path):
     df = spark.createDataFrame([("d/a.py", "Python", "f(1)", "g(1)"), ("b.py", "Python", "f(é)", "g(é)")], "path string, source_language string, before string, after string")
     assert [r.error for r in syntax.write_back(df, str(tmp_path)).collect()] == [None, None]
