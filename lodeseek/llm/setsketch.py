@@ -173,15 +173,18 @@ _LINKED = f"common * 100 >= (sizes - common) * {LINK}"
 def _buckets(members: DataFrame) -> DataFrame:
     """The members(bucket, used, node) of buckets with company; buckets of equal members count once."""
     whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
-    one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(one, "bucket").select("bucket", "used", "node")
+    one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return members.join(one, "bucket")
 
 
 def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader."""
-    here = held.withColumn("comp", F.col("node")) if found is None else held.join(found, "node", "left").select("bucket", "used", "node", F.coalesce("component", "node").alias("comp"))
-    # one order of all nodes in each turn, so that a node leads in most of its buckets
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
+    held = held.select("bucket", "used", "node", "company")
+    here = held.withColumn("comp", F.col("node")) if found is None else held.join(found, "node", "left").select("bucket", "used", "node", "company", F.coalesce("component", "node").alias("comp"))
+    # one order of all nodes in each turn, so that a node leads in most of its buckets: first by company, as the original of
+    # many copies is nearer to each of them than they are to each other, then at random
+    order = F.col("company") if turn % 2 == 0 else F.lit(0).cast("long")
+    first = F.max(F.struct(order.alias("by"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
     per = here.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead")).where("lo <> hi")
     return here.join(per.select("bucket", "n", "lead"), "bucket")
 
@@ -217,6 +220,7 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
     members = keys.select("node", F.explode("keys").alias("key"))
     # most keys have one member only, and end here
     held = written(_buckets(members.select(F.col("key").alias("bucket"), F.array("key").alias("used"), "node")), "buckets")
+    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node").drop("n")
     wanted = held.select("node").distinct()
     ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
     found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
@@ -241,7 +245,7 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
             if here.isEmpty():
                 return found
             test(_all_pairs(here.where(F.col("n") <= small)).union(_stars(here.where(F.col("n") > small))))
-            held = here.where(F.col("n") > small).select("bucket", "used", "node")
+            held = here.where(F.col("n") > small).select("bucket", "used", "node", "company")
         here = written(_open(held, found, 0), "open")
         if here.isEmpty():
             return found
@@ -250,8 +254,8 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
         last = level == levels
         test(_all_pairs(here if last else here.where(F.col("n") <= paired)))
         if not last:
-            crowd = here.where(F.col("n") > paired).select("bucket", "used", "node").join(members, "node").where(~F.array_contains("used", F.col("key")))
-            held = written(_buckets(crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node")), "buckets")
+            crowd = here.where(F.col("n") > paired).select("bucket", "used", "node", "company").join(members, "node").where(~F.array_contains("used", F.col("key")))
+            held = written(_buckets(crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node", "company")).drop("n"), "buckets")
     return found
 
 
