@@ -11,6 +11,8 @@ from lodeseek.llm import bpe, langid, mixing, setsketch, weak_quality
 from lodeseek.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates share so many hundredths of their five-word shingles at least; op6's own query is stricter.
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one of the least id."""
     ship(spark)
-    found = setsketch.near_duplicates(docs.select("doc_id", "text"))
+    found = setsketch.near_duplicates(docs.select("doc_id", "text"), NEAR)
     # rows of one id and text are copies of each other, too: one of them stays
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)

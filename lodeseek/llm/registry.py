@@ -46,7 +46,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 85)
 
 
 def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ represents no component that has another; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,23 +31,52 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, U64, gram_hashes, slices, span_hashes, splitmix, text_buffer, word_spans, written
 
 WORDS = 5
-#: Pairs are linked from this similarity on, as a share of hundredths.
+#: Pairs are linked from this similarity on, as a share of hundredths, unless the caller names another.
 LINK = 85
-#: BANDS bands of ROWS registers each: a pair at the threshold is missed with odds of (1 - 0.85 ** 6) ** 28 = 2e-6.
-BANDS, ROWS = 28, 6
-REGISTERS = BANDS * ROWS
+#: A pair at the threshold is missed in all bands with odds of so much at most, within about so many registers.
+MISSED, MOST_REGISTERS = 2e-6, 170
 #: Base of the registers' spacing, rate of the exponential variables, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
-#: Pairs whose likeliest similarity is lower are not verified. With 168 registers its error is about 0.04, so they are
-#: nowhere near the threshold.
-HOPELESS = 0.65
+
+
+class Shape(NamedTuple):
+    """Bands of rows registers each for pairs at link hundredths; pairs whose likeliest similarity is under hopeless are not verified."""
+
+    link: int
+    bands: int
+    rows: int
+    hopeless: float
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+
+def shape_for(link: int) -> Shape:
+    """The longest bands that miss a pair at the threshold with odds of MISSED at most: 28 of 6 at 85, 34 of 5 at 80.
+
+    With so many registers the error of the likeliest similarity is about 0.04, so what is hopeless is nowhere near the threshold."""
+    rows, shape = 1, None
+    while True:
+        at_one = (link / 100) ** rows
+        bands = 1 if at_one == 1 else math.ceil(math.log(MISSED) / math.log1p(-at_one))
+        if shape and (bands * rows > MOST_REGISTERS or bands == 1):
+            return shape
+        rows, shape = rows + 1, Shape(link, bands, rows, max(0, link - 20) / 100)
+
+
+_SHAPE = shape_for(LINK)
+REGISTERS = _SHAPE.registers
 #: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns.
 SMALL, TURNS = 6, 2
 #: What is left after the turns is paired within buckets of up to so many classes, so each has a bounded number of pairs;
 #: larger ones are dealt out by other bands. After LEVELS dealings they are paired, too: no candidate is ever dropped.
 PAIRED, LEVELS = 24, 1
 
-_FACTORS = splitmix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+
+def _factors(registers: int) -> np.ndarray:
+    return splitmix(np.arange(1, registers + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[list[np.ndarray], np.ndarray]:
@@ -68,11 +99,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[lis
     return sets, splitmix(sums[first[1:]] - sums[first[:-1]] + n.astype(U64))
 
 
-def minima(elements: np.ndarray, step: int = 2048) -> np.ndarray:
-    low = np.full(REGISTERS, 0xFFFFFFFFFFFFFFFF, U64)
-    x = splitmix(elements)
+def minima(elements: np.ndarray, step: int = 2048, registers: int = REGISTERS) -> np.ndarray:
+    low = np.full(registers, 0xFFFFFFFFFFFFFFFF, U64)
+    x, factors = splitmix(elements), _factors(registers)
     for i in range(0, len(x), step):
-        np.minimum(low, (x[i : i + step, None] * _FACTORS).min(0), out=low)
+        np.minimum(low, (x[i : i + step, None] * factors).min(0), out=low)
     return low
 
 
@@ -83,11 +114,11 @@ def registers(low: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_keys(regs: np.ndarray, shape: Shape = _SHAPE) -> np.ndarray:
     """A 64-bit key for each band of each row of registers; bands have keys of their own."""
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (len(regs), BANDS))
-    v = regs.reshape(len(regs), BANDS, ROWS).astype(U64)
-    for j in range(ROWS):
+    h = np.broadcast_to(np.arange(1, shape.bands + 1, dtype=U64), (len(regs), shape.bands))
+    v = regs.reshape(len(regs), shape.bands, shape.rows).astype(U64)
+    for j in range(shape.rows):
         h = splitmix(h * U64(0x9E3779B97F4A7C15) + v[:, :, j] + U64(1))
     return h
 
@@ -117,14 +148,14 @@ def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, step
 SKETCH = "doc_id long, n_shingles long, node long, regs binary"
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 2 << 20):
         sets, digests = shingles(*text_buffer(part.column(1)))
         done: dict[int, bytes] = {}  # equal sequences in a slice are sketched once
         regs = []
         for s, d in zip(sets, digests.tolist(), strict=True):
             if d not in done:
-                done[d] = registers(minima(s)).tobytes() if len(s) else b""
+                done[d] = registers(minima(s, registers=shape.registers)).tobytes() if len(s) else b""
             regs.append(done[d])
         yield pa.RecordBatch.from_pydict({
             "doc_id": part.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
@@ -132,12 +163,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
-            flat = band_keys(regs).view(np.int64).reshape(-1)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, shape.registers)
+            flat = band_keys(regs, shape).view(np.int64).reshape(-1)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * shape.bands), pa.array(flat))
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "keys": keys})
 
 
@@ -149,27 +180,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likeliest(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    of = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(len(s), REGISTERS)
+    of = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1)
     return pd.Series(likeliest(of(a), of(b), na.to_numpy(float), nb.to_numpy(float))) if len(a) else pd.Series([], dtype=float)
 
 
-def similarities(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def similarities(pairs: DataFrame, classes: DataFrame, sets: DataFrame, hopeless: float = _SHAPE.hopeless) -> DataFrame:
     """pairs(a, b) whose registers are not hopeless, with their sizes and the size of their intersection."""
     judged = F.pandas_udf(_likeliest, "double")
     c = classes.select("node", "n_shingles", "regs")
     x = pairs.join(c.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a")
     x = x.join(c.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
-    x = x.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * int(HOPELESS * 100))
-    x = x.where(judged("ra", "rb", "na", "nb") >= HOPELESS).select("a", "b", "na", "nb")
+    x = x.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(hopeless * 100))
+    x = x.where(judged("ra", "rb", "na", "nb") >= hopeless).select("a", "b", "na", "nb")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
     return x.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
 
 
-#: 100 * intersection >= 85 * union
-_LINKED = f"common * 100 >= (sizes - common) * {LINK}"
-
-
 def _buckets(members: DataFrame) -> DataFrame:
     """The members(bucket, used, node) of buckets with company; buckets of equal members count once."""
     whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
@@ -212,11 +239,12 @@ def _joined(found: DataFrame | None, more: DataFrame) -> DataFrame:
     return old.union(moved.join(found, "node", "left_anti").select("node", "component"))
 
 
-def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, turns: int = TURNS, levels: int = LEVELS) -> DataFrame | None:
-    """node and component of the components that the links of all pairs of classes at the threshold make.
+def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, turns: int = TURNS, levels: int = LEVELS, shape: Shape = _SHAPE) -> DataFrame | None:
+    """node and component of the components that the links of all pairs of classes at the shape's threshold make.
 
     classes(node, doc_id, n_shingles, regs), a row for each distinct word sequence; texts(doc_id, text) has theirs."""
-    keys = classes.select("node", "regs").mapInArrow(_banded, "node long, keys array<bigint>")
+    linked = f"common * 100 >= (sizes - common) * {shape.link}"
+    keys = classes.select("node", "regs").mapInArrow(lambda batches: _banded(batches, shape), "node long, keys array<bigint>")
     members = keys.select("node", F.explode("keys").alias("key"))
     # most keys have one member only, and end here
     held = written(_buckets(members.select(F.col("key").alias("bucket"), F.array("key").alias("used"), "node")), "buckets")
@@ -235,7 +263,7 @@ def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int
         if new.isEmpty():
             return
         tested = new if tested is None else tested.union(new)
-        more = written(similarities(new, classes, sets).where(_LINKED).select("a", "b"), "linked")
+        more = written(similarities(new, classes, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
         if not more.isEmpty():
             found = written(_joined(found, more), "components")
 
@@ -282,14 +310,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text), linked from link hundredths on."""
+    shape = shape_for(link)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(given.mapInArrow(_sketched, SKETCH), "sketches")
+    rows = written(given.mapInArrow(lambda batches: _sketched(batches, shape), SKETCH), "sketches")
     full = rows.where("n_shingles > 0")
     # a class is named by the 64-bit hash of its word sequence
     classes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
-    found = links(classes, given)
+    found = links(classes, given, shape=shape)
     if found is None:
         found = classes.select("node", F.col("node").alias("component"))
     least = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -233,3 +233,20 @@ def test_pipeline_of_odd_rows(spark, odd, none, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = mixing.written(stage(spark, docs, sf), "test")
         docs.count()
+
+
+def test_pipeline_links_from_080(spark, sf):
+    """A pair at 0.82, under op6's own 0.85, is a pair of near-duplicates for the stage."""
+    import corpus_pipeline
+
+    from lodeseek.llm import setsketch
+
+    # of 106 shingles 5 * 2 go where two words far apart change: (106 - 10) / (106 + 10) = 0.827
+    words = [f"w{i}" for i in range(110)]
+    other = [w + "x" if i in (30, 70) else w for i, w in enumerate(words)]
+    far = [w + "x" if i in (20, 50, 80) else w for i, w in enumerate(words)]  # 91 / 121 = 0.75 to the first
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(other), "en", "a", 0), (3, " ".join(far), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]
+    assert all(r.kept for r in setsketch.near_duplicates(docs, 85).collect())
+    assert setsketch.shape_for(85)[1:] == (28, 6, 0.65) and setsketch.shape_for(80)[1:] == (34, 5, 0.6)
