@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.cluster import ship
 from lodeseek.llm import bpe, langid, mixing, setsketch, weak_quality
-from lodeseek.llm.common import written
+from lodeseek.llm.common import numbered, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share so many hundredths of their five-word shingles at least; op6's own query is stricter.
@@ -29,22 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of the least id."""
+    """One row of each component stays, the first by id."""
     ship(spark)
-    found = setsketch.near_duplicates(docs.select("doc_id", "text"), NEAR)
-    # rows of one id and text are copies of each other, too: one of them stays
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"]) if setsketch.repeats(docs) else kept
+    # by row, not by doc_id: ids may be null or stand in rows of different texts
+    rows = numbered(docs.select(*COLUMNS))
+    gone = setsketch.redundant(rows.select("row_no", "doc_id", "text"), NEAR)
+    return rows.join(gone, "row_no", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes its words, to the nearest whole; those that it hardly takes go."""
     ship(spark)
-    mixture, placed = mixing.mixture(docs.select("doc_id", "text", "source"))
+    rows = numbered(docs.select(*COLUMNS))
+    mixture, placed = mixing.mixture(rows.select("doc_id", "text", "source", "row_no"), 0, mixing.BLOCK, "row_no")
     words = mixture.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    times = placed.join(words, "uid").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    copies = docs.select(*COLUMNS).join(times.groupBy("doc_id").agg(F.max("times").alias("times")), "doc_id")
+    times = placed.join(words, "uid").select("row_no", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    copies = rows.join(times, "row_no")
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

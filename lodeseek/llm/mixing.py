@@ -77,10 +77,10 @@ def schedule(spark: SparkSession, shares: list[float], slots: int) -> DataFrame:
     return placed.withColumn("within", within).join(_offsets(placed, "part", F.lit(1)), ["source_no", "part"]).select("slot", "source_no", (F.col("within") + F.col("before")).alias("rank"))
 
 
-def positions(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, list[dict]]:
-    """Every row of docs(doc_id, text, source) with its size, its place in its source's shuffled stream and a row id; and the sources."""
+def positions(docs: DataFrame, seed: int = 0, *carried: str) -> tuple[DataFrame, list[dict]]:
+    """Every row of docs(doc_id, text, source, *carried) with its size, its place in its source's shuffled stream and a row id; and the sources."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", "source", words.alias("size")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    sized = written(docs.select("doc_id", "source", *carried, words.alias("size")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     per = sorted(per, key=lambda r: (r["source"] is None, r["source"] or ""))
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))]
@@ -98,10 +98,10 @@ def positions(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, list[dict]]:
     return placed.withColumn("start", F.col("within") + F.col("before")).drop("within", "before", "part", "h"), sources
 
 
-def mixture(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, seed: int = 0, block: int = BLOCK, *carried: str) -> tuple[DataFrame, DataFrame]:
     """The mix: slot, doc_id, uid and the words [from_word, to_word) that the slot takes of the document; and the rows as positions() gives them."""
     spark = docs.sparkSession
-    placed, sources = positions(docs, seed)
+    placed, sources = positions(docs, seed, *carried)
     placed = written(placed, "positions")
     whole = [int(s["target"] + 1e-6) for s in sources]
     total = sum(whole)

@@ -145,12 +145,12 @@ def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, step
     return (lo + hi) / 2
 
 
-SKETCH = "doc_id long, n_shingles long, node long, regs binary"
+SKETCH = "n_shingles long, node long, regs binary"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 2 << 20):
-        sets, digests = shingles(*text_buffer(part.column(1)))
+        sets, digests = shingles(*text_buffer(part.column(part.schema.get_field_index("text"))))
         done: dict[int, bytes] = {}  # equal sequences in a slice are sketched once
         regs = []
         for s, d in zip(sets, digests.tolist(), strict=True):
@@ -158,7 +158,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Re
                 done[d] = registers(minima(s, registers=shape.registers)).tobytes() if len(s) else b""
             regs.append(done[d])
         yield pa.RecordBatch.from_pydict({
-            "doc_id": part.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            **{name: part.column(i) for i, name in enumerate(part.schema.names) if name != "text"}, "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "node": pa.array(digests.view(np.int64)), "regs": pa.array(regs, pa.binary()),
         })
 
@@ -310,25 +310,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text), linked from link hundredths on."""
+def _classed(given: DataFrame, link: int, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of given(*ids, text), doc_id among them, and node, least and component of every class; the least is of the ids, null ones last."""
     shape = shape_for(link)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(given.mapInArrow(lambda batches: _sketched(batches, shape), SKETCH), "sketches")
-    full = rows.where("n_shingles > 0")
+    rows = written(given.mapInArrow(lambda batches: _sketched(batches, shape), ", ".join([*(f"{i} long" for i in ids), SKETCH])), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ids)).alias("least")
     # a class is named by the 64-bit hash of its word sequence
-    classes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
+    full = rows.where("n_shingles > 0").groupBy("node").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = written(full.withColumn("doc_id", F.col("least.doc_id")), "classes")
     found = links(classes, given, shape=shape)
     if found is None:
         found = classes.select("node", F.col("node").alias("component"))
-    least = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    per = least.join(named, "component").select("node", "component_id")
+    return rows, classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text), linked from link hundredths on."""
+    rows, classes = _classed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), link, "doc_id")
+    named = classes.groupBy("component").agg(F.min("least").alias("first"))
+    per = classes.join(named, "component").select("node", F.col("first.doc_id").alias("component_id"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.join(per, "node").select("doc_id", "n_shingles", "component_id").union(alone)
+    out = rows.where("n_shingles > 0").join(per, "node").select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def repeats(docs: DataFrame) -> bool:
-    """Whether any doc_id stands in more than one row."""
-    return (docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1) > 1
+def redundant(rows: DataFrame, link: int = LINK) -> DataFrame:
+    """row_no of the rows(row_no, doc_id, text) that are not the first of their component, by doc_id, null last, then row_no.
+
+    Rows without words have no link; those of one id and text are copies all the same."""
+    given = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row_no", "text")
+    sketched, classes = _classed(given, link, "doc_id", "row_no")
+    named = classes.groupBy("component").agg(F.min("least").alias("first"))
+    per = classes.join(named, "component").select("node", F.col("first.row_no").alias("first_no"))
+    near = sketched.where("n_shingles > 0").join(per, "node").where("row_no <> first_no").select("row_no")
+    empty = given.join(sketched.where("n_shingles = 0").select("row_no"), "row_no", "left_semi")
+    firsts = empty.groupBy("doc_id", "text").agg(F.min("row_no").alias("row_no"))
+    return near.union(empty.select("row_no").join(firsts.select("row_no"), "row_no", "left_anti"))

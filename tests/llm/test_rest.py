@@ -250,3 +250,28 @@ def test_pipeline_links_from_080(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]
     assert all(r.kept for r in setsketch.near_duplicates(docs, 85).collect())
     assert setsketch.shape_for(85)[1:] == (28, 6, 0.65) and setsketch.shape_for(80)[1:] == (34, 5, 0.6)
+
+
+def test_pipeline_decides_by_row(spark, odd, sf):
+    """Null ids and ids of several texts: each stage decides by row, so that none is lost or kept for its id."""
+    import random
+    from collections import Counter
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    # ids 1 and 5 have a copy of another text and one of their own; two null ids differ; 7 stands twice with one text
+    rows = [(1, a), (1, b), (5, a), (5, c), (None, d), (None, e), (None, b), (7, e), (7, e), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    of = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert of(corpus_pipeline.near_dedup(spark, docs, sf)) == Counter([(1, a), (1, b), (5, c), (None, d), (7, e), (9, ""), (9, None)])
+    # one source: the mix takes 1.5 times its words, so each row once or twice
+    some = docs.where("length(text) > 0 AND (doc_id IS NULL OR doc_id <> 7)").dropDuplicates(["doc_id", "text"])
+    mixed, before = of(corpus_pipeline.mix(spark, some, sf)), of(some)
+    assert set(mixed) == set(before) and set(mixed.values()) <= {1, 2} and 9 <= sum(mixed.values()) <= 12
+    # of the odd rows copies go, and what has no id or no words stays
+    kept = corpus_pipeline.near_dedup(spark, odd.withColumn("n_chars", F.length("text").cast("long")), sf).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "10", "None", "12"])
