@@ -319,7 +319,8 @@ def find(source: str, pattern: str, lang: str) -> list[Hit]:
 
 # ---------------------------------------------------------------- rewriting
 
-MOST_PASSES = 100
+#: As many as the reference's; a rewrite that never ends is not carried on beyond ENDLESS_PASSES.
+MOST_PASSES, ENDLESS_PASSES = 10_000, 100
 MOST_EDITS = 500_000
 
 
@@ -340,30 +341,58 @@ def _filled(template: str, hit: Hit, source: str) -> str:
     return META.sub(value, template)
 
 
-def rewrite(source: str, pattern: str, template: str, lang: str | None, most_passes: int = MOST_PASSES) -> tuple[str, int, bool] | None:
+@lru_cache(maxsize=256)
+def endless(pattern: str, template: str, lang: str) -> bool:
+    """Whether the template, with names for its values, holds hits that grow without end when they are rewritten."""
+    from .lexer import META
+
+    for m in strategies(pattern, lang):
+        text = META.sub(lambda v: "zz" + v[0].strip("$").lower(), template)
+        # values that move from place to place settle within a pass for each of them
+        for _ in range(len(META.findall(pattern)) + 3):
+            try:
+                new = _pass(text, m.find(text), template)[0]
+            except SyntaxProblem:  # the template is no text of its own
+                break
+            if len(new) <= len(text):
+                break
+            text = new
+        else:
+            return True
+    return False
+
+
+def _pass(text: str, hits: list[Hit], template: str) -> tuple[str, int]:
+    """The text with its outermost hits replaced, and how many they are."""
+    done, parts, count = 0, [], 0
+    for h in hits:
+        if h.start < done:
+            continue
+        parts += [text[done : h.start], _filled(template, h, text)]
+        done = h.end
+        count += 1
+        if count > MOST_EDITS:
+            raise RewriteProblem(f"more than {MOST_EDITS} edits")
+    return "".join(parts) + text[done:], count
+
+
+def rewrite(source: str, pattern: str, template: str, lang: str | None, most_passes: int | None = None) -> tuple[str, int, bool] | None:
     """The rewritten text, the number of edits, and whether the pass limit was hit; None where nothing changes.
 
-    Every pass replaces the outermost hits; passes go on until the text stays as it is."""
+    Every pass replaces the outermost hits; passes go on until the text stays as it is. A text at the pass limit is half rewritten."""
     if lang is None or lang == "Auto" or not pattern.strip():
         return None
     for m in strategies(pattern, lang):
         text, edits, capped = source, 0, True
-        for _ in range(most_passes):
-            done, parts = 0, []
-            count = 0
-            for h in m.find(text):
-                if h.start < done:
-                    continue
-                parts += [text[done : h.start], _filled(template, h, text)]
-                done = h.end
-                count += 1
-                if count > MOST_EDITS:
-                    raise RewriteProblem(f"more than {MOST_EDITS} edits")
-            new = "".join(parts) + text[done:]
+        if not (hits := m.find(text)):
+            continue
+        for _ in range(most_passes or (ENDLESS_PASSES if endless(pattern, template, lang) else MOST_PASSES)):
+            new, count = _pass(text, hits, template)
             if not count or new == text:
                 capped = False
                 break
             text, edits = new, edits + count
+            hits = m.find(text)
         if text != source:
             return text, edits, capped
     return None

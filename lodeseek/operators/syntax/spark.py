@@ -95,7 +95,9 @@ REWRITTEN = "struct<after:string,replacements:int,hit_pass_limit:boolean,error:s
 
 
 def rewritten(files: DataFrame, pattern: str, template: str, lang: str = AUTO, hits: DataFrame | None = None) -> DataFrame:
-    """files(path, source_language, text) that the rewrite changes, before and after; only those with hits, if hits are given."""
+    """files(path, source_language, text) that the rewrite changes, before and after; only those with hits, if hits are given.
+
+    A rewrite that does not end within the pass limit has an error and no text after it, so none is written half rewritten."""
     check(pattern, lang)
     if hits is not None:
         files = files.join(hits.select("path").distinct(), "path", "left_semi")
@@ -106,7 +108,10 @@ def rewritten(files: DataFrame, pattern: str, template: str, lang: str = AUTO, h
         for t, g in zip(text, language, strict=True):
             try:
                 done = matcher.rewrite(t or "", pattern, template, g)
-                rows.append((*done, None) if done else (None, 0, False, None))
+                if done and done[2]:
+                    rows.append((None, *done[1:], "the rewrite does not end within the pass limit"))
+                else:
+                    rows.append((*done, None) if done else (None, 0, False, None))
             except (SyntaxProblem, matcher.RewriteProblem) as e:
                 rows.append((None, 0, False, str(e)))
         return pd.DataFrame(rows, columns=["after", "replacements", "hit_pass_limit", "error"])

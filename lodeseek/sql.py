@@ -61,6 +61,8 @@ class RegexTokens:
 
 def rewrite_syntax(text: str, pattern: str, template: str, lang: str) -> str | None:
     done = matcher.rewrite(text or "", pattern, template, lang)
+    if done and done[2]:
+        raise matcher.RewriteProblem("the rewrite does not end within the pass limit")
     return done[0] if done else None
 
 

@@ -71,6 +71,23 @@ def test_rewrite():
     assert once[0] == "b(1, 2)" and rw(once[0], "a($$$X)", "b($$$X)", "Java") is None
 
 
+def test_deep_rewrites_end(spark, tmp_path):
+    deep = "f(" * 150 + "x" + ")" * 150
+    assert matcher.rewrite(deep, "f($A)", "g($A)", "Python") == (deep.replace("f", "g"), 150, False)
+    chain = " + ".join(f"a{i}" for i in range(130))
+    text, edits, limit = matcher.rewrite(chain, "$A + $B", "add($A, $B)", "Python")
+    assert "+" not in text and edits >= 129 and not limit
+    # what grows without end is found out; what only moves its values is not
+    assert matcher.endless("f($A)", "f(f($A))", "Python")
+    assert not matcher.endless("f($A, $B, $C)", "f(long, $A, $B)", "Python") and not matcher.endless("f($A)", "g(h($A), h($A))", "Python")
+    files = spark.createDataFrame([("a.py", "Python", deep), ("b.py", "Python", "f(1)")], "path string, source_language string, text string")
+    out = {r.path: r for r in syntax.rewritten(files, "f($A)", "g($A)", "Python").collect()}
+    assert out["a.py"].after == deep.replace("f", "g") and out["b.py"].after == "g(1)"
+    endless = syntax.rewritten(files, "f($A)", "f(f($A))", "Python")
+    assert all(r.after is None and r.hit_pass_limit and r.error for r in endless.collect())
+    assert syntax.write_back(endless, str(tmp_path)).count() == 0
+
+
 def recv(source, pattern, lang):
     return [(source[a:b], receivers.receiver_type(source, lang, source[a:b], a)) for h in matcher.find(source, pattern, lang) for a, b in [h.names["RECV"]]]
 
