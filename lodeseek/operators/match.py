@@ -35,7 +35,9 @@ def line_and_col(prefix: Column) -> tuple[Column, Column]:
 def place(text: Column, byte_offset: Column) -> tuple[Column, Column]:
     """0-based line and byte column of a byte offset; offsets beyond the end count as the end."""
     raw = F.encode(text, "UTF-8")
-    return line_and_col(F.decode(F.substring(raw, F.lit(1), F.least(byte_offset, F.octet_length(text))), "UTF-8"))
+    # a character for each byte, as an offset may lie within one of the text's characters
+    head = F.decode(F.substring(raw, F.lit(1), F.least(byte_offset, F.octet_length(text))), "ISO-8859-1")
+    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))), F.length(F.substring_index(head, "\n", -1))
 
 
 #: Two characters that no text holds (Unicode reserves them from exchange); texts that do are searched the slow way.

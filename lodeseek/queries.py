@@ -98,7 +98,16 @@ query("m6_token", _text_hits_sql("of\\s*the"))(lambda s, d: _places(s, d, Search
  WHERE strlen(text) = length(text))
 SELECT doc_id, CAST(o AS INT) AS byte_offset, CAST(strlen(head) - strlen(replace(head, chr(10), '')) AS INT) AS line, CAST(strlen(string_split(head, chr(10))[-1]) AS INT) AS col FROM b""")
 def _m10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text"))
+    """Of the texts that the SQL can express: those of one byte a character. m10_place_bytes is over all texts."""
+    return _placed(table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text")))
+
+
+@query("m10_place_bytes")
+def _m10_bytes(spark, sf_dir):
+    return _placed(table(spark, sf_dir, "documents"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(x) for x in (0, 7, 500, 100000)])).alias("byte_offset"))
     line, col = match.place(F.col("text"), F.col("byte_offset"))
     return rows.select("doc_id", "byte_offset", line.alias("line"), col.alias("col"))

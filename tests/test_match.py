@@ -209,3 +209,20 @@ def test_streaming_search(spark, tmp_path):
     files(spark, [("c", "x")]).write.mode("append").parquet(src)
     once()
     assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["a", "a", "c"]
+
+
+def test_places_of_all_documents(spark, sf):
+    """Byte offsets of any text, within characters, too."""
+    from lodeseek.queries import QUERIES
+
+    def want(rows, offsets):
+        heads = [(i, o, t.encode()[:o]) for i, t in rows if t is not None for o in offsets]
+        return sorted((i, o, h.count(b"\n"), len(h) - h.rfind(b"\n") - 1) for i, o, h in heads)
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in QUERIES["m10_place_bytes"](spark, sf).collect())
+    assert got == want(docs, (0, 7, 500, 100000)) and any(not t.isascii() for _, t in docs if t)
+    texts = [(1, "é\nà日\n"), (2, "\né"), (3, "")]
+    rows = spark.createDataFrame([(i, t, o) for i, t in texts for o in range(12)], "i long, t string, o int")
+    line, col = match.place(F.col("t"), F.col("o"))
+    assert sorted(tuple(r) for r in rows.select("i", "o", line, col).collect()) == want(texts, range(12))
