@@ -19,24 +19,43 @@ U64 = np.uint64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodeseek-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, within: Scratch | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/lodeseek/{name}-{uuid.uuid4().hex}"
+    path = f"{within.path if within else shared_root(spark) + '/lodeseek'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder for the tables of one run of an operator that its result no longer reads; they go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_root(spark)}/lodeseek/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a row number of its own for each row, in row_no: written, so that every reading gives a row the same one."""
     return written(docs.withColumn("row_no", F.monotonically_increasing_id()), "rows")

@@ -5,15 +5,24 @@ exponential variable over the set, so registers of a union are maxima of registe
 with about their Jaccard similarity. Bands of register values propose pairs; a joint likelihood over which of two
 registers is the larger drops hopeless ones; the rest is verified on the full sets. Links become components.
 
-Copies meet first: documents of one word sequence form a class, which has one sketch. Only small
-buckets are paired within. A larger bucket's members are set against one leader; who is linked to it joins its component.
-Only members of different components need further tests, so buckets end that lie in one component, as those of many near
-copies do after a turn or two. What is left is paired if it is a handful, else dealt out anew by the members' other
-bands; no candidate is dropped.
+Copies meet first: documents of one word sequence form a class, which has one sketch. Only small buckets are paired
+within. A larger bucket's members are set against one leader; who is linked to it joins its component. Only members of
+different components need further tests, so buckets end that lie in one component, as those of many near copies do
+after a turn or two.
+
+What is still open is a crowd of texts that are alike but, for the most part, not alike enough. It is dealt out exactly:
+in the order that takes the shingles outside of the leader's set first, two sets with an intersection of c share one of
+the first n - c + 1 shingles of either, and c follows from the threshold and the two sizes. So a member meets those that
+share one of its first shingles, within classes of like size, and what is peculiar to a text comes first. Two members
+linked to each other always meet; two that differ in words of their own do not. Buckets of these shingles take turns as
+before, and the few that are open at last are tested pair by pair. No candidate is dropped.
+
+Both the leader's turn and the dealing salt a bucket by its members, so that none gathers in one task.
 
 Defined results: a null text, or one without words, has an empty set and no link; texts with fewer words than a
 shingle are one shingle; repeated rows each get their row, with the component of their class; a null doc_id
-represents no component that has another; an empty table gives an empty result; other columns are ignored.
+represents no component that has another; ties in similarity all link; a very long text is taken whole, its set and sketch
+made in pieces of bounded size; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +34,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, gram_hashes, slices, span_hashes, splitmix, text_buffer, word_spans, written
+from .common import LOWER, SPACE, U64, Scratch, gram_hashes, slices, span_hashes, splitmix, text_buffer, word_spans, written
 
 WORDS = 5
 #: Pairs are linked from this similarity on, as a share of hundredths, unless the caller names another.
@@ -55,7 +64,8 @@ class Shape(NamedTuple):
 def shape_for(link: int) -> Shape:
     """The longest bands that miss a pair at the threshold with odds of MISSED at most: 28 of 6 at 85, 34 of 5 at 80.
 
-    With so many registers the error of the likeliest similarity is about 0.04, so what is hopeless is nowhere near the threshold."""
+    With so many registers the likeliest similarity of a pair at the threshold has a standard error of about 0.03, so what is
+    hopeless lies six errors and more below it: such a pair is misjudged with odds under one in a million."""
     rows, shape = 1, None
     while True:
         at_one = (link / 100) ** rows
@@ -68,10 +78,13 @@ def shape_for(link: int) -> Shape:
 _SHAPE = shape_for(LINK)
 REGISTERS = _SHAPE.registers
 #: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns.
-SMALL, TURNS = 6, 2
-#: What is left after the turns is paired within buckets of up to so many classes, so each has a bounded number of pairs;
-#: larger ones are dealt out by other bands. After LEVELS dealings they are paired, too: no candidate is ever dropped.
-PAIRED, LEVELS = 24, 1
+SMALL, TURNS = 6, 3
+#: Turns in the buckets of first shingles, before what is open there is paired.
+LAST_TURNS = 2
+#: Sizes of a class differ by this factor at most; pairs are dealt by the classes of both sizes.
+SIZE_STEP = 1.04
+#: Parts of a bucket in joins, at most in turns, and members of a part in the last pairing.
+SALTS, PART = 16, 256
 
 
 def _factors(registers: int) -> np.ndarray:
@@ -169,7 +182,7 @@ def _banded(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Reco
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, shape.registers)
             flat = band_keys(regs, shape).view(np.int64).reshape(-1)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * shape.bands), pa.array(flat))
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "keys": keys})
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "size": batch.column(2), "keys": keys})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,101 +211,142 @@ def similarities(pairs: DataFrame, classes: DataFrame, sets: DataFrame, hopeless
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """The members(bucket, used, node) of buckets with company; buckets of equal members count once."""
+    """The members(bucket, node, size) of buckets with company; buckets of equal members count once."""
     whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
     one = whole.groupBy("n", "lead", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     return members.join(one, "bucket")
 
 
+def _salt(salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(5)), F.lit(salts)).cast("int")
+
+
 def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader."""
-    held = held.select("bucket", "used", "node", "company")
-    here = held.withColumn("comp", F.col("node")) if found is None else held.join(found, "node", "left").select("bucket", "used", "node", "company", F.coalesce("component", "node").alias("comp"))
+    held = held.select("bucket", "node", "size", "company", "at")
+    comp = F.col("node") if found is None else F.coalesce("component", "node")
+    here = (held if found is None else held.join(found, "node", "left")).select("bucket", "node", "size", "company", "at", comp.alias("comp"), _salt().alias("salt"))
     # one order of all nodes in each turn, so that a node leads in most of its buckets: first by company, as the original of
     # many copies is nearer to each of them than they are to each other, then at random
     order = F.col("company") if turn % 2 == 0 else F.lit(0).cast("long")
-    first = F.max(F.struct(order.alias("by"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
-    per = here.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead")).where("lo <> hi")
-    return here.join(per.select("bucket", "n", "lead"), "bucket")
-
-
-def _all_pairs(here: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components."""
-    x, y = here.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), here.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b")
-
-
-def _stars(here: DataFrame) -> DataFrame:
-    """Pairs of a bucket's leader and its members in other components."""
-    return here.where("comp <> lead.comp").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-
-
-def _joined(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    first = F.max(F.struct(order.alias("by"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size"))
+    parts = here.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead"))
+    per = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("lead").alias("lead")).where("lo <> hi")
+    return here.join(parts.select("bucket", "salt").join(per.select("bucket", "n", "lead"), "bucket"), ["bucket", "salt"]).drop("salt")
+
+
+def _all_pairs(here: DataFrame, link: int) -> DataFrame:
+    """Pairs of a bucket's members in different components that their sizes and places allow, in parts of a bucket.
+
+    Only members outside of the bucket's main component are set against all, as pairs within one component need no test."""
+    sums = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"))
+    sums = sums.select("bucket", F.col("main.comp").alias("main"))
+    side = lambda c: [F.col(k).alias(f"{k}_{c}") for k in ("node", "comp", "size", "at")]
+    part = (1 + F.floor(F.col("n") / PART)).cast("int")
+    few = here.join(sums, "bucket").where("comp <> main").select("bucket", "main", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"), *side("a"))
+    all_ = here.select("bucket", F.pmod(F.xxhash64("node", F.lit(9)), part).cast("int").alias("part"), *side("b"))
+    # a shingle at some place of a set leaves so many for an intersection, if the sets share none before it
+    room = f"(100 + {link}) * LEAST(size_a - at_a, size_b - at_b) >= {link} * (size_a + size_b)"
+    pairs = few.join(all_, ["bucket", "part"]).where(f"comp_a <> comp_b AND (comp_b = main OR node_a < node_b) AND {room} AND 100 * LEAST(size_a, size_b) >= {link} * GREATEST(size_a, size_b)")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _stars(here: DataFrame, link: int) -> DataFrame:
+    """Pairs of a bucket's leader and its members in other components, as far as their sizes allow."""
+    apart = here.where(f"comp <> lead.comp AND 100 * LEAST(size, lead.size) >= {link} * GREATEST(size, lead.size)")
+    return apart.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+
+
+def _dealt(here: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """Buckets of the first shingles of crowds: every two members of one crowd that are linked share a bucket, at places that leave room for it.
+
+    A bucket is named by the crowd's leader, a shingle, and the classes of the two sizes that meet in it."""
+    kind = F.floor(F.log(F.col("size")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    crowd = here.select(F.col("lead.node").alias("lead"), "node", "size", "company").distinct().withColumn("kind", kind).withColumn("salt", _salt(64))
+    kinds = crowd.groupBy("lead", "kind").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).groupBy("lead").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("kinds"))
+    heads = crowd.select("lead", "salt").distinct().join(kinds, "lead").join(sets.select(F.col("node").alias("lead"), F.col("items").alias("head")), "lead")
+    each = crowd.join(sets, "node").join(heads, ["lead", "salt"])
+    # a size class, its least size, and the part of the set that may be the first to meet one of that class
+    met = each.withColumn("met", F.explode(F.filter("kinds", lambda k: (k["hi"] * 100 >= F.col("size") * link) & (k["lo"] * link <= F.col("size") * 100))))
+    least = F.greatest(F.col("met.lo"), F.ceil(F.col("size") * link / 100))
+    needed = F.ceil((F.col("size") + least) * link / (100 + link))
+    met = met.withColumn("first", (F.col("size") - needed + 1).cast("int")).where("first > 0")
+    ordered = F.concat(F.array_except("items", "head"), F.array_intersect("items", "head"))
+    posted = met.select("lead", "node", "size", "company", "kind", F.col("met.kind").alias("other"), F.posexplode(F.slice(ordered, F.lit(1), F.col("first"))).alias("at", "item"))
+    bucket = F.xxhash64("lead", "item", F.least("kind", "other"), F.greatest("kind", "other"))
+    return posted.select(bucket.alias("bucket"), "node", "size", "company", F.col("at").cast("long").alias("at"))
+
+
+def _joined(found: DataFrame | None, more: DataFrame, scratch: Scratch) -> DataFrame:
     """node and component after more links(a, b), from those before: only components that the links join are worked on."""
     if found is None:
-        return components(more)
+        return components(more, scratch)
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    moved = written(components(ends), "moved")
+    moved = scratch.written(components(ends, scratch), "moved")
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("into"))
     old = found.join(to, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
     return old.union(moved.join(found, "node", "left_anti").select("node", "component"))
 
 
-def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, paired: int = PAIRED, turns: int = TURNS, levels: int = LEVELS, shape: Shape = _SHAPE) -> DataFrame | None:
+def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, turns: int = TURNS, last_turns: int = LAST_TURNS, shape: Shape = _SHAPE) -> DataFrame | None:
     """node and component of the components that the links of all pairs of classes at the shape's threshold make.
 
     classes(node, doc_id, n_shingles, regs), a row for each distinct word sequence; texts(doc_id, text) has theirs."""
+    with Scratch(classes.sparkSession) as scratch:
+        found = _links(classes, texts, small, turns, last_turns, shape, scratch)
+        return None if found is None else written(found, "components")
+
+
+def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_turns: int, shape: Shape, scratch: Scratch) -> DataFrame | None:
     linked = f"common * 100 >= (sizes - common) * {shape.link}"
-    keys = classes.select("node", "regs").mapInArrow(lambda batches: _banded(batches, shape), "node long, keys array<bigint>")
-    members = keys.select("node", F.explode("keys").alias("key"))
+    keys = classes.select("node", "regs", "n_shingles").mapInArrow(lambda batches: _banded(batches, shape), "node long, size long, keys array<bigint>")
+    members = keys.select("node", "size", F.explode("keys").alias("bucket"))
     # most keys have one member only, and end here
-    held = written(_buckets(members.select(F.col("key").alias("bucket"), F.array("key").alias("used"), "node")), "buckets")
-    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node").drop("n")
+    held = scratch.written(_buckets(members), "buckets")
+    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"))
     wanted = held.select("node").distinct()
     ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
     found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = scratch.written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     tested = found = None
 
     def test(pairs: DataFrame) -> None:
         """Verify pairs that were not tested before, and join the components of those linked."""
         nonlocal tested, found
         new = pairs.distinct()
-        new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = scratch.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             return
         tested = new if tested is None else tested.union(new)
-        more = written(similarities(new, classes, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
+        more = scratch.written(similarities(new, classes, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
         if not more.isEmpty():
-            found = written(_joined(found, more), "components")
-
-    for level in range(levels + 1):
-        for turn in range(turns):
-            here = written(_open(held, found, level * turns + turn), "open")
+            found = scratch.written(_joined(found, more, scratch), "components")
+
+    for dealing, n_turns in ((False, turns), (True, last_turns)):
+        if dealing:
+            posts = _dealt(here, sets, shape.link)
+            met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+            held = scratch.written(posts.join(met, "bucket", "left_semi"), "dealt")
+        for turn in range(n_turns):
+            here = scratch.written(_open(held, found, turn), "open")
             if here.isEmpty():
                 return found
-            test(_all_pairs(here.where(F.col("n") <= small)).union(_stars(here.where(F.col("n") > small))))
-            held = here.where(F.col("n") > small).select("bucket", "used", "node", "company")
-        here = written(_open(held, found, 0), "open")
+            test(_all_pairs(here.where(F.col("n") <= small), shape.link).union(_stars(here.where(F.col("n") > small), shape.link)))
+            held = here.where(F.col("n") > small)
+        here = scratch.written(_open(held, found, 0), "open")
         if here.isEmpty():
             return found
-        # a handful is paired; a crowd is dealt out by its members' other bands, in one of which all but few in a million
-        # links show again
-        last = level == levels
-        test(_all_pairs(here if last else here.where(F.col("n") <= paired)))
-        if not last:
-            crowd = here.where(F.col("n") > paired).select("bucket", "used", "node", "company").join(members, "node").where(~F.array_contains("used", F.col("key")))
-            held = written(_buckets(crowd.select(F.xxhash64("bucket", "key").alias("bucket"), F.array_append("used", F.col("key")).alias("used"), "node", "company")).drop("n"), "buckets")
+    test(_all_pairs(here, shape.link))
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and the least node of its component, for every node of edges(a, b).
 
     Rounds of large and small stars: neighbours above a node link to its least neighbour, until nothing changes."""
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", scratch)
     before = None
     while True:
         all_ = both(now)
@@ -302,7 +356,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the node and its lesser neighbours go to the least one
         least2 = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least2.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), "edges")
+        now = written(small.distinct(), "edges", scratch)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break
