@@ -2,17 +2,23 @@
 
 A host becomes a key of its labels in reverse, each followed by a dot: `www.example.com` is `com.example.www.`. The
 hosts under a rule's host are then the keys from `com.example.` up to, not including, `com.example/`, as `/` follows
-`.`. Both ends of each rule's interval are merged with the keys of the urls into one sorted sweep. The intervals are
-nested or apart, so the active ones form a stack with one place for each number of labels; a place is the last opened
-or closed interval of that depth, taken by a running window. Each url then tests its path on the rules in the stack.
+`.`. Both ends of each interval are merged with the keys of the urls into one sorted sweep. Intervals are nested or
+apart, so what is active behind an end is a stack: an opening end holds the stack of its host, a closing one the stack
+of the host around it. A url takes the stack of the last end before it.
 
-The sweep runs in slices: urls are dealt to slices at random, rules go to all of them. So a host with any share of the
-urls is spread evenly, and the one shuffle carries no page content. Slices times rules never exceeds a share of the
-urls; with more rules than that, the key's first label deals urls and rules further.
+Each host in a url's stack, joined to the url's path, then is a point of a second sweep, over host and path. Its
+intervals are the paths that begin with a rule's; an opening end holds its rule, a closing one the rule around it, so the
+last end before a point is the longest rule of that host that fits. The longest over the stack wins.
+
+Sweeps run in slices of sampled key ranges, as many as there are rows for, not fewer with more rules. Ends go to
+the slice of their key only; the state at a slice's start is that of the last end in the slices before it, a row for each
+slice. Points of one key that fills several slices are dealt among them at random. No page content is shuffled.
 
 Defined results: a null url, or one without `://`, has an empty host and path and meets only rules of an empty host;
 without a rule the verdict is the default; of two rules of equal length, the one with the longer host wins, then block;
-repeated rows each get their row; the url table's other columns are ignored.
+rules repeated in host and path count once, as block if any blocks; rules whose host no url can have never fit; very
+long urls are taken whole; repeated rows each get their row; empty tables give an empty result, or the default for
+every url; the url table's other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Urls in a slice of the sweep, about.
-SLICE_ROWS = 50_000
+from .common import written
+
+#: Rows in a slice of a sweep, about, and keys sampled for each slice's bounds.
+SLICE_ROWS, SAMPLED = 50_000, 32
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,61 +51,85 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
+    return F.encode(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")), "UTF-8")
+
+
+def _rule_key(host: Column, path: Column) -> Column:
+    return F.encode(F.concat(host, F.lit("/"), path), "UTF-8")
+
+
+def _behind(key: Column) -> Column:
+    """Greater than all keys that begin with this one: no UTF-8 holds the byte FF."""
+    return F.concat(key, F.lit(b"\xff"))
+
+
+def _swept(points: DataFrame, ends: DataFrame, slice_rows: int) -> DataFrame:
+    """points(key, ...) with the state of the last of ends(key, state) at or before their key; null where there is none."""
+    spark = points.sparkSession
+    keys = points.select("key").unionByName(ends.select("key"))
+    total = keys.count()
+    n = max(1, min(-(-total // slice_rows), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a bounded sample, whatever the table's size; it only decides where slices begin
+    share = min(1.0, SAMPLED * n / max(1, total))
+    got = sorted(bytes(r["key"]) for r in keys.sample(share, 7).limit(4 * SAMPLED * n).collect()) if n > 1 else []
+    bounds = [got[len(got) * i // n] for i in range(1, n)] if got else []
+    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<binary>")
+    from_, to = F.size(F.filter(cuts, lambda b: b < F.col("key"))), F.size(F.filter(cuts, lambda b: b <= F.col("key")))
+    placed = ends.select("key", F.lit(0).alias("kind"), "state", from_.alias("slice"))
+    dealt = points.withColumn("slice", (from_ + F.pmod(F.xxhash64("uid"), to - from_ + 1)).cast("int")).withColumn("kind", F.lit(1))
+
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = placed.groupBy("slice").agg(F.max_by("state", "key").alias("state"))
+    # a row for each of n slices
+    carried = spark.range(n).select(F.col("id").cast("int").alias("slice")).join(lasts, "slice", "left")
+    carried = carried.select("slice", F.last("state", ignorenulls=True).over(before).alias("carried"))
+    so_far = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = dealt.unionByName(placed, allowMissingColumns=True).withColumn("state", F.last("state", ignorenulls=True).over(so_far)).where("kind = 1")
+    return merged.join(F.broadcast(carried), "slice", "left").withColumn("state", F.coalesce("state", "carried")).drop("slice", "kind", "carried", "key")
+
+
+def _host_ends(rules: DataFrame) -> DataFrame:
+    """Both ends of each ruled host's interval, with the stack of ruled hosts behind them, the innermost first."""
+    hosts = rules.select("host").distinct()
+    labels = F.split("host", r"\.", -1)
+    up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    above = hosts.select("host", F.posexplode(F.array_append(up, F.lit(""))).alias("up", "over"))
+    above = above.join(hosts.select(F.col("host").alias("over")), "over").groupBy("host", "over").agg(F.min("up").alias("up"))
+    stacks = above.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("up", "over"))), lambda s: s["over"]).alias("stack"))
+    named = stacks.where("host <> ''").withColumn("key", key_of(F.col("host")))
+    opened = named.select("key", F.struct("stack").alias("state"))
+    # the closing key: the last byte of the opening one, a dot, becomes a slash
+    closed = named.select(F.expr("concat(substring(key, 1, octet_length(key) - 1), X'2F')").alias("key"), F.struct(F.expr("slice(stack, 2, size(stack))").alias("stack")).alias("state"))
+    whole = stacks.where("host = ''").select(F.lit(b"").alias("key"), F.struct("stack").alias("state"))
+    return opened.union(closed).union(whole)
+
+
+def _path_ends(rules: DataFrame) -> DataFrame:
+    """Both ends of each rule's interval of paths, with the rule behind them: itself, or the next shorter one of its host."""
+    r = rules.select("host", "path", "verdict")
+    shorter = r.where("path <> ''").select("host", "path", F.explode(F.expr("transform(sequence(0, length(path) - 1), i -> substring(path, 1, i))")).alias("over"))
+    over = shorter.join(r.select("host", F.col("path").alias("over"), F.col("verdict").alias("over_verdict")), ["host", "over"])
+    around = over.groupBy("host", "path").agg(F.max(F.struct(F.length("over"), F.col("over").alias("path"), F.col("over_verdict").alias("verdict"))).alias("around"))
+    key = _rule_key(F.col("host"), F.col("path"))
+    opened = r.select(key.alias("key"), F.struct(F.col("path").alias("path"), F.col("verdict").alias("verdict")).alias("state"))
+    closed = r.join(around, ["host", "path"], "left").select(_behind(key).alias("key"), F.struct(F.col("around.path").alias("path"), F.col("around.verdict").alias("verdict")).alias("state"))
+    return opened.union(closed)
 
 
 def judge(urls: DataFrame, rules: DataFrame, *keep: str, url: str = "url", default: str = ALLOW, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """keep columns, host, path, rule and verdict of every url, by the longest rule that fits.
 
     rules(host, path, verdict): a rule fits its host and the hosts below it where the path starts with the rule's."""
-    spark = urls.sparkSession
-    rules = rules.select(
-        F.translate(F.coalesce("host", F.lit("")), _UPPER, _SMALL).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
-    ).distinct()
-    # one interval for each host that has rules; depth 0 is the rule of the empty host, which no interval closes
-    held = (
-        rules.groupBy("host")
-        .agg(F.array_sort(F.collect_set(F.struct("path", "verdict"))).alias("held"))
-        .withColumn("depth", F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.", -1))))
-        .withColumn("open", F.when(F.col("host") == "", F.lit("")).otherwise(key_of(F.col("host"))))
-    )
-    held = held.cache()
-    depths = sorted(r["depth"] for r in held.select("depth").distinct().collect())
-    hosts = held.count()
-    total = urls.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    n_slices = max(1, min(-(-total // slice_rows), max(total // max(1, 8 * hosts), 1)))
-    n_slices = max(n_slices, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(total // max(1, 8 * hosts), 1)))
-
-    none = F.lit(None).cast(held.schema["held"].dataType)
-    stack = held.schema["held"].dataType
-    wide = F.struct(F.col("host"), F.col("held"))
-    opened = held.select(F.col("open").alias("key"), F.lit(0).alias("kind"), "depth", wide.alias("top"))
-    closed = held.where("depth > 0").select(
-        F.concat(F.expr("substring(open, 1, length(open) - 1)"), F.lit("/")).alias("key"), F.lit(0), "depth", F.struct(F.lit("").alias("host"), F.array().cast(stack).alias("held"))
-    )
-    bounds = opened.union(closed).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+    rules = rules.select(F.translate(F.coalesce("host", F.lit("")), _UPPER, _SMALL).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    rules = rules.where(~F.col("host").rlike("[/?#]") & ~F.col("path").rlike("[?#]"))
+    rules = rules.groupBy("host", "path").agg(F.max_by("verdict", F.struct((F.col("verdict") == BLOCK).alias("strict"), "verdict")).alias("verdict"))
     given = urls.select(F.struct(*keep).alias("keep"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    points = given.select(
-        "keep", "host", "path", key_of(F.col("host")).alias("key"), F.lit(1).alias("kind"),
-        F.pmod(F.xxhash64("keep", "host", "path", F.monotonically_increasing_id()), F.lit(n_slices)).cast("int").alias("slice"),
-    )
-    merged = points.unionByName(bounds, allowMissingColumns=True)
-
-    sweep = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    active = [F.last(F.when((F.col("kind") == 0) & (F.col("depth") == d), F.col("top")), ignorenulls=True).over(sweep) for d in depths]
-    swept = merged.select("*", (F.array(*active) if active else F.array(F.struct(F.lit("").alias("host"), none.alias("held")))).alias("stack")).where("kind = 1")
-
-    fits = F.flatten(
-        F.transform(
-            F.filter("stack", lambda s: s.isNotNull() & s["held"].isNotNull()),
-            lambda s: F.transform(
-                F.filter(s["held"], lambda r: F.col("path").startswith(r["path"])),
-                lambda r: F.struct(
-                    (F.length(s["host"]) + F.length(r["path"])).alias("size"), F.length(s["host"]).alias("of_host"),
-                    (r["verdict"] == BLOCK).cast("int").alias("strict"), F.concat(s["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"),
-                ),
-            ),
-        )
-    )
-    best = swept.withColumn("best", F.array_max(fits))
-    return best.select("keep.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # written, so that every later reading gives a row the same number
+    given = written(given.withColumn("uid", F.monotonically_increasing_id()), "urls")
+    stacked = _swept(given.select("uid", "host", "path", key_of(F.col("host")).alias("key")), _host_ends(rules), slice_rows)
+    points = stacked.select("uid", "path", F.explode("state.stack").alias("of")).select("uid", F.col("of"), _rule_key(F.col("of"), F.col("path")).alias("key"))
+    fit = _swept(points, _path_ends(rules), slice_rows).where(F.col("state.path").isNotNull())
+    size = F.length("of") + F.length("state.path")
+    best = fit.groupBy("uid").agg(F.max(F.struct(size.alias("size"), F.length("of").alias("of_host"), F.concat("of", "state.path").alias("rule"), F.col("state.verdict").alias("verdict"))).alias("best"))
+    out = given.join(best, "uid", "left")
+    return out.select("keep.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

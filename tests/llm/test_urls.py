@@ -57,3 +57,29 @@ def test_plan_is_native_and_does_not_shuffle_pages(spark, sf):
 
     plan = op3_url_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan and "CartesianProduct" not in plan
+
+
+def test_many_rules_over_few_hosts_in_many_slices(spark):
+    """More rules than urls, most on two hosts, nested in hosts and paths; a third of the urls have one key; no slice holds all."""
+    rng = random.Random(8)
+    path = lambda: "/" + "".join(rng.choice("ab/é\U0010ffff") for _ in range(rng.randint(0, 9)))
+    rules = {(rng.choice(["shop.example", "eu.shop.example", "example", ""]), path()): rng.choice(["allow", "block"]) for _ in range(20_000)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [f"http://{rng.choice(['shop.example', 'eu.shop.example', 'a.eu.shop.example', 'other.org'])}{path()}" for _ in range(600)] + ["http://shop.example/ab/"] * 300
+    by = {(h, p): v for h, p, v in rules}
+
+    def want(url):
+        host, p, *_ = expected(url, [])
+        fit = [(len(h) + n, len(h), by[h, p[:n]] == "block", h, p[:n]) for h in ("", "example", "shop.example", "eu.shop.example") if h == "" or host == h or host.endswith("." + h) for n in range(len(p) + 1) if (h, p[:n]) in by]
+        best = max(fit, default=None)
+        return (host, p, best[3] + best[4], by[best[3], best[4]]) if best else (host, p, None, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, url_rules.rules_frame(spark, rules), "page_id", slice_rows=500).collect()}
+    assert got == {i: want(u) for i, u in enumerate(urls)}
+    from pyspark.sql import functions as F
+
+    points = df.select(F.col("page_id").alias("uid"), url_rules._rule_key(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("key"))
+    ends = url_rules._path_ends(url_rules.rules_frame(spark, rules))
+    swept = url_rules._swept(points, ends, 500)
+    assert swept.count() == len(urls)
