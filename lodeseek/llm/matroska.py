@@ -2,16 +2,20 @@
 
 The parser reads variable-length ids and sizes, also unknown sizes of segments and clusters, SimpleBlocks and
 BlockGroups, the four kinds of lacing, and cues. Every frame becomes one packet with its track, timestamp, key flag and
-byte range in the file, so that its payload can be read without parsing again.
+byte range in the file, so that its payload can be read without parsing again. Cues give the cluster to begin with for a
+time, so that seeking steps over the ones before it.
 
 Defined results: null media have no packets and no error; broken or cut media yield the packets up to the fault and an
-error text; a null text is stored as an empty one; equal texts give equal files; repeated rows each get their row; an
-empty table gives an empty result; other columns are ignored.
+error text, also where the segment or a cluster is cut off; numbers beyond 64 bits, times beyond those of a long, and
+durations that are not finite are faults; a null text is stored as an empty one; very long texts are one file each,
+taken one at a time; equal texts give equal files; repeated rows each get their row; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +44,7 @@ FRAME = 256
 FRAMES_IN_BLOCK = 8
 BLOCKS_IN_CLUSTER = 4
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
+LONG = 1 << 63
 
 
 class Broken(ValueError):
@@ -138,7 +143,8 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
 def elements(data: bytes, at: int, end: int, ends_at: set[int] | None = None) -> Iterator[tuple[int, int, int, bool]]:
     """(id, start of the body, its end, whether its size is unknown) of the elements from at to end.
 
-    An element of unknown size is given up to end; who reads it sends back where it ended."""
+    An element of unknown size is given up to end; who reads it sends back where it ended. A segment or cluster that is
+    cut off is given as far as it goes, before the fault is raised."""
     while at < end:
         ident, body, _ = read_vint(data, at, keep_marker=True)
         if ends_at and ident in ends_at:
@@ -146,6 +152,8 @@ def elements(data: bytes, at: int, end: int, ends_at: set[int] | None = None) ->
         n, body, unknown = read_vint(data, body)
         stop = end if unknown else body + n
         if stop > end:
+            if ident in (SEGMENT, CLUSTER):
+                yield ident, body, end, False  # what is there of it
             raise Broken(f"element {ident:X} at byte {at} ends beyond its parent")
         back = yield ident, body, stop, unknown
         at = stop if back is None else back
@@ -213,16 +221,24 @@ def _block(m: Media, data: bytes, at: int, end: int, time: int, key: bool | None
     kind = flags >> 1 & 3
     step = m.tracks.get(track, {}).get("default_duration", 0)
     base = (time + offset) * m.scale
-    for i, (a, b) in enumerate(unlace(data, at + 3, end, kind)):
+    frames = unlace(data, at + 3, end, kind)
+    if not all(-LONG <= t < LONG for t in (base, base + len(frames) * step)):
+        raise Broken(f"time beyond 64 bits at byte {at}")
+    for i, (a, b) in enumerate(frames):
         m.packets.append((track, base + i * step, a, b - a, bool(flags & 0x80) if key is None else key, kind, m.clusters - 1))
 
 
 def _uint(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise Broken(f"number beyond 64 bits at byte {a}")
     return int.from_bytes(data[a:b], "big")
 
 
 def _float(data: bytes, a: int, b: int) -> float:
-    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b - a in (4, 8) else 0.0
+    x = struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b - a in (4, 8) else 0.0
+    if not math.isfinite(x):
+        raise Broken(f"no finite number at byte {a}")
+    return x
 
 
 def _cluster(m: Media, data: bytes, at: int, end: int, unknown: bool) -> int:
@@ -273,8 +289,8 @@ def _cues(m: Media, data: bytes, at: int, end: int, base: int) -> None:
         m.cues += [(time * m.scale, t, p) for t, p in places]
 
 
-def parse(data: bytes) -> Media:
-    """Everything up to the first fault, which is told in error."""
+def parse(data: bytes, step_over: bool = False) -> Media:
+    """Everything up to the first fault, which is told in error; clusters of known size are stepped over on demand."""
     m = Media()
     try:
         for ident, a, b, _ in elements(data, 0, len(data)):
@@ -302,6 +318,8 @@ def parse(data: bytes) -> Media:
                         for j, e, f, _ in elements(data, c, d):
                             if j == TRACK_ENTRY:
                                 _track(m, data, e, f)
+                    elif i == CLUSTER and step_over and not unknown:
+                        m.clusters += 1
                     elif i == CLUSTER:
                         back = _cluster(m, data, c, d, unknown)
                     elif i == CUES:
@@ -313,6 +331,23 @@ def parse(data: bytes) -> Media:
     return m
 
 
+def seek(data: bytes, ns: int) -> Media:
+    """The packets of the cluster that the cues give for a time, read without those before it; all packets where no cue helps."""
+    m = parse(data, step_over=True)
+    places = sorted({(t, p) for t, _, p in m.cues if t <= ns})
+    if m.error or not places:
+        return parse(data)
+    m.packets, m.clusters = [], sum(p < places[-1][1] for p in {p for _, _, p in m.cues})
+    try:
+        ident, body, stop, unknown = next(elements(data, places[-1][1], len(data)), (0, 0, 0, False))
+        if ident != CLUSTER:
+            raise Broken(f"no cluster at byte {places[-1][1]}")
+        _cluster(m, data, body, stop, unknown)
+    except Broken as fault:
+        m.error = str(fault)
+    return m
+
+
 PACKETS = "track long, timestamp_ns long, byte_offset long, size long, key boolean, lacing int, cluster int"
 
 
@@ -350,10 +385,12 @@ def features(m: Media, data: bytes, payload: bytes) -> str:
     starts = {p for _, _, p in m.cues}
     last = max((p[1] for p in m.packets), default=0)
     low = len(payload.translate(None, _HIGH))
+    middle = max((p for p in seek(data, last // 2).packets if p[1] <= last // 2), key=lambda p: p[1], default=None)
     return (
         f"codec={m.tracks.get(1, {}).get('codec', '')};tracks={len(m.tracks)};clusters={m.clusters};cues={len(starts)};packets={len(m.packets)};keys={keys};"
         f"laced={'/'.join(map(str, laced))};last_ms={last // 1_000_000};duration_ms={int(m.duration * m.scale / 1_000_000)};largest={max((p[3] for p in m.packets), default=0)};"
-        f"ascii={low / max(1, len(payload)):.4f};overhead={len(data) - len(payload)}"
+        f"ascii={low / max(1, len(payload)):.4f};overhead={len(data) - len(payload)};"
+        f"middle={f'{middle[1] // 1_000_000}@{middle[2]}' if middle else ''}"
     )
 
 
