@@ -4,7 +4,8 @@ Rows are numbered in the order of (doc_id, checksum, size). A permutation of the
 place p goes to shard p mod k, slot p div k, so shards hold counts at most one apart and slots have no gap, and both
 can be computed from a row number alone. The permutation is a Feistel network on a grid of a by b cells with
 a = ceil(sqrt(n)) and b = ceil(n / a); a number that lands beyond n walks on along its cycle. Fewer than a cells lie
-beyond n, so WALK steps are enough for certain up to WALK ** 2 rows, and beyond that but for odds of n ** (-WALK / 2).
+beyond n, so WALK steps are enough for certain up to WALK ** 2 rows, and beyond that but for odds of n ** (-WALK / 2); a
+number that is not back by then is an error, never a wrong slot.
 
 Defined results: a null text has size 1 and the checksum of no bytes; null ids come first; rows that are the same in
 id, checksum and size are interchangeable; an empty table gives an empty result; other columns are ignored.
@@ -68,7 +69,8 @@ def permuted(number: Column, n: int, rounds: int = ROUNDS, walk: int = WALK) ->
 
     first = once(number.cast("long"))
     steps = F.sequence(F.lit(1), F.lit(max(1, min(walk, a * b - n))))
-    return F.aggregate(steps, first, lambda p, _: F.when(p < n, p).otherwise(once(p)))
+    place = F.aggregate(steps, first, lambda p, _: F.when(p < n, p).otherwise(once(p)))
+    return F.when(place < n, place).otherwise(F.raise_error(F.lit("a row number has not come back below the number of rows; take a longer walk")))
 
 
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -39,7 +39,7 @@ def test_shards(spark, sf, odd, odd_rows, none):
     assert feistel_shards.assign(none, 16).collect() == []
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 99, 1000, 4097])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 99, 1000, 4097, 100_003])
 def test_permutation(spark, n):
     from pyspark.sql import functions as F
 
@@ -82,7 +82,57 @@ def test_packet_table(spark):
     one = [r for r in rows if r.id == 1]
     assert sum(r["size"] for r in one) == len(payload) and [r.timestamp_ns for r in one] == sorted(r.timestamp_ns for r in one)
     assert [(r.track, r.error) for r in rows if r.id == 2] == [(None, None)]
-    assert all(r.error for r in rows if r.id in (3, 4)) and len([r for r in rows if r.id == 4]) == 0 or True
+    assert [(r.track, bool(r.error)) for r in rows if r.id == 3] == [(None, True)]
+    cut = [r for r in rows if r.id == 4]
+    assert all(r.error for r in cut) and [(r.timestamp_ns, r.byte_offset, r["size"]) for r in cut] == [(r.timestamp_ns, r.byte_offset, r["size"]) for r in one[: len(cut)]]
+    assert 0 <= sum(r.byte_offset + r["size"] <= 5000 for r in one) - len(cut) < matroska.FRAMES_IN_BLOCK and cut
+
+
+def test_every_cut_keeps_the_packets_before_it():
+    data = matroska.mux(bytes(range(256)) * 90)
+    whole = matroska.parse(data).packets
+    for at in range(0, len(data), 97):
+        got = matroska.parse(data[:at])
+        assert got.error or at == 0
+        assert got.packets == whole[: len(got.packets)]
+        # at most the frames of one block are missing of those that are there
+        assert sum(p[2] + p[3] <= at for p in whole) - len(got.packets) < matroska.FRAMES_IN_BLOCK
+
+
+def test_numbers_out_of_range_are_faults(spark):
+    m = matroska
+    body = lambda time, duration: m._HEAD + m.element(m.SEGMENT, m.element(m.INFO, m.element(m.DURATION, duration)) + m._TRACKS + m.element(m.CLUSTER, m.element(m.TIMESTAMP, time) + m.block(m.SIMPLE_BLOCK, 1, 0, [b"a"], m.NO_LACING)))
+    good, inf = bytes(8), bytes.fromhex("7ff0000000000000")
+    media = [body(b"\1", good), body(b"\xff" * 8, good), body(b"\xff" * 9, good), body(b"\1", inf), body(b"\x7f" + b"\xff" * 7, good)]
+    rows = m.packets(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(media)], "id long, media binary"), "id").collect()
+    assert {r.id: bool(r.error) for r in rows} == {0: False, 1: True, 2: True, 3: True, 4: True}
+    for x in media:
+        assert isinstance(m.features(m.parse(x), x, b"a"), str)
+
+
+def test_seeking_reads_the_same_packets():
+    data = matroska.mux(bytes(range(256)) * 200)
+    whole = matroska.parse(data)
+    for ns in range(0, whole.packets[-1][1] + 10_000_000, 77_000_000):
+        got = matroska.seek(data, ns)
+        want = max((p for p in whole.packets if p[1] <= ns), key=lambda p: p[1])
+        assert want in got.packets and len(got.packets) <= matroska.FRAMES_IN_BLOCK * matroska.BLOCKS_IN_CLUSTER
+        assert got.packets == [p for p in whole.packets if p[6] == got.packets[0][6]]
+
+
+def test_feature_like_the_payload(spark):
+    texts = ["", "a" * 5000, "été " * 3000, "x" * 70_000]
+    got = {r.doc_id: r.feature for r in matroska.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        f = dict(x.split("=") for x in got[i].split(";"))
+        frames = -(-len(raw) // matroska.FRAME)
+        assert int(f["packets"]) == int(f["keys"]) == sum(map(int, f["laced"].split("/"))) == frames
+        assert int(f["clusters"]) == int(f["cues"]) == -(-len(raw) // (matroska.FRAME * matroska.FRAMES_IN_BLOCK * matroska.BLOCKS_IN_CLUSTER))
+        assert f["ascii"] == f"{sum(b < 128 for b in raw) / len(raw):.4f}" and int(f["largest"]) == min(len(raw), matroska.FRAME)
+        assert int(f["duration_ms"]) == len(raw) * 1000 // matroska.RATE and int(f["last_ms"]) == (frames - 1) * matroska.FRAME * 1000 // matroska.RATE
+        assert f["codec"] == "A_PCM/INT/LIT" and f["tracks"] == "1" and f["middle"]
 
 
 @pytest.mark.parametrize("sizes", [[5], [300], [0, 1, 2], [255, 256, 600, 1], [64] * 8, [1000, 10, 1000, 10, 7]])
@@ -147,6 +197,67 @@ def test_changed_passage_is_found_over_neighbouring_diagonals(spark):
     assert (got[4].n_base, got[4].first_word, got[4].last_word) == (500, 0, 998)
 
 
+def brute_labels(text):
+    """Labels by trying every placement: short templates word for word, passages by the longest common chain of 2-grams within a window."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    pairs, found = list(zip(words, words[1:], strict=False)), set()
+    for phrase, label in [*license_scan.BASE, *license_scan.OWN]:
+        want = phrase.split()
+        grams = list(zip(want, want[1:], strict=False))
+        if len(grams) <= license_scan.SHORT or (phrase, label) in license_scan.BASE:
+            if any(words[i : i + len(want)] == want for i in range(len(words))):
+                found.add(label)
+            continue
+        told = {i for t in license_scan.TOLD for i in range(len(grams)) if want[i : i + len(t.split())] == t.split() for i in range(i, i + len(t.split()) - 1)}
+        for i in range(len(pairs)):
+            window = pairs[i : i + len(grams) + 6]
+            best = [[0] * (len(grams) + 1) for _ in range(len(window) + 1)]
+            for a, x in enumerate(window):
+                for b, y in enumerate(grams):
+                    best[a + 1][b + 1] = max(best[a][b + 1], best[a + 1][b], best[a][b] + (x == y))
+            if best[-1][-1] >= license_scan.SHARE * len(grams) and all(grams[t] in window for t in told):
+                found.add(label)
+                break
+    return ",".join(sorted(found))
+
+
+def test_labels_like_brute_force(spark):
+    """Whole, changed, cut, shuffled and repeated passages; versions and names that differ in a word."""
+    import random
+
+    rng, texts = random.Random(2), []
+    for phrase, _ in license_scan.OWN:
+        want = phrase.split()
+        texts += [f"See {phrase}, please.", " ".join(want[: len(want) // 2]), " ".join(reversed(want)), " ".join(rng.sample(want, len(want)))]
+        if len(want) > 10:
+            texts += [" ".join(want[:5] + ["indeed"] + want[5:]), " ".join(want[:6] + want[7:]), " ".join([*want[:4], "x", *want[5:]])]
+        for i in range(len(want) - 1):
+            texts.append(f"{want[i]} {want[i + 1]} " * 20)
+    texts += [f"GNU General Public License, version {v}." for v in (2, 3, 4)] + ["GNU Lesser General Public License version 3", "mit", "", "gnu general public license version 2 or version 3"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id").collect()}
+    assert {i: got[i].labels for i, _ in rows} == {i: brute_labels(t) for i, t in rows}
+    by = {t: got[i] for i, t in rows}
+    assert by["GNU General Public License, version 3."].labels == "gpl,gpl-3.0"
+    assert by["free of " * 20].labels == by["hereby granted " * 20].labels == "" and by["free of " * 20].score < 0.1
+    assert all(r.score == 1.0 for r in got.values() if texts[r.doc_id].startswith("See "))
+    assert by["mit"].score == by[""].score == 0.0
+
+
+def test_longest_chain_like_all_subsets():
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    for _ in range(60):
+        votes = [(rng.randrange(8), rng.randrange(6)) for _ in range(rng.randint(0, 9))]
+        rising = lambda c: all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))
+        most = max((len(c) for n in range(len(votes) + 1) for c in itertools.combinations(sorted(set(votes)), n) if rising(c)), default=0)
+        got = license_scan.chain(votes)
+        assert len(got) == most and rising(got) and set(got) <= set(votes)
+
+
 # ---------------------------------------------------------------- mixing
 
 
