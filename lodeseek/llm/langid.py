@@ -5,7 +5,8 @@ language with follow-the-regularised-leader steps under elastic-net penalties, s
 temperature, found on labelled rows that were not used for the fit, scales its scores to probabilities.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without a label never train;
-with no labelled row at all every text is `und`; repeated rows each get their row; extra columns are ignored.
+with no labelled row at all, as in an empty table, every text is `und`; of equally likely languages the first by name
+is told; a very long text is one row of counts, taken whole; repeated rows each get their row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ORDERS = (2, 3)
 UNKNOWN = "und"
 #: Documents with a lower score are rejected by the filter.
 REJECT_BELOW = 0.5
+#: Bytes of text that are cut into n-grams at once: some 60 bytes of arrays for each character.
+SLICE = 1 << 19
 
 _LETTERS: list[np.ndarray] = []
 
@@ -68,7 +71,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequency of each bucket, then the number of documents."""
     df = np.zeros((1 << BITS) + 1, np.int64)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         row, bucket, letters = grams(part.column(0).to_pylist())
         seen = np.zeros(1 << BITS, bool)
         order = np.argsort(row, kind="stable")
@@ -82,7 +85,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         row, bucket, _ = grams(part.column(0).to_pylist())
         keys, n = np.unique(row.astype(np.int64) << BITS | bucket, return_counts=True)
         cut = np.searchsorted(keys, np.arange(part.num_rows + 1) << BITS)
@@ -152,7 +155,9 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
     share = F.element_at(F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, 1.25 * per_language / per[k])))]), F.col("lang"))
     pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1e6)
     sample = labelled.where(pick < share).withColumn("part", F.when(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5)) == 0, 1).otherwise(0))
-    got = sample.limit(5 * per_language * len(names)).mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
+    # the share makes the sample about 1.25 * per_language a language; where chance or repeated texts make it larger, the least hashes stay
+    bounded = sample.orderBy(F.xxhash64("text", F.lit(3)), "lang", "text").limit(5 * per_language * len(names))
+    got = bounded.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
     at = [np.frombuffer(b, np.uint16).astype(np.int64) for b in got["buckets"].to_pylist()]
     tf = [np.frombuffer(c, np.float32).astype(np.float64) for c in got["counts"].to_pylist()]
     x = [c / max(1.0, c.sum()) * idf[a] for a, c in zip(at, tf, strict=True)]
@@ -179,7 +184,7 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             n, names = part.num_rows, m["names"]
             row, bucket, letters = grams(part.column(1).to_pylist())
             if names:

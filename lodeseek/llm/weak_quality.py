@@ -5,8 +5,9 @@ patterns (at most 3 ** labellers of them, whatever the input) estimates how ofte
 class. The posteriors label a bounded sample, on which a linear scorer over hashed word shapes and binned statistics
 is trained; it then scores every document.
 
-Defined results: null and empty texts have score 0 and are not kept; extra columns are ignored; repeated rows each get
-their row; an empty table gives an empty result.
+Defined results: null and empty texts have score 0 and are not kept; a statistic equal to a limit votes as one beyond
+it, a score equal to KEEP_FROM keeps; very long texts are taken whole, one at a time; extra columns are ignored;
+repeated rows each get their row and the same score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarr
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, int] = {}
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 1 << 20):
         stats, _ = statistics(*text_buffer(part.column(0)))
         for p, c in zip(*np.unique(votes(stats), return_counts=True), strict=True):
             seen[int(p)] = seen.get(int(p), 0) + int(c)
@@ -205,7 +206,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 1 << 20):
         data, off = text_buffer(part.column(0))
         stats, words = statistics(data, off)
         r, b, v = features(data, off, stats, words)
@@ -229,7 +230,7 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict:
     patterns, counts = patterns[order], counts[order]
     post, theta, good = estimate(patterns, counts)
     share = min(1.0, fit_documents / max(1.0, counts.sum()))
-    sample = docs.where(sample_share(["doc_id", "text"], share)).select("text").limit(4 * fit_documents)
+    sample = docs.where(sample_share(["doc_id", "text"], share)).select("text").orderBy(F.xxhash64("text", F.lit(3)), "text").limit(4 * fit_documents)
     got = sample.mapInArrow(_rows_of_features, "pattern long, buckets binary, shares binary").toArrow()
     sizes = np.array([len(x) // 2 for x in got["buckets"].to_pylist()], np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             data, off = text_buffer(part.column(1))
             stats, words = statistics(data, off)
             r, b, v = features(data, off, stats, words)
