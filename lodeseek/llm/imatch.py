@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_ALNUM, U64, pack, slices, span_hashes, splitmix, summed, text_buffer, word_spans
 
 COUNTER_BITS = 18
-#: The band of document frequencies, as shares of all documents.
+#: The band of document frequencies, as shares of all documents. Its lower end tells in corpora of over a million documents, and
+#: only of terms in counters without a more frequent one; in smaller ones rare terms are all kept, as edits are told by them.
 RAREST, COMMONEST = 2.0**-20, 0.10
 MIN_TERMS = 3
 #: Subsets at each sampling rate; rates are 4 ** -1 to 4 ** -LEVELS.
@@ -146,12 +147,14 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     heads = {r["run"]: r["key"] for r in keyed.groupBy("run").agg(F.max("key").alias("key")).collect()}
     runs = sorted(heads)
     before = {heads[r]: runs[i - 1] for i, r in enumerate(runs)}
-    pairs = [x for k, v in before.items() for x in (F.lit(k), F.lit(v))]
-    ahead = F.when(F.col("key").isin(list(before)), F.element_at(F.create_map(*pairs), F.col("key"))) if pairs else F.lit(None)
-    own = F.struct(F.col("run").alias("run"), F.lit(0).alias("ahead"))
-    rows = keyed.withColumn("to", F.explode(F.when(ahead.isNull(), F.array(own)).otherwise(F.array(own, F.struct(ahead.cast("int").alias("run"), F.lit(1).alias("ahead"))))))
+    # a row for each run but the first
+    ahead = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in before.items()], "head long, before int")
+    met = keyed.join(F.broadcast(ahead), F.col("key") == F.col("head"), "left")
+    own, lead = F.struct(F.col("run").alias("run"), F.lit(0).alias("ahead")), F.struct(F.col("before").alias("run"), F.lit(1).alias("ahead"))
+    rows = met.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, lead))))
     rows = rows.select("doc_id", "text", "key", F.col("to.run").alias("run"), F.col("to.ahead").alias("ahead"), F.xxhash64("text").alias("h"))
-    return rows.repartition(parts, "run").sortWithinPartitions("run", "ahead", F.desc("key"), "h").select("doc_id", "text", "run", "ahead")
+    # each run is a task of its own
+    return rows.repartitionById(parts, "run").sortWithinPartitions("run", "ahead", F.desc("key"), "h").select("doc_id", "text", "run", "ahead")
 
 
 def compared(docs: DataFrame) -> DataFrame:
