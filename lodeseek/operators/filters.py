@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages
@@ -35,14 +37,24 @@ def glob_patterns(spec: str) -> list[str]:
     for part in (x.strip() for x in spec.split(";")):
         if part:
             pattern = "^" + part.replace(".", r"\.").replace("*", ".*") + "$"
-            try:
-                re.compile(pattern)
-            except re.error:
-                continue
-            out.append(pattern)
+            if _compiles(pattern):
+                out.append(pattern)
     return out
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it: Java's where there is a session."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JError, PySparkException):
+        return False
+    return True
+
+
 def name_matches(path: Column, spec: str) -> Column | None:
     """The file filter on names; None where it has no pattern, and the default filter holds."""
     patterns = glob_patterns(spec)

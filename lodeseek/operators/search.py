@@ -39,7 +39,8 @@ def places(files: DataFrame, conditions: SearchConditions) -> DataFrame:
     lang = languages.resolve(F.col("path"), conditions.selected_lang)
     encoding = F.col("text_encoding") if "text_encoding" in files.columns else F.lit("UTF-8")
     narrow = narrow.select("path", lang.alias("source_language"), encoding.alias("text_encoding"), match.hits_column(narrow, conditions).alias("hits"))
-    rows = narrow.select("path", "source_language", "text_encoding", F.posexplode("hits").alias("hit_no", "hit"))
+    # an inner explode would have the optimizer put a filter on the size of the hits below it, and find them twice
+    rows = narrow.select("path", "source_language", "text_encoding", F.posexplode_outer("hits").alias("hit_no", "hit")).where("hit IS NOT NULL")
     return rows.select("path", "source_language", "text_encoding", (F.col("hit_no") + 1).alias("hit_no"), "hit.*", F.lit(None).cast("string").alias("recv_type_hint"))
 
 
@@ -152,7 +153,7 @@ def run_batch(files_of, jobs: list[PatternJob]) -> Report:
         run = Run(job)
         try:
             run.hits, run.stats = run_one(files_of(job.conditions), job.conditions)
-        except regexes.PatternError as e:
+        except Exception as e:  # whatever a job fails by, the others go on
             run.error = str(e)
         runs.append(run)
     return Report(runs, int((time.time() - began) * 1000))

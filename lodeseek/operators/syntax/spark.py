@@ -125,7 +125,8 @@ def rewritten(files: DataFrame, pattern: str, template: str, lang: str = AUTO, h
 def write_back(preview: DataFrame, target: str, encoding: str = "Utf8") -> DataFrame:
     """Write every changed file below the folder target, by its path; a row for each file with an error where it could not be written.
 
-    Files are written where they belong only if the target is their root; each on its own, so a failure leaves the others."""
+    Files are written where they belong only if the target is their root; each on its own, so a failure leaves the others.
+    A path that leads out of the target is an error. The folder must be one that all executors share."""
     from ...functions import encodings
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,6 +136,8 @@ def write_back(preview: DataFrame, target: str, encoding: str = "Utf8") -> DataF
             errors = []
             for path, after in zip(pdf["path"], pdf["after"], strict=True):
                 try:
+                    if ".." in path.split("/"):
+                        raise OSError(f"{path} leads out of the folder")
                     p = Path(target) / path.lstrip("/")
                     p.parent.mkdir(parents=True, exist_ok=True)
                     p.write_bytes(encodings.encode(after, encoding))

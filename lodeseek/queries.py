@@ -229,12 +229,16 @@ def _f4(spark, sf_dir):
 @query("f5_size", f"WITH {_TREE_SQL} SELECT path, strlen(text) AS length FROM tree WHERE strlen(text) <= 4096")
 def _f5(spark, sf_dir):
     size = F.octet_length("text").cast("long")
-    return tree(spark, sf_dir).where(size <= 4096).select("path", size.alias("length"))
+    # 256 times the size against a limit of one megabyte
+    return tree(spark, sf_dir).where(filters.small_enough(size * 256, 1)).select("path", size.alias("length"))
 
 
-@query("f6_runnable", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND trim(text) <> ''")
+@query("f6_runnable", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 <> 0 AND n_regionkey <> 2 AND n_name <> 'CHINA'")
 def _f6(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where((F.col("doc_id") % 3 != 0) & (F.trim("text") != "")).select("doc_id")
+    """Jobs that are enabled, with a pattern and a directory; a handful made of the nations."""
+    rows = table(spark, sf_dir, "nation").collect()
+    jobs = [PatternJob(r.n_nationkey, r.n_name, r.n_nationkey % 3 != 0, SearchConditions(" " if r.n_name == "CHINA" else "d", "\t" if r.n_regionkey == 2 else r.n_name)) for r in rows]
+    return spark.createDataFrame([(j.id,) for j in jobs if j.runnable()], "id int")
 
 
 @query("f11_history", "SELECT source, max(doc_id) AS used FROM documents WHERE contains(source, 'src1') AND source <> 'src1' GROUP BY source ORDER BY used DESC, source LIMIT 8")
@@ -282,11 +286,11 @@ def _d8(spark, sf_dir):
 # ---------------------------------------------------------------- joins
 
 
-@query("j1_ext_dim", f"WITH {_TREE_SQL} SELECT path, {_LANG_SQL} AS language FROM tree WHERE ext <> 'RS'")
+@query("j1_ext_dim", f"WITH {_TREE_SQL} SELECT path, CASE WHEN ext <> 'RS' THEN {_LANG_SQL} END AS language FROM tree")
 def _j1(spark, sf_dir):
     dim = windows.keep_first(languages.dimension(spark), ["ext"], ["priority"])
-    files = tree(spark, sf_dir).withColumn("ext", languages.extension_of(F.col("path"))).where("ext <> 'RS'")
-    # the dimension has a row for each known extension
+    files = tree(spark, sf_dir).withColumn("ext", languages.extension_of(F.col("path")))
+    # the dimension has a row for each known extension, in small letters
     return files.drop("lang").join(F.broadcast(dim), "ext", "left").select("path", F.col("lang").alias("language"))
 
 
@@ -371,9 +375,17 @@ def _a5(spark, sf_dir):
     return per.agg(F.sum("m").alias("matches"), F.sum("f").alias("files"))
 
 
-@query("a6_failed", "SELECT source, count(*) FILTER (lang = 'de') AS failed FROM documents GROUP BY source")
+@query("a6_failed", f"WITH h AS ({_line_hits_sql('er')}) SELECT 3 AS runs, 2 AS failed, (SELECT count(*) FROM h) AS matches, (SELECT count(DISTINCT doc_id) FROM h) AS files")
 def _a6(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "de").alias("failed"))
+    """A batch of which one job fails by its pattern and one by its files; the third one's totals are the batch's."""
+    def files_of(c):
+        if c.search_dir == "none":
+            raise FileNotFoundError(c.search_dir)
+        return tree(spark, sf_dir)
+
+    jobs = [PatternJob(1, "a", True, SearchConditions("d", "(", search_mode=REGEX)), PatternJob(2, "b", True, SearchConditions("none", "er", search_mode=PLAIN)), PatternJob(3, "c", True, _plain("er"))]
+    done = search.run_batch(files_of, jobs)
+    return spark.createDataFrame([(len(done.runs), done.failed, done.total_matches, done.total_files)], "runs int, failed int, matches long, files long")
 
 
 @query("a9_ranges", f"WITH h AS ({_line_hits_sql('tion')}) SELECT doc_id, count(*) AS match_count, array_to_string(list(line_start || ':' || col_start || '-' || col_end ORDER BY line_start, col_start), ' ') AS ranges FROM h GROUP BY doc_id")
@@ -455,13 +467,17 @@ def _u3(spark, sf_dir):
 # ---------------------------------------------------------------- diff
 
 
-@query("x4_diff", """WITH p AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS a, string_split(rtrim(replace(text, 'the', 'THE'), chr(10)), chr(10)) AS b FROM documents WHERE text NOT LIKE '%' || chr(10) AND text <> ''),
+_DIFF_LINES = "CASE WHEN {0}[-1] = '' THEN {0}[1:len({0}) - 1] ELSE {0} END"
+
+
+@query("x4_diff", f"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS x, regexp_split_to_array(replace(text, 'the', 'THE'), '\\r?\\n') AS y FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, {_DIFF_LINES.format('x')} AS a, {_DIFF_LINES.format('y')} AS b FROM s),
 l AS (SELECT doc_id, unnest(generate_series(1, greatest(len(a), len(b)))) AS i, a, b FROM p),
 r AS (SELECT doc_id, i, 0 AS k, CASE WHEN a[i] = b[i] THEN ' ' ELSE '-' END AS mark, a[i] AS line FROM l UNION ALL SELECT doc_id, i, 1, '+', b[i] FROM l WHERE a[i] <> b[i]
  UNION ALL SELECT doc_id, -1, 0, '---', 'before' FROM p UNION ALL SELECT doc_id, 0, 0, '+++', 'after' FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INT) AS no, mark, line FROM r""")
 def _x4(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(~F.col("text").endswith("\n") & (F.col("text") != ""))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     return diff.positional(docs.select("doc_id", F.col("text").alias("a"), F.replace("text", F.lit("the"), F.lit("THE")).alias("b")), "a", "b", "doc_id")
 
 
@@ -539,11 +555,12 @@ def _p5(spark, sf_dir):
 
 @query("p1_suggest")
 def _p1(spark, sf_dir):
-    """Patterns that fit the pages' scripts, with how many scripts each fits; of distinct scripts, as they have few shapes."""
+    """Patterns that fit each page's script; equal scripts are worked on once."""
     from .operators import suggest
 
-    shapes = scripts(spark, sf_dir).select(F.regexp_replace("text", "[0-9]+", "0").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return suggest.suggestions(shapes.select("n", "text"), "n", "text", "JavaScript").select("n", "position", "pattern", "description", "match_count")
+    pages = scripts(spark, sf_dir).select("page_id", "text", F.sha2("text", 256).alias("digest"))
+    found = suggest.suggestions(pages.groupBy("digest").agg(F.first("text").alias("text")), "digest", "text", "JavaScript")
+    return pages.select("page_id", "digest").join(found, "digest").select("page_id", "position", "pattern", "description", "match_count")
 
 
 @query("p6_regex_tokens", """SELECT * FROM (VALUES (0, 'anchor', '^', 0), (1, 'group', '(', 0), (2, 'literal', 'ab', 1), (3, 'alternation', '|', 1), (4, 'class', '[0-9]', 1), (5, 'quantifier', '+', 1), (6, 'group_end', ')', 0), (7, 'quantifier', '{2}', 0), (8, 'anchor', '$', 0)) AS t(no, kind, token, depth)""")
@@ -607,3 +624,6 @@ def _t1(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.capped_search(tree(spark, sf_dir), _plain("er"), 100_000).select("path", *_HIT_COLUMNS, F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
+
+
+from . import shape_queries  # noqa: E402, F401  registers its queries here
