@@ -158,15 +158,16 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
     # the share makes the sample about 1.25 * per_language a language; where chance or repeated texts make it larger, the least hashes stay
     bounded = sample.orderBy(F.xxhash64("text", F.lit(3)), "lang", "text").limit(5 * per_language * len(names))
     got = bounded.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
-    at = [np.frombuffer(b, np.uint16).astype(np.int64) for b in got["buckets"].to_pylist()]
-    tf = [np.frombuffer(c, np.float32).astype(np.float64) for c in got["counts"].to_pylist()]
-    x = [c / max(1.0, c.sum()) * idf[a] for a, c in zip(at, tf, strict=True)]
+    # views of the sample's own bytes, and values of four bytes: the driver holds the sample about twice
+    at = [np.frombuffer(b, np.uint16) for b in got["buckets"].to_pylist()]
+    tf = (np.frombuffer(c, np.float32) for c in got["counts"].to_pylist())
+    x = [(c / max(1.0, float(c.sum())) * idf[a]).astype(np.float32) for a, c in zip(at, tf, strict=True)]
     place = {k: i for i, k in enumerate(names)}
     y = np.array([place[k] for k in got["lang"].to_pylist()], np.int64)
     part = got["part"].to_numpy() if len(y) else np.empty(0)
     model, rng = Ftrl(1 << BITS, len(names)), np.random.default_rng(11)
     # the order must not depend on how tasks ended
-    order = sorted(np.flatnonzero(part == 0), key=lambda i: (y[i], len(at[i]), at[i].tobytes(), tf[i].tobytes()))
+    order = sorted(np.flatnonzero(part == 0), key=lambda i: (y[i], len(at[i]), at[i].tobytes(), x[i].tobytes()))
     for _ in range(epochs):
         for i in rng.permutation(order).astype(np.int64) if len(order) else []:
             if len(at[i]):

@@ -233,9 +233,9 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict:
     sample = docs.where(sample_share(["doc_id", "text"], share)).select("text").orderBy(F.xxhash64("text", F.lit(3)), "text").limit(4 * fit_documents)
     got = sample.mapInArrow(_rows_of_features, "pattern long, buckets binary, shares binary").toArrow()
     sizes = np.array([len(x) // 2 for x in got["buckets"].to_pylist()], np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    bucket = np.frombuffer(b"".join(got["buckets"].to_pylist()), np.uint16).astype(np.int64)
-    value = np.frombuffer(b"".join(got["shares"].to_pylist()), np.float32).astype(np.float64)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    bucket = np.frombuffer(b"".join(got["buckets"].to_pylist()), np.uint16)
+    value = np.frombuffer(b"".join(got["shares"].to_pylist()), np.float32)
     target = post[np.searchsorted(patterns, got["pattern"].to_numpy())] if len(sizes) else np.empty(0)
     w, b = fit(row, bucket, value, target)
     return {"patterns": patterns, "posterior": post, "votes": theta, "good": good, "weights": w, "bias": b}
