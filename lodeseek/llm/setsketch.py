@@ -10,12 +10,14 @@ within. A larger bucket's members are set against one leader; who is linked to i
 different components need further tests, so buckets end that lie in one component, as those of many near copies do
 after a turn or two.
 
-What is still open is a crowd of texts that are alike but, for the most part, not alike enough. It is dealt out exactly:
-in the order that takes the shingles outside of the leader's set first, two sets with an intersection of c share one of
-the first n - c + 1 shingles of either, and c follows from the threshold and the two sizes. So a member meets those that
-share one of its first shingles, within classes of like size, and what is peculiar to a text comes first. Two members
-linked to each other always meet; two that differ in words of their own do not. Buckets of these shingles take turns as
-before, and the few that are open at last are tested pair by pair. No candidate is dropped.
+What is still open is a crowd of texts that are alike but, for the most part, not alike enough. It is dealt out exactly,
+by what sets its members apart from their leader L. Let D(x) be the shingles that only one of x and L has, m(x) how many
+of them are L's. Then |x & y| = |L| - m(x) - m(y) + |D(x) & D(y)|, so x and y are linked where |D(x) & D(y)| reaches
+f(x) + f(y) - |L|, with f(x) = m(x) + share * |x|. Where that is 0 or less, x is linked to the member of least f as well,
+so one turn against that member joins them. All other links share shingles of D, in which most of a crowd's members have
+little in common: shingles that only one component has in its D are dropped, the rest are ordered by how many members have them, and
+two members meet if they share one of the first d - needed + 1 shingles of either, within classes of like f. Buckets of these shingles
+take turns as before, and the few that are open at last are tested pair by pair. No candidate is dropped.
 
 Both the leader's turn and the dealing salt a bucket by its members, so that none gathers in one task.
 
@@ -81,8 +83,8 @@ REGISTERS = _SHAPE.registers
 SMALL, TURNS = 6, 3
 #: Turns in the buckets of first shingles, before what is open there is paired.
 LAST_TURNS = 2
-#: Sizes of a class differ by this factor at most; pairs are dealt by the classes of both sizes.
-SIZE_STEP = 1.04
+#: Members of a crowd are dealt by classes of f; a class is this share of the leader's shingles wide.
+CLASS_SHARE = 1 / 32
 #: Parts of a bucket in joins, at most in turns, and members of a part in the last pairing.
 SALTS, PART = 16, 256
 
@@ -217,15 +219,19 @@ def _buckets(members: DataFrame) -> DataFrame:
     return members.join(one, "bucket")
 
 
+#: Of a bucket's members: what a bucket is dealt by is the shingle at place at of d; two members need (g + g) / (200 + 2 * link) shingles in common.
+MEMBER = ("node", "size", "company", "at", "d", "g")
+
+
 def _salt(salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(5)), F.lit(salts)).cast("int")
 
 
 def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader."""
-    held = held.select("bucket", "node", "size", "company", "at")
+    held = held.select("bucket", *MEMBER)
     comp = F.col("node") if found is None else F.coalesce("component", "node")
-    here = (held if found is None else held.join(found, "node", "left")).select("bucket", "node", "size", "company", "at", comp.alias("comp"), _salt().alias("salt"))
+    here = (held if found is None else held.join(found, "node", "left")).select("bucket", *MEMBER, comp.alias("comp"), _salt().alias("salt"))
     # one order of all nodes in each turn, so that a node leads in most of its buckets: first by company, as the original of
     # many copies is nearer to each of them than they are to each other, then at random
     order = F.col("company") if turn % 2 == 0 else F.lit(0).cast("long")
@@ -240,13 +246,14 @@ def _all_pairs(here: DataFrame, link: int) -> DataFrame:
 
     Only members outside of the bucket's main component are set against all, as pairs within one component need no test."""
     sums = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"))
-    sums = sums.select("bucket", F.col("main.comp").alias("main"))
-    side = lambda c: [F.col(k).alias(f"{k}_{c}") for k in ("node", "comp", "size", "at")]
+    salted = here.withColumn("salt", _salt())
+    mains = salted.select("bucket", "salt").distinct().join(sums.select("bucket", F.col("main.comp").alias("main")), "bucket")
+    side = lambda c: [F.col(k).alias(f"{k}_{c}") for k in ("node", "comp", "size", "at", "d", "g")]
     part = (1 + F.floor(F.col("n") / PART)).cast("int")
-    few = here.join(sums, "bucket").where("comp <> main").select("bucket", "main", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"), *side("a"))
+    few = salted.join(mains, ["bucket", "salt"]).where("comp <> main").select("bucket", "main", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"), *side("a"))
     all_ = here.select("bucket", F.pmod(F.xxhash64("node", F.lit(9)), part).cast("int").alias("part"), *side("b"))
-    # a shingle at some place of a set leaves so many for an intersection, if the sets share none before it
-    room = f"(100 + {link}) * LEAST(size_a - at_a, size_b - at_b) >= {link} * (size_a + size_b)"
+    # a shingle at some place leaves so many for what two members have in common, if they share none before it
+    room = f"(200 + 2 * {link}) * LEAST(d_a - at_a, d_b - at_b) >= g_a + g_b"
     pairs = few.join(all_, ["bucket", "part"]).where(f"comp_a <> comp_b AND (comp_b = main OR node_a < node_b) AND {room} AND 100 * LEAST(size_a, size_b) >= {link} * GREATEST(size_a, size_b)")
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
@@ -257,24 +264,48 @@ def _stars(here: DataFrame, link: int) -> DataFrame:
     return apart.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
 
 
-def _dealt(here: DataFrame, sets: DataFrame, link: int) -> DataFrame:
-    """Buckets of the first shingles of crowds: every two members of one crowd that are linked share a bucket, at places that leave room for it.
-
-    A bucket is named by the crowd's leader, a shingle, and the classes of the two sizes that meet in it."""
-    kind = F.floor(F.log(F.col("size")) / F.log(F.lit(SIZE_STEP))).cast("int")
-    crowd = here.select(F.col("lead.node").alias("lead"), "node", "size", "company").distinct().withColumn("kind", kind).withColumn("salt", _salt(64))
-    kinds = crowd.groupBy("lead", "kind").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).groupBy("lead").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("kinds"))
-    heads = crowd.select("lead", "salt").distinct().join(kinds, "lead").join(sets.select(F.col("node").alias("lead"), F.col("items").alias("head")), "lead")
-    each = crowd.join(sets, "node").join(heads, ["lead", "salt"])
-    # a size class, its least size, and the part of the set that may be the first to meet one of that class
-    met = each.withColumn("met", F.explode(F.filter("kinds", lambda k: (k["hi"] * 100 >= F.col("size") * link) & (k["lo"] * link <= F.col("size") * 100))))
-    least = F.greatest(F.col("met.lo"), F.ceil(F.col("size") * link / 100))
-    needed = F.ceil((F.col("size") + least) * link / (100 + link))
-    met = met.withColumn("first", (F.col("size") - needed + 1).cast("int")).where("first > 0")
-    ordered = F.concat(F.array_except("items", "head"), F.array_intersect("items", "head"))
-    posted = met.select("lead", "node", "size", "company", "kind", F.col("met.kind").alias("other"), F.posexplode(F.slice(ordered, F.lit(1), F.col("first"))).alias("at", "item"))
+def _beside_leaders(here: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """lead, node, size, company, comp, salt, n_head, g and the difference of every member of a crowd and its leader.
+
+    g = (200 + 2 * link) * (f - |L| / 2), a whole number."""
+    crowd = here.select(F.col("lead.node").alias("lead"), "node", "size", "company", "comp").distinct().withColumn("salt", _salt(64))
+    heads = crowd.select("lead", "salt").distinct().join(sets.select(F.col("node").alias("lead"), F.col("items").alias("head")), "lead")
+    each = crowd.join(sets, "node").join(heads, ["lead", "salt"]).withColumn("missing", F.array_except("head", "items"))
+    g = 2 * ((100 + link) * F.size("missing") + link * F.col("size")) - (100 + link) * F.size("head")
+    return each.select("lead", "node", "size", "company", "comp", "salt", F.size("head").alias("n_head"), g.cast("long").alias("g"), F.concat(F.array_except("items", "head"), "missing").alias("diff"))
+
+
+def _nearest(crowd: DataFrame) -> DataFrame:
+    """Pairs of a crowd's member of least f and those that are linked to it whatever they differ in; who is linked so to any member is linked to it."""
+    least = crowd.groupBy("lead").agg(F.min(F.struct("g", "node", "comp")).alias("least"))
+    known = crowd.select("lead", "salt").distinct().join(least, "lead")
+    near = crowd.join(known, ["lead", "salt"]).where("comp <> least.comp AND g + least.g <= 0")
+    return near.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+
+
+def _dealt(crowd: DataFrame, link: int) -> DataFrame:
+    """Buckets of shingles in which members differ from their leader: all links of f(x) + f(y) > |L| share one, at places that leave room for it.
+
+    A bucket is named by the leader, a shingle, and the classes of the two members that meet in it."""
+    each = crowd.select("lead", "node", "comp", F.explode("diff").alias("item")).withColumn("salt", _salt())
+    parts = each.groupBy("lead", "item", "salt").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # only members of different components need tests, so a shingle that one component has alone tells nothing
+    often = parts.groupBy("lead", "item").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    shared = each.join(parts.select("lead", "item", "salt").join(often, ["lead", "item"]), ["lead", "item", "salt"])
+    ordered = shared.groupBy("lead", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("diff"))
+    whole = 200 + 2 * link
+    kind = F.floor(F.col("g") / (whole * F.ceil(F.col("n_head") * CLASS_SHARE))).cast("int")
+    members = crowd.drop("diff").join(ordered, ["lead", "node"]).withColumn("d", F.size("diff").cast("long")).withColumn("kind", kind)
+    kinds = members.groupBy("lead", "kind").agg(F.min("g").alias("lo"), F.max("d").alias("most"), F.min("comp").alias("from_"), F.max("comp").alias("to"))
+    kinds = kinds.groupBy("lead").agg(F.collect_list(F.struct("kind", "lo", "most", "from_", "to")).alias("kinds"))
+    known = members.select("lead", "salt").distinct().join(kinds, "lead")
+    met = members.join(known, ["lead", "salt"]).withColumn("met", F.explode("kinds"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("met.lo")) / whole))
+    met = met.withColumn("needed", needed).where("needed <= LEAST(d, met.most) AND NOT (met.from_ = comp AND met.to = comp)")
+    first = (F.col("d") - F.col("needed") + 1).cast("int")
+    posted = met.select("lead", "node", "size", "company", "d", "g", "kind", F.col("met.kind").alias("other"), F.posexplode(F.slice("diff", F.lit(1), first)).alias("at", "item"))
     bucket = F.xxhash64("lead", "item", F.least("kind", "other"), F.greatest("kind", "other"))
-    return posted.select(bucket.alias("bucket"), "node", "size", "company", F.col("at").cast("long").alias("at"))
+    return posted.select(bucket.alias("bucket"), "node", "size", "company", F.col("at").cast("long").alias("at"), "d", "g")
 
 
 def _joined(found: DataFrame | None, more: DataFrame, scratch: Scratch) -> DataFrame:
@@ -304,7 +335,9 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
     members = keys.select("node", "size", F.explode("keys").alias("bucket"))
     # most keys have one member only, and end here
     held = scratch.written(_buckets(members), "buckets")
-    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"))
+    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node")
+    # in buckets of bands, two sets can have no more in common than the smaller one has
+    held = held.select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"), F.col("size").alias("d"), (2 * shape.link * F.col("size")).alias("g"))
     wanted = held.select("node").distinct()
     ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
     found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
@@ -325,7 +358,9 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
 
     for dealing, n_turns in ((False, turns), (True, last_turns)):
         if dealing:
-            posts = _dealt(here, sets, shape.link)
+            crowd = scratch.written(_beside_leaders(here, sets, shape.link), "crowd")
+            test(_nearest(crowd))
+            posts = scratch.written(_dealt(crowd, shape.link), "posts")
             met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
             held = scratch.written(posts.join(met, "bucket", "left_semi"), "dealt")
         for turn in range(n_turns):

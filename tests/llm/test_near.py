@@ -100,11 +100,18 @@ def test_dealing_of_crowds_loses_no_link(spark):
         want = {(j, i) for i in range(n) for j in range(i) if common[i][j] * 100 >= link * (len(sets[i]) + len(sets[j]) - common[i][j])}
         rows = [(1, i, len(sets[i]), 0, i, n, {"node": lead, "comp": lead, "size": len(sets[lead])}) for i in range(n)]
         here = spark.createDataFrame(rows, "bucket long, node long, size long, company long, comp long, n long, lead struct<node:long,comp:long,size:long>")
-        dealt = setsketch._dealt(here, items, link).withColumn("comp", F.col("node"))
+        crowd = setsketch._beside_leaders(here, items, link).cache()
+        dealt = setsketch._dealt(crowd, link).withColumn("comp", F.col("node"))
         dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
         got = {(r.a, r.b) for r in setsketch._all_pairs(dealt, link).distinct().collect()}
-        assert want <= got and want
-        assert len(got) < n * (n - 1) / 2
+        near = {(r.a, r.b) for r in setsketch._nearest(crowd).collect()}
+        g = {r.node: r.g for r in crowd.select("node", "g").collect()}
+        # what needs no shingle in common is linked, and linked to the nearest member, too
+        plain = {(j, i) for i in range(n) for j in range(i) if g[i] + g[j] <= 0}
+        hub = min(g, key=lambda i: (g[i], i))
+        assert plain <= want and near <= want and near == {(min(i, hub), max(i, hub)) for i in range(n) if i != hub and g[i] + g[hub] <= 0}
+        assert {i for p in plain for i in p} <= {i for p in near for i in p}
+        assert want - plain <= got and want and len(got) < n * (n - 1) / 2
 
 
 def test_crowds_beside_the_threshold(spark):
