@@ -339,7 +339,9 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
     # in buckets of bands, two sets can have no more in common than the smaller one has
     held = held.select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"), F.col("size").alias("d"), (2 * shape.link * F.col("size")).alias("g"))
     wanted = held.select("node").distinct()
-    ids = classes.join(wanted, "node").select(F.col("doc_id").alias("wanted_id")).distinct()
+    # most classes have no company in any band, and none of the pairs to come
+    near = scratch.written(classes.select("node", "doc_id", "n_shingles", "regs").join(wanted, "node", "left_semi"), "near")
+    ids = near.select(F.col("doc_id").alias("wanted_id")).distinct()
     found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     sets = scratch.written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     tested = found = None
@@ -352,7 +354,7 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
         if new.isEmpty():
             return
         tested = new if tested is None else tested.union(new)
-        more = scratch.written(similarities(new, classes, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
+        more = scratch.written(similarities(new, near, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
         if not more.isEmpty():
             found = scratch.written(_joined(found, more, scratch), "components")
 
