@@ -30,7 +30,7 @@ made in pieces of bounded size; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -194,6 +194,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": pa.array(digests.view(np.int64)), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))})
 
 
+#: Bits of a bitmap for each of its keys, and the most that any has, as a power of two: 8 MB.
+KEY_BITS, MOST_BITS = 64, 26
+
+
+def _among(keys: DataFrame) -> Callable[[str], Column]:
+    """A test of a long column that holds wherever it is among the keys(key), and seldom elsewhere: it spares joins the shuffle of rows without a partner.
+
+    Its bitmap has a bounded size; with very many keys more rows pass in vain, which the join behind it drops."""
+    n = keys.count()
+    bits = min(max(16, (KEY_BITS * n).bit_length()), MOST_BITS)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(7)), F.lit(1 << bits))
+    at = keys.select(place("key").alias("p"))
+    bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("held")).toArrow()
+    table = np.zeros((1 << bits) // 64, np.int64)
+    table[words["word"].to_numpy()] = words["held"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table.view(U64))
+
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(U64)
+        return pd.Series((shared.value[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1)
+
+    return lambda c: F.pandas_udf(held, "boolean")(place(c))
+
+
 def _likeliest(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     of = lambda s: np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1)
     return pd.Series(likeliest(of(a), of(b), na.to_numpy(float), nb.to_numpy(float))) if len(a) else pd.Series([], dtype=float)
@@ -202,7 +227,8 @@ def _likeliest(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.S
 def similarities(pairs: DataFrame, classes: DataFrame, sets: DataFrame, hopeless: float = _SHAPE.hopeless) -> DataFrame:
     """pairs(a, b) whose registers are not hopeless, with their sizes and the size of their intersection."""
     judged = F.pandas_udf(_likeliest, "double")
-    c = classes.select("node", "n_shingles", "regs")
+    paired = _among(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    c, sets = classes.select("node", "n_shingles", "regs").where(paired("node")), sets.where(paired("node"))
     x = pairs.join(c.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra")), "a")
     x = x.join(c.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb")), "b")
     x = x.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(hopeless * 100))
@@ -269,6 +295,7 @@ def _beside_leaders(here: DataFrame, sets: DataFrame, link: int) -> DataFrame:
 
     g = (200 + 2 * link) * (f - |L| / 2), a whole number."""
     crowd = here.select(F.col("lead.node").alias("lead"), "node", "size", "company", "comp").distinct().withColumn("salt", _salt(64))
+    sets = sets.where(_among(here.select(F.explode(F.array("node", "lead.node")).alias("key")))("node"))
     heads = crowd.select("lead", "salt").distinct().join(sets.select(F.col("node").alias("lead"), F.col("items").alias("head")), "lead")
     each = crowd.join(sets, "node").join(heads, ["lead", "salt"]).withColumn("missing", F.array_except("head", "items"))
     g = 2 * ((100 + link) * F.size("missing") + link * F.col("size")) - (100 + link) * F.size("head")
@@ -338,11 +365,11 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
     held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node")
     # in buckets of bands, two sets can have no more in common than the smaller one has
     held = held.select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"), F.col("size").alias("d"), (2 * shape.link * F.col("size")).alias("g"))
-    wanted = held.select("node").distinct()
+    wanted = scratch.written(held.select("node").distinct(), "wanted")
     # most classes have no company in any band, and none of the pairs to come
-    near = scratch.written(classes.select("node", "doc_id", "n_shingles", "regs").join(wanted, "node", "left_semi"), "near")
-    ids = near.select(F.col("doc_id").alias("wanted_id")).distinct()
-    found_texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    near = scratch.written(classes.select("node", "doc_id", "n_shingles", "regs").where(_among(wanted.select(F.col("node").alias("key")))("node")).join(wanted, "node", "left_semi"), "near")
+    # texts stay where they are: who passes in vain is dropped by its node
+    found_texts = texts.where(_among(near.select(F.col("doc_id").alias("key")))("doc_id")).select("text")
     sets = scratch.written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     tested = found = None
 

@@ -207,3 +207,17 @@ def test_shingle_hashes_like_sets():
     sets, digest = setsketch.shingles(*text_buffer(pa.array(texts)))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
     assert digest[0] == digest[1] and digest[0] != digest[5]
+
+
+def test_keys_among_others(spark, monkeypatch):
+    """Every key passes, null ones too, few others do; with a bitmap that is too small all keys still pass."""
+    keys = [*range(-3000, 3000, 3), None, 2**62]
+    rows = spark.createDataFrame([(x,) for x in [*range(-20000, 20000), None, 2**62, -(2**63)]], "x long")
+    given = spark.createDataFrame([(k,) for k in keys], "key long")
+    for bits in (26, 6):
+        monkeypatch.setattr(setsketch, "MOST_BITS", bits)
+        passed = [r.x for r in rows.where(setsketch._among(given)("x")).collect()]
+        assert set(keys) <= set(passed) and len(passed) == len(set(passed))
+        assert len(passed) < len(keys) + 2000 or bits == 6
+    none = rows.where(setsketch._among(given.limit(0))("x"))
+    assert none.count() == 0
