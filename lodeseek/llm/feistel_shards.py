@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import Scratch, written
 
 ROUNDS = 6
 WALK = 64
@@ -28,14 +28,14 @@ MODULUS = 2147483647
 KEYS = (1204873, 998244353, 715827883, 1610612741, 402653189, 805306457, 50331653, 201326611)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str = "row_no", within: Scratch | None = None) -> DataFrame:
     """Global row numbers from 0 in the given order: a range-partitioned sort, then the count of rows in earlier partitions.
 
     The sorted rows are written once, so the two reads of them agree. Only one row for each partition is counted on."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tied = rows.withColumn("__tie", F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(n, *order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
-    kept = written(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")), "numbered")
+    kept = written(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")), "numbered", within)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

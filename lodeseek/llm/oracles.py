@@ -35,4 +35,11 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON m.a = n.doc_id
 """
 
-ORACLES = {"op3_url_rules": _OP3, "op6_setsketch": _OP6}
+_OP13 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm, row_number() OVER () AS uid FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, uid) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t
+"""
+
+ORACLES = {"op3_url_rules": _OP3, "op6_setsketch": _OP6, "op13_block_names": _OP13}

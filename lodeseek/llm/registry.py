@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, feistel_shards, imatch, langid, license_scan, matroska, mixing, setsketch, url_rules, weak_quality
+from . import block_names, bpe, feistel_shards, imatch, langid, license_scan, matroska, mixing, setsketch, url_rules, weak_quality
 from .common import table
 
 #: The url rules of op3.
@@ -65,6 +65,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op13_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
