@@ -42,4 +42,22 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-ORACLES = {"op3_url_rules": _OP3, "op6_setsketch": _OP6, "op13_block_names": _OP13}
+_OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid AS uid, a.vec_id AS anchor_id, b.vec_id AS other_id, b.uid AS other, a.label = b.label AS same, CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.uid <> b.uid),
+p AS (
+  SELECT uid, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, other_id, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.uid = p.uid AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.uid, positive ORDER BY score DESC, other_id, other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES = {"op12_hard_negatives": _OP12, "op3_url_rules": _OP3, "op6_setsketch": _OP6, "op13_block_names": _OP13}
