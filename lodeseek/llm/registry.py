@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, bpe, feistel_shards, hard_negatives, imatch, langid, license_scan, matroska, mixing, setsketch, url_rules, weak_quality
+from . import block_names, bpe, feistel_shards, hard_negatives, imatch, langid, license_scan, matroska, mixing, setsketch, token_align, url_rules, weak_quality
 from .common import table
 
 #: The url rules of op3.
@@ -66,6 +66,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_align.counted(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hard_negatives.from_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
