@@ -7,7 +7,7 @@ meet in one place for their maximum, and then postings and counts meet again, as
 to tell what each document gets; documents sum that up.
 
 Pairs follow a steep law, as words do. Those that make up more than 1 in HOT of all postings, HOT at most whatever
-the corpus, would each fill a task, and are most of all rows: their counts are broadcast instead, and their postings
+the corpus, would each fill a task, and are a large part of all rows: their counts are broadcast instead, and their postings
 are never shuffled. The shuffle holds the long tail, in which no pair is large.
 
 Defined results: texts that are null or empty, or that a tokenizer does not give back byte by byte, have no tokens:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, written
 
 #: A pair with more than one posting in so many is broadcast; there are fewer of them.
-HOT = 1 << 16
+HOT = 2048
 
 
 # ---------------------------------------------------------------- tokenizers
