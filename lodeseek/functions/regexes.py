@@ -17,6 +17,8 @@ class PatternError(ValueError):
 
 _POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "space": r"\s", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}", "xdigit": r"\p{XDigit}", "word": r"\w", "ascii": r"\p{ASCII}"}
 _ESCAPES = set("aftnrvxuUdDsSwWbBAzpP")
+#: Turns of a repeated group that are no risk.
+_FEW_TURNS = 32
 _CATEGORY = re.compile(r"^(L|M|N|P|S|Z|C)[a-z&]?$")
 
 
@@ -109,6 +111,15 @@ def compiled(spark: SparkSession, pattern: str) -> str:
     return java
 
 
+def recurses(pattern: str) -> bool:
+    """Whether Java's engine may go one call deeper, or try anew, for each turn of a repeated group: some text of tens of kilobytes then ends its JVM, or is never done."""
+    bare = re.sub(r"\\.", "a", pattern, flags=re.S)
+    bare = re.sub(r"\[\^?\]?(?:\[[^\]]*\]|[^\]])*\]", "c", bare)
+    if re.search(r"\)[*+]", bare):
+        return True
+    return any(not high or int(high) > _FEW_TURNS for high in re.findall(r"\)\{\d*,?(\d*)\}", bare))
+
+
 def may_be_empty(spark: SparkSession, java: str) -> bool:
     """Whether a match without characters turns up on a few probes."""
     p = spark._jvm.java.util.regex.Pattern.compile(java)

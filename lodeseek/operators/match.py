@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import regexes
+from ..functions import automaton, regexes
 from ..plans.conditions import PLAIN, REGEX, TOKEN, SearchConditions
 
 HIT = "line_start int, col_start int, line_end int, col_end int, matched_text string"
@@ -188,11 +188,12 @@ def _spans_with_empties(java_like: str):
     p = regex.compile(java_like.removeprefix("(?dU)").replace(r"\z", r"\Z"))
 
     def spans(text: str) -> Iterator[tuple[int, int]]:
-        end = None
-        for m in p.finditer(text):
+        at, end = 0, None
+        while at <= len(text) and (m := p.search(text, at)) is not None:
             if m.start() == m.end() == end:
+                at = end + 1
                 continue
-            end = m.end()
+            at = end = m.end()
             yield m.start(), m.end()
 
     return spans
@@ -227,9 +228,12 @@ def hits_column(files: DataFrame, conditions: SearchConditions, text: str = "tex
     if mode != REGEX:
         raise ValueError(f"{mode} is not a text mode")
     java = regexes.compiled(files.sparkSession, conditions.pattern)
-    if regexes.may_be_empty(files.sparkSession, java):
-        return _python_hits(java)(col)
     sure = regexes.literal_prefix(conditions.pattern)
+    if regexes.recurses(conditions.pattern) or regexes.may_be_empty(files.sparkSession, java):
+        # texts without the sure prefix are nulls to the function
+        some = F.when(F.contains(col, F.lit(sure)), col) if sure else col
+        safe = automaton.in_automaton_terms(conditions.pattern)
+        return automaton.hits_column(some, safe, _HITS) if safe is not None else _python_hits(java)(some)
     hits = regex_hits(col, java, regexes.stays_in_line(conditions.pattern))
     return F.when(F.contains(col, F.lit(sure)), hits).otherwise(_none()) if sure else hits
 

@@ -83,6 +83,17 @@ SELECT doc_id, CAST(1 + strlen(head) - strlen(replace(head, chr(10), '')) AS INT
        CAST(1 + strlen(tail) - strlen(replace(tail, chr(10), '')) AS INT) AS line_end, CAST(strlen(string_split(tail, chr(10))[-1]) AS INT) AS col_end, matched_text FROM both_"""
 
 
+def _marked_hits_sql(re: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """The same by marks around the hits, so that empty ones show."""
+    return f"""WITH cut AS (SELECT {key}, string_split(regexp_replace({text}, '{re}', chr(64976) || '\\0' || chr(64977), 'g'), chr(64976)) AS p FROM {source}),
+each AS (SELECT {key}, [split_part(x, chr(64977), 1) for x in p[2:]] AS m, list_concat([p[1]], [split_part(x, chr(64977), 2) for x in p[2:]]) AS g FROM cut),
+hit AS (SELECT {key}, g, m, unnest(generate_series(1, len(m))) AS k FROM each WHERE len(m) > 0),
+placed AS (SELECT {key}, m[k] AS matched_text, array_to_string(list_transform(generate_series(1, k), lambda i: g[i] || CASE WHEN i < k THEN m[i] ELSE '' END), '') AS head FROM hit),
+both_ AS (SELECT {key}, matched_text, head, head || matched_text AS tail FROM placed)
+SELECT {key}, CAST(1 + strlen(head) - strlen(replace(head, chr(10), '')) AS INT) AS line_start, CAST(strlen(string_split(head, chr(10))[-1]) AS INT) AS col_start,
+       CAST(1 + strlen(tail) - strlen(replace(tail, chr(10), '')) AS INT) AS line_end, CAST(strlen(string_split(tail, chr(10))[-1]) AS INT) AS col_end, matched_text FROM both_"""
+
+
 # ---------------------------------------------------------------- match generators
 
 query("m1_plain", _line_hits_sql("er"))(lambda s, d: _places(s, d, _plain("er")))
@@ -91,6 +102,18 @@ query("m3_ignore_case", _line_hits_sql("the", fold=True))(lambda s, d: _places(s
 query("m4_ignore_case_whole_word", _line_hits_sql("the", _ALONE.format(n=3), fold=True))(lambda s, d: _places(s, d, _plain("tHe", case_insensitive=True, whole_word=True)))
 query("m5_regex", _text_hits_sql("[a-z]+tion[.,]"))(lambda s, d: _places(s, d, SearchConditions("documents", "[a-z]+tion[.,]", search_mode=REGEX)))
 query("m5_regex_over_lines", _text_hits_sql("\\.\\s+[A-Z][a-z]+"))(lambda s, d: _places(s, d, SearchConditions("documents", r"\.\s+[A-Z][a-z]+", search_mode=REGEX)))
+query("m5_repeated_alternatives", _text_hits_sql("(?:er|in|st|re)+[a-z]"))(lambda s, d: _places(s, d, SearchConditions("documents", "(?:er|in|st|re)+[a-z]", search_mode=REGEX)))
+query("m5_empty_matches", _marked_hits_sql("(?m)^(?:t|h|e|a|s)*"))(lambda s, d: _places(s, d, SearchConditions("documents", "(?m)^(?:t|h|e|a|s)*", search_mode=REGEX)))
+
+
+@query("m5_tag_texts", _marked_hits_sql("<(?:[^<>]|\\n)*>(?:[^<>]|\\n)+</", "pages", "page_id", "html"))
+def _m5_tag_texts(spark, sf_dir):
+    """Repeated alternatives that run over lines, in web pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = match.hits_column(pages, SearchConditions("pages", "<(?:[^<>]|\\n)*>(?:[^<>]|\\n)+</", search_mode=REGEX), "html")
+    return match.only_places(pages, found, "page_id")
+
+
 query("m6_token", _text_hits_sql("of\\s*the"))(lambda s, d: _places(s, d, SearchConditions("documents", "of the", search_mode=TOKEN)))
 
 
