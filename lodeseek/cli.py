@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .functions import languages
 from .plans.conditions import AST, SearchConditions
 
@@ -91,6 +95,27 @@ def parse_run(line: str, program: str = "sg") -> RunArgs:
     return RunArgs(**got)
 
 
+PARSED = "pattern string, lang string, context_before int, context_after int, search_dir string, error string"
+
+
+def parsed(line: Column) -> Column:
+    """Commands as structs of their arguments, or their error."""
+    names = [c.split()[0] for c in PARSED.split(", ")]
+
+    @F.pandas_udf(PARSED)
+    def read(lines: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in lines:
+            try:
+                r = parse_run(x or "")
+                rows.append((*[getattr(r, n) for n in names[:-1]], None))
+            except CommandError as e:
+                rows.append((None,) * 5 + (str(e),))
+        return pd.DataFrame(rows, columns=names).astype({"context_before": "Int32", "context_after": "Int32"})
+
+    return read(line)
+
+
 def change_dir(current: str, line: str) -> str | None:
     """The folder after a `cd` command; None for other commands. `..` stays as it is written."""
     words = line.strip().split(None, 1)
@@ -134,7 +159,9 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     c = args.conditions()
     hits, stats = search.run_one(tree.files(spark, c), c)
-    print("\n".join(rendered(report.collected(hits), stats)))
+    for r in search.ordered(report.blocks(hits, "terminal", c)).toLocalIterator():
+        print(r["block"], end="")
+    print(rendered([], stats)[-1])
     return 0
 
 

@@ -156,6 +156,22 @@ def encode(text: str, encoding: str) -> bytes:
     return {"Utf16Le": codecs.BOM_UTF16_LE, "Utf16Be": codecs.BOM_UTF16_BE}.get(encoding, b"") + raw
 
 
+def encoded(text: Column, encoding: Column) -> Column:
+    """Bytes of each text in its own encoding; null where the encoding lacks a character, or is not known."""
+
+    @F.pandas_udf("binary")
+    def raw(texts: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for t, e in zip(texts, names, strict=True):
+            try:
+                out.append(encode(t, e) if t is not None else None)
+            except (DecodeError, LookupError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return raw(text, encoding)
+
+
 def decoded(files: DataFrame, preference: str = AUTO) -> DataFrame:
     """files(content, ...) with text and text_encoding instead of content; files that are no text are left out.
 

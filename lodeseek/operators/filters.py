@@ -31,6 +31,14 @@ def not_in_dirs(relative_path: Column, spec: str) -> Column:
     return ~F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
 
 
+def without_components(files: DataFrame, skip: DataFrame) -> DataFrame:
+    """files(path, ...) none of whose folders is in skip(name), a table of any size: an anti-join by exploded components."""
+    parts = F.split("path", "/")
+    dirs = files.select("path", F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("name"))
+    hit = dirs.join(skip.select("name").distinct(), "name", "left_semi").select("path").distinct()
+    return files.join(hit, "path", "left_anti")
+
+
 def glob_patterns(spec: str) -> list[str]:
     """Anchored expressions of a file filter; other metacharacters than the dot and the star keep their meaning. Invalid ones are dropped."""
     out = []

@@ -6,6 +6,9 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 AST, TOKEN, PLAIN, REGEX = "Ast", "TokenSearch", "PlainText", "Regex"
 MODES = (AST, TOKEN, PLAIN, REGEX)
 #: Labels of modes and encodings in reports.
@@ -66,6 +69,12 @@ class PatternJob:
         return self.enabled and bool(self.conditions.pattern.strip()) and bool(self.conditions.search_dir.strip())
 
 
+def runnable_rows(jobs: DataFrame) -> DataFrame:
+    """Of jobs(enabled, pattern, search_dir, ...) those that would run."""
+    filled = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s", "")) > 0
+    return jobs.where(F.col("enabled") & filled(F.col("pattern")) & filled(F.col("search_dir")))
+
+
 def add_job(jobs: list[PatternJob], next_id: int, conditions: SearchConditions, label: str = "") -> tuple[list[PatternJob], int]:
     """The jobs with one more, made of the current conditions; and the next free id."""
     return [*jobs, PatternJob(next_id, label or conditions.pattern, True, conditions)], next_id + 1

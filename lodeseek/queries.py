@@ -117,16 +117,16 @@ def _m5_tag_texts(spark, sf_dir):
 query("m6_token", _text_hits_sql("of\\s*the"))(lambda s, d: _places(s, d, SearchConditions("documents", "of the", search_mode=TOKEN)))
 
 
-@query("m10_place", """WITH b AS (SELECT doc_id, text, o, CASE WHEN o > length(text) THEN text ELSE substr(text, 1, o) END AS head FROM documents, (VALUES (0), (7), (500), (100000)) AS t(o)
- WHERE strlen(text) = length(text))
-SELECT doc_id, CAST(o AS INT) AS byte_offset, CAST(strlen(head) - strlen(replace(head, chr(10), '')) AS INT) AS line, CAST(strlen(string_split(head, chr(10))[-1]) AS INT) AS col FROM b""")
-def _m10(spark, sf_dir):
-    """Of the texts that the SQL can express: those of one byte a character. m10_place_bytes is over all texts."""
-    return _placed(table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text")))
+_PLACE_SQL = """WITH p AS (SELECT doc_id, strlen(text) AS n, string_split(text, chr(10)) AS g FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, n, k - 1 AS line, CAST(coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+ FROM (SELECT doc_id, n, unnest(generate_series(1, len(g))) AS k, unnest(list_transform(g, lambda x: strlen(x) + 1)) AS size FROM p))
+SELECT doc_id, CAST(o AS INT) AS byte_offset, CAST(max(line) AS INT) AS line, CAST(least(o, max(n)) - max(begins) AS INT) AS col
+FROM s, (VALUES (0), (7), (500), (100000)) AS t(o) WHERE begins <= least(o, n) GROUP BY doc_id, o"""
 
 
-@query("m10_place_bytes")
-def _m10_bytes(spark, sf_dir):
+@query("m10_place", _PLACE_SQL)
+def _m10(spark, sf_dir):
+    """Offsets in the bytes of all texts, whatever their characters."""
     return _placed(table(spark, sf_dir, "documents"))
 
 
@@ -256,14 +256,6 @@ def _f5(spark, sf_dir):
     return tree(spark, sf_dir).where(filters.small_enough(size * 256, 1)).select("path", size.alias("length"))
 
 
-@query("f6_runnable", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 <> 0 AND n_regionkey <> 2 AND n_name <> 'CHINA'")
-def _f6(spark, sf_dir):
-    """Jobs that are enabled, with a pattern and a directory; a handful made of the nations."""
-    rows = table(spark, sf_dir, "nation").collect()
-    jobs = [PatternJob(r.n_nationkey, r.n_name, r.n_nationkey % 3 != 0, SearchConditions(" " if r.n_name == "CHINA" else "d", "\t" if r.n_regionkey == 2 else r.n_name)) for r in rows]
-    return spark.createDataFrame([(j.id,) for j in jobs if j.runnable()], "id int")
-
-
 @query("f11_history", "SELECT source, max(doc_id) AS used FROM documents WHERE contains(source, 'src1') AND source <> 'src1' GROUP BY source ORDER BY used DESC, source LIMIT 8")
 def _f11(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.contains("source", F.lit("src1")) & (F.col("source") != "src1"))
@@ -277,17 +269,6 @@ def _f12(spark, sf_dir):
     return t.select("doc_id", windows.path_label(F.col("t")).alias("path_label"), windows.hint_label(F.col("t")).alias("hint_label"))
 
 
-_ALIAS_SQL = ", ".join(f"('{a}', '{lang}')" for lang, names in languages.ALIASES.items() for a in names)
-
-
-@query("f13_alias", f"""WITH a(alias, lang) AS (VALUES {_ALIAS_SQL}), n AS (SELECT n_name, n_nationkey FROM nation)
-SELECT n.n_nationkey, upper(a2.alias) AS typed, a2.lang AS language FROM n JOIN (SELECT *, row_number() OVER (ORDER BY alias) - 1 AS i FROM a) a2 ON a2.i = n.n_nationkey""")
-def _f13(spark, sf_dir):
-    names = sorted(a for names in languages.ALIASES.values() for a in names)
-    typed = F.get(F.array(*[F.lit(n.upper()) for n in names]), F.col("n_nationkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", typed.alias("typed")).where("typed IS NOT NULL").withColumn("language", languages.language_of_alias(F.col("typed")))
-
-
 @query("d6_binary", """WITH t AS (SELECT doc_id, substr(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(1), 30) || text WHEN 2 THEN repeat('�', 9) || text ELSE '' END, 1, 4096) AS h FROM documents)
 SELECT doc_id, length(h) > 0 AND ((length(h) - length(replace(h, '�', ''))) * 4 + length(h) - length(regexp_replace(h, '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g'))) * 20 > length(h) AS is_binary FROM t""")
 def _d6(spark, sf_dir):
@@ -296,16 +277,6 @@ def _d6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", filters.looks_binary(text).alias("is_binary"))
 
 
-@query("d8_labels", """SELECT * FROM (VALUES ('Utf8','UTF-8','UTF8, UTF-8N','UTF-16 LE, UTF-16 BE'), ('Utf16Le','UTF-16 LE','UTF-16, Unicode','UTF-8, Shift_JIS (CP932)'), ('Utf16Be','UTF-16 BE','UTF-16, Unicode','UTF-8, Shift_JIS (CP932)'),
-('ShiftJis','Shift_JIS (CP932)','CP932, Windows-31J, MS_Kanji','EUC-JP, JIS (ISO-2022-JP)'), ('EucJp','EUC-JP','EUC','Shift_JIS (CP932), JIS (ISO-2022-JP)'), ('Iso2022Jp','JIS (ISO-2022-JP)','JIS','Shift_JIS (CP932), EUC-JP'),
-('Gbk','GBK / GB18030','GB18030, CP936','Big5, Latin1 / Windows-1252'), ('Big5','Big5','CP950','GBK / GB18030, Latin1 / Windows-1252'), ('EucKr','EUC-KR','KS X 1001, CP949','Latin1 / Windows-1252, UTF-8'),
-('Windows1252','Latin1 / Windows-1252','Latin1, ISO-8859-1','UTF-8, Shift_JIS (CP932)')) AS t(encoding, label, aliases, near)""")
-def _d8(spark, sf_dir):
-    from .functions import encodings
-
-    return encodings.dimension(spark)
-
-
 # ---------------------------------------------------------------- joins
 
 
@@ -317,10 +288,11 @@ def _j1(spark, sf_dir):
     return files.drop("lang").join(F.broadcast(dim), "ext", "left").select("path", F.col("lang").alias("language"))
 
 
-@query("j3_anti", f"WITH {_TREE_SQL} SELECT path FROM tree WHERE source NOT IN ('src0', 'src7')")
+@query("j3_anti", f"WITH {_TREE_SQL} SELECT path FROM tree WHERE source NOT IN ('src0', 'src7') AND lang <> 'de'")
 def _j3(spark, sf_dir):
-    skip = spark.createDataFrame([("src0",), ("src7",)], "source string")
-    return tree(spark, sf_dir).join(F.broadcast(skip), "source", "left_anti").select("path")
+    """Files none of whose folders, on any level, is on a list of folders to skip."""
+    skip = spark.createDataFrame([("src0",), ("src7",), ("de",)], "name string")
+    return filters.without_components(tree(spark, sf_dir).select("path"), skip).select("path")
 
 
 @query("j4_jobs_x_files", f"""WITH {_TREE_SQL}, a AS ({_line_hits_sql("er")}), b AS ({_line_hits_sql("the", _ALONE.format(n=3))}), c AS ({_text_hits_sql("[a-z]+tion[.,]")})
@@ -466,19 +438,6 @@ def _w6(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_regionkey", "n_name", F.row_number().over(w).cast("long").alias("id"))
 
 
-_CLAIMS_SQL = ", ".join(f"('{e}', '{lang}', {i})" for i, (lang, exts) in enumerate(languages.EXTENSIONS.items()) for e in exts)
-
-
-@query("w7_extension_map", f"SELECT ext, arg_min(lang, p) AS lang FROM (VALUES {_CLAIMS_SQL}) AS t(ext, lang, p) GROUP BY ext ORDER BY ext")
-def _w7(spark, sf_dir):
-    return windows.keep_first(languages.dimension(spark), ["ext"], ["priority"]).select("ext", "lang").orderBy("ext")
-
-
-@query("u1_extensions", f"SELECT DISTINCT ext FROM (VALUES {_CLAIMS_SQL}) AS t(ext, lang, p)")
-def _u1(spark, sf_dir):
-    return languages.dimension(spark).select("ext").distinct()
-
-
 @query("u3_union_runs", f"""WITH {_TREE_SQL}, a AS ({_line_hits_sql("er")}), b AS ({_line_hits_sql("tion")})
 SELECT 1 AS job_id, path, line_start, col_start FROM a JOIN tree USING (doc_id) UNION ALL SELECT 2, path, line_start, col_start FROM b JOIN tree USING (doc_id)""")
 def _u3(spark, sf_dir):
@@ -567,15 +526,6 @@ def _r_join(spark, sf_dir):
 
 # ---------------------------------------------------------------- suggestions, explanations, dimensions
 
-_PRESETS_SQL = ", ".join("('{}', {}, '{}', '{}')".format(lang, i, p.replace("'", "''"), n) for lang in languages.LANGUAGES for i, (n, p) in enumerate(languages.presets(lang)))
-
-
-@query("p5_presets", f"SELECT lang, no, pattern, label FROM (VALUES {_PRESETS_SQL}) AS t(lang, no, pattern, label)")
-def _p5(spark, sf_dir):
-    rows = [(lang, i, p, n) for lang in languages.LANGUAGES for i, (n, p) in enumerate(languages.presets(lang))]
-    return spark.createDataFrame(rows, "lang string, no int, pattern string, label string")
-
-
 @query("p1_suggest")
 def _p1(spark, sf_dir):
     """Patterns that fit each page's script; equal scripts are worked on once."""
@@ -586,14 +536,6 @@ def _p1(spark, sf_dir):
     return pages.select("page_id", "digest").join(found, "digest").select("page_id", "position", "pattern", "description", "match_count")
 
 
-@query("p6_regex_tokens", """SELECT * FROM (VALUES (0, 'anchor', '^', 0), (1, 'group', '(', 0), (2, 'literal', 'ab', 1), (3, 'alternation', '|', 1), (4, 'class', '[0-9]', 1), (5, 'quantifier', '+', 1), (6, 'group_end', ')', 0), (7, 'quantifier', '{2}', 0), (8, 'anchor', '$', 0)) AS t(no, kind, token, depth)""")
-def _p6(spark, sf_dir):
-    from .sql import register
-
-    register(spark)
-    return spark.sql("SELECT no, kind, token, depth FROM regex_tokens('^(ab|[0-9]+){2}$')")
-
-
 @query("u2_union_dedupe", "SELECT pattern, arg_min(origin, pos) AS origin FROM (SELECT n_name AS pattern, 'nation' AS origin, n_nationkey AS pos FROM nation UNION ALL SELECT r_name, 'region', 100 + r_regionkey FROM region UNION ALL SELECT n_name, 'again', 200 + n_nationkey FROM nation) GROUP BY pattern")
 def _u2(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -631,13 +573,6 @@ def _d1(spark, sf_dir):
     return encodings.decoded(files).select("doc_id", "text_encoding", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("k4_json")
-def _k4(spark, sf_dir):
-    """Hits nested by file, as JSON."""
-    files = search.nested(search.search(tree(spark, sf_dir), _plain("worthless")))
-    return files.select("path", F.to_json(F.struct("path", "source_language", "text_encoding", "matches")).alias("json"))
-
-
 @query("t1_hits_by_source", f"WITH h AS ({_line_hits_sql('er')}) SELECT lang, source, count(*) AS hits FROM h JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)")
 def _t1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import search
-from .plans.conditions import SearchConditions
-from .queries import query, table
+from .plans import conditions
+from .plans.conditions import PLAIN, SearchConditions
+from .queries import _LINES_SQL, _TREE_SQL, _line_hits_sql, query, table, tree
+from .sinks import report
 
 
 def _quoted(*values: object) -> str:
@@ -112,25 +112,30 @@ query("m9_same_name_of_all_languages", _CALL_SQL + " WHERE c_nationkey = c_custk
 
 # ---------------------------------------------------------------- rewriting (x1, x2, a7, a8)
 
-#: Language, text, pattern, template, text after, replacements.
+#: Language, text, pattern, template, text after, replacements; @ stands for the customer's nation.
 REWRITES = [
-    ("Python", "print(1); print(2)", "print($X)", "log($X)", "log(1); log(2)", 2),
-    ("Rust", "let a = b.unwrap();", "$V.unwrap()", '$V.expect("x")', 'let a = b.expect("x");', 1),
-    ("Python", "f(f(1))", "f($A)", "g($A)", "g(g(1))", 2),
-    ("Java", "a(1, 2)", "a($$$X)", "b($$$X)", "b(1, 2)", 1),
-    ("JavaScript", "x == y", "$A == $B", "$A === $B", "x === y", 1),
-    ("C++", "p->go(1);", "$P->go($A)", "$P->come($A)", "p->come(1);", 1),
+    ("Python", "print(@1); print(2)", "print($X)", "log($X)", "log(@1); log(2)", 2),
+    ("Rust", "let a = b@.unwrap();", "$V.unwrap()", '$V.expect("x")', 'let a = b@.expect("x");', 1),
+    ("Python", "f(f(@))", "f($A)", "g($A)", "g(g(@))", 2),
+    ("Java", "a(1, @)", "a($$$X)", "b($$$X)", "b(1, @)", 1),
+    ("JavaScript", "x == y@", "$A == $B", "$A === $B", "x === y@", 1),
+    ("C++", "p->go(@);", "$P->go($A)", "$P->come($A)", "p->come(@);", 1),
 ]
 
 
-@query("x1_rewrite_shapes", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(i, t, a, n)})' for i, (_, t, _, _, a, n) in enumerate(REWRITES))}) AS t(no, before_, after_, replacements)")
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"({_quoted(*r)})" for r in rows)
+
+
+@query("x1_rewrite_shapes", f"SELECT c_custkey AS id, replace(b, '@', '' || c_nationkey) AS before_, replace(a, '@', '' || c_nationkey) AS after_, n AS replacements FROM customer JOIN (VALUES {_values([(i, t, a, n) for i, (_, t, _, _, a, n) in enumerate(REWRITES)])}) AS t(i, b, a, n) ON c_custkey % {len(REWRITES)} = i")
 def _rewrites(spark, sf_dir):
+    """Rewrites in several languages; each customer's text takes one of them."""
     from .operators.syntax import spark as syntax
 
-    out = None
+    customers, out = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), None
     for i, (lang, text, pattern, template, _, _) in enumerate(REWRITES):
-        files = spark.createDataFrame([("a", lang, text)], "path string, source_language string, text string")
-        one = syntax.rewritten(files, pattern, template, lang).select(F.lit(i).alias("no"), F.col("before").alias("before_"), F.col("after").alias("after_"), "replacements")
+        files = customers.where(F.col("c_custkey") % len(REWRITES) == i).select(F.col("c_custkey").cast("string").alias("path"), F.lit(lang).alias("source_language"), F.replace(F.lit(text), F.lit("@"), "nation").alias("text"))
+        one = syntax.rewritten(files, pattern, template, lang).select(F.col("path").cast("long").alias("id"), F.col("before").alias("before_"), F.col("after").alias("after_"), "replacements")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -171,106 +176,232 @@ BYTES = [
 ]
 
 
-@query("d5_decode_shapes", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(i, t, e)})' for i, (_, _, t, e) in enumerate(BYTES) if t is not None)}) AS t(no, text, text_encoding)")
+def _shape(key: str, of: list) -> Column:
+    """The column of the shape of a key's remainder."""
+    return F.coalesce(*[F.when(F.col(key) % len(of) == i, x) for i, x in enumerate(of)])
+
+
+_BYTES_SQL = f"customer JOIN (VALUES {_values([(i, *x) for i, x in enumerate(BYTES)])}) AS t(i, preference, bytes, told, encoding) ON c_custkey % {len(BYTES)} = i"
+
+
+@query("d5_decode_shapes", f"SELECT c_custkey AS id, told || c_nationkey AS text, encoding AS text_encoding FROM {_BYTES_SQL} WHERE told IS NOT NULL")
 def _decode(spark, sf_dir):
-    """Bytes of every encoding, by the encoding told or found; what is no text is left out."""
+    """Bytes of every encoding with a number behind, by the encoding told or found; what is no text is left out."""
     from .functions import encodings
 
-    out = None
+    charset = {"Utf16Le": "UTF-16LE", "Utf16Be": "UTF-16BE"}
+    number = F.col("c_nationkey").cast("string")
+    content = _shape("c_custkey", [F.concat(F.unhex(F.lit(b)), F.encode(number, charset.get(e, "US-ASCII"))) for _, b, _, e in BYTES])
+    files, out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), content.alias("content")), None
     for preference in dict.fromkeys(p for p, *_ in BYTES):
-        rows = [(i, bytearray.fromhex(b)) for i, (p, b, _, _) in enumerate(BYTES) if p == preference]
-        one = encodings.decoded(spark.createDataFrame(rows, "no int, content binary"), preference).select("no", "text", "text_encoding")
+        these = [i for i, x in enumerate(BYTES) if x[0] == preference]
+        one = encodings.decoded(files.where((F.col("id") % len(BYTES)).isin(these)), preference).select("id", "text", "text_encoding")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("d7_encode_shapes", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(i, p, b)})' for i, (p, b, t, _) in enumerate(BYTES) if t is not None and p not in ('Auto', 'Utf16Le', 'Utf16Be'))}) AS t(no, encoding, bytes)")
+@query("d7_encode_shapes", f"SELECT c_custkey AS id, preference AS encoding, CASE WHEN told IS NOT NULL THEN bytes || hex('' || c_nationkey) END AS bytes FROM {_BYTES_SQL} WHERE preference NOT IN ('Auto', 'Utf16Le', 'Utf16Be')")
 def _encode(spark, sf_dir):
+    """Texts in every encoding but the wide ones, with a number behind."""
     from .functions import encodings
 
-    rows = [(i, p, t) for i, (p, _, t, _) in enumerate(BYTES) if t is not None and p not in ("Auto", "Utf16Le", "Utf16Be")]
-    hexed = F.udf(lambda t, e: encodings.encode(t, e).hex().upper())
-    return spark.createDataFrame(rows, "no int, encoding string, text string").select("no", "encoding", hexed("text", "encoding").alias("bytes"))
+    number = F.col("c_nationkey").cast("string")
+    text = _shape("c_custkey", [F.concat(F.lit(t), number) for _, _, t, _ in BYTES])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _shape("c_custkey", [F.lit(p) for p, *_ in BYTES]).alias("encoding"), text.alias("text"))
+    return rows.where("encoding NOT IN ('Auto', 'Utf16Le', 'Utf16Be')").select("id", "encoding", F.hex(encodings.encoded(F.col("text"), F.col("encoding"))).alias("bytes"))
 
 
 # ---------------------------------------------------------------- reports (k1 to k4) and rendering (p13)
 
-_HITS = [{"path": "a|b.py", "relative_path": "a|b.py", "source_language": "Python", "text_encoding": "UTF-8", "matches": [
-    {"line_start": 2, "col_start": 4, "line_end": 2, "col_end": 8, "matched_text": "x<1|", "span_lines_text": "if (x<1|2)", "context_before": ["one"], "context_after": ["three"]}]}]
-_STATS = {"total_matches": 1, "total_files": 1, "elapsed_ms": 7, "hit_limit_reached": True}
-_LINES = [
-    ("text", "Total: 1 matches / 1 files / 7ms (truncated at hit limit)"), ("text", "## a|b.py"), ("text", "  line 2:4 "), ("text", "  one"), ("text", "  if (x<1|2)"), ("text", "  three"),
-    ("markdown", "Total: **1** matches / **1** files / 7ms (truncated at hit limit)"), ("markdown", "| File | Line | Col | Matched text | Source (context) |"), ("markdown", "|---|---|---|---|---|"),
-    ("markdown", "| `a\\|b.py` | 2 | 4 | x<1\\| | one<br>if (x<1\\|2)<br>three |"),
-    ("html", "<td><code>a|b.py</code></td>"), ("html", "<td>2</td>"), ("html", "<td>4</td>"), ("html", "<td><code>x&lt;1|</code></td>"), ("html", "<td><code>one<br>"), ("html", "if (x&lt;1|2)<br>"), ("html", "three</code></td>"),
-    ("json", "matches: x<1|"), ("json", "stats: 1 1 7 True"), ("terminal", "a|b.py"), ("terminal", "      1 | one"), ("terminal", ">     2 | if (x<1|2)"), ("terminal", "      3 | three"), ("terminal", "1 matches in 1 files (7 ms)"),
-]
-
-
-@query("k_reports", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(k, line)})' for k, line in _LINES)}) AS t(kind, line)")
-def _reports(spark, sf_dir):
-    """The lines of each kind of report that tell a hit and the totals."""
-    from . import cli
-    from .sinks import report
-
-    c = SearchConditions("d", "x<1|", "Python")
-    told = json.loads(report.as_json(_HITS, _STATS, c))
-    page = report.html(_HITS, _STATS, c)
-    made = {
-        "text": report.text(_HITS, _STATS, c).split("\n"), "markdown": report.markdown(_HITS, _STATS, c).split("\n"), "html": page[page.index("<tbody>"):].split("\n"),
-        "json": ["matches: " + told["results"][0]["matches"][0]["matched_text"], "stats: " + " ".join(str(told["stats"][k]) for k in ("total_matches", "total_files", "elapsed_ms", "hit_limit_reached"))],
-        "terminal": cli.rendered(_HITS, _STATS),
-    }
-    start = {"text": "Total", "markdown": "Total"}
-    rows = []
-    for kind, lines in made.items():
-        on = kind not in start
-        for line in lines:
-            on = on or line.startswith(start[kind])
-            frame = line.startswith(("<t", "</t", "</body", "</html")) and not line.startswith("<td>")
-            if on and line.strip() and not frame:
-                rows.append((kind, line))
-    return spark.createDataFrame(rows, "kind string, line string")
+_REPORT_SQL = f"""WITH {_LINES_SQL}, {_TREE_SQL}, h AS (
+  SELECT t.path, l.doc_id, CAST(line_no AS INT) AS line_start, CAST(strlen(split_part(line, 'worthless', 1)) AS INT) AS col_start, line,
+         rtrim(array_to_string(list_concat(d.ls[greatest(1, line_no - 1):line_no - 1], [line], d.ls[line_no + 1:line_no + 1]), chr(10)), chr(10)) AS shown,
+         d.ls[greatest(1, line_no - 1):line_no - 1] AS before_, d.ls[line_no + 1:line_no + 1] AS after_,
+         row_number() OVER (PARTITION BY path ORDER BY line_no) AS n, count(*) OVER (PARTITION BY path) AS of
+  FROM lines l JOIN tree t USING (doc_id) JOIN lined d USING (doc_id) WHERE contains(line, 'worthless') AND len(string_split(line, 'worthless')) = 2)
+"""
+_HTML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+#: What each kind of report says of a hit, in SQL.
+_BLOCK_SQL = {
+    "txt": "CASE WHEN n = 1 THEN '## ' || path || chr(10) ELSE '' END || '  line ' || line_start || ':' || col_start || ' ' || chr(10) || '  ' || replace(shown, chr(10), chr(10) || '  ') || chr(10) || CASE WHEN n = of THEN chr(10) ELSE '' END",
+    "md": "'| `' || path || '` | ' || line_start || ' | ' || col_start || ' | worthless | ' || replace(replace(shown, '|', chr(92) || '|'), chr(10), '<br>') || ' |' || chr(10)",
+    "html": f"'<tr>' || chr(10) || '<td><code>' || path || '</code></td>' || chr(10) || '<td>' || line_start || '</td>' || chr(10) || '<td>' || col_start || '</td>' || chr(10) || '<td><code>worthless</code></td>' || chr(10) || '<td><code>' || replace({_HTML.format('shown')}, chr(10), '<br>' || chr(10)) || '</code></td>' || chr(10) || '</tr>' || chr(10)",
+    "terminal": "CASE WHEN n = 1 THEN path || chr(10) ELSE '' END || array_to_string(list_concat(list_transform(before_, lambda x: '  ' || lpad('' || (line_start - 1), 5, ' ') || ' | ' || x), ['> ' || lpad('' || line_start, 5, ' ') || ' | ' || line], list_transform(after_, lambda x: '  ' || lpad('' || (line_start + 1), 5, ' ') || ' | ' || x)), chr(10)) || chr(10) || chr(10)",
+}
+_KIND_NAMES = {"txt": "k1_text", "md": "k2_markdown", "html": "k3_html", "terminal": "p13_terminal"}
+
+
+def _report_blocks(kind: str):
+    def run(spark, sf_dir):
+        c = SearchConditions("documents", "worthless", search_mode=PLAIN, context_lines=1)
+        hits = search.search(tree(spark, sf_dir), c)
+        # lines with one hit: the SQL finds the first
+        once = hits.withColumn("in_line", F.size(F.split("span_lines_text", "worthless", -1))).where("in_line = 2")
+        return report.blocks(once, kind, c).select("path", "line_start", "block")
+
+    return run
+
+
+for _kind, _name in _KIND_NAMES.items():
+    query(_name, f"{_REPORT_SQL} SELECT path, line_start, {_BLOCK_SQL[_kind]} AS block FROM h")(_report_blocks(_kind))
+
+
+@query("k4_json", f"""WITH {_LINES_SQL}, {_TREE_SQL}, h AS ({_line_hits_sql("worthless")})
+SELECT path, array_to_string(list('worthless@' || line_start || ':' || col_start || '-' || line_end || ':' || col_end ORDER BY line_start, col_start), ' ') AS told, path AS relative_path, 'UTF-8' AS text_encoding
+FROM h JOIN tree USING (doc_id) GROUP BY path""")
+def _k4(spark, sf_dir):
+    """The JSON of each file, read again."""
+    each = report.file_objects(search.search(tree(spark, sf_dir), SearchConditions("documents", "worthless", search_mode=PLAIN)))
+    hit = "struct<matched_text:string,line_start:int,col_start:int,line_end:int,col_end:int>"
+    back = each.select(F.from_json("json", f"path string, relative_path string, text_encoding string, matches array<{hit}>").alias("f"))
+    said = F.transform("f.matches", lambda h: F.format_string("%s@%d:%d-%d:%d", h["matched_text"], h["line_start"], h["col_start"], h["line_end"], h["col_end"]))
+    return back.select("f.path", F.array_join(said, " ").alias("told"), "f.relative_path", "f.text_encoding")
 
 
 # ---------------------------------------------------------------- commands (p10 to p12) and quantifiers (p7 to p9)
 
-#: Command line, then pattern, language, lines before and after, folder; or the error.
+#: Command line, then pattern, language, lines before and after, folder; or the error. @ stands for the customer's nation.
 COMMANDS = [
-    ("sg run -p 'a b' -l rs -C 2 src", "a b", "Rust", 2, 2, "src", None),
-    ("-p x", "x", "Auto", 0, 0, "", None),
-    ("sg -p x -A 3 -B 1", "x", "Auto", 1, 3, "", None),
+    ("sg run -p 'a b@' -l rs -C 2 src", "a b@", "Rust", 2, 2, "src", None),
+    ("-p x@", "x@", "Auto", 0, 0, "", None),
+    ("sg -p x -A 3 -B 1 d@", "x", "Auto", 1, 3, "d@", None),
     ('run --pattern "f($X)" --lang python', "f($X)", "Python", 0, 0, "", None),
-    ("sg -l nope -p x", None, None, None, None, None, "unknown language nope"),
+    ("sg -l nope@ -p x", None, None, None, None, None, "unknown language nope@"),
     ("sg -C two -p x", None, None, None, None, None, "-C needs a number"),
-    ("sg run src", None, None, None, None, None, "no pattern: give -p or --pattern"),
+    ("sg run src@", None, None, None, None, None, "no pattern: give -p or --pattern"),
 ]
 
 
-@query("p10_commands", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(i, *c[1:])})' for i, c in enumerate(COMMANDS))}) AS t(no, pattern, lang, before_, after_, folder, error)")
+@query("p10_commands", f"SELECT c_custkey AS id, replace(p, '@', '' || c_nationkey) AS pattern, l AS lang, b AS before_, a AS after_, replace(d, '@', '' || c_nationkey) AS folder, replace(e, '@', '' || c_nationkey) AS error FROM customer JOIN (VALUES {_values([(i, *c[1:]) for i, c in enumerate(COMMANDS)])}) AS t(i, p, l, b, a, d, e) ON c_custkey % {len(COMMANDS)} = i")
 def _commands(spark, sf_dir):
     from . import cli
 
-    rows = []
-    for i, (line, *_) in enumerate(COMMANDS):
-        try:
-            r = cli.parse_run(line)
-            rows.append((i, r.pattern, r.lang, r.context_before, r.context_after, r.search_dir, None))
-        except cli.CommandError as e:
-            rows.append((i, None, None, None, None, None, str(e)))
-    return spark.createDataFrame(rows, "no int, pattern string, lang string, before_ int, after_ int, folder string, error string")
+    line = F.replace(_shape("c_custkey", [F.lit(c) for c, *_ in COMMANDS]), F.lit("@"), F.col("c_nationkey").cast("string"))
+    read = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), cli.parsed(line).alias("r"))
+    return read.select("id", "r.pattern", "r.lang", F.col("r.context_before").alias("before_"), F.col("r.context_after").alias("after_"), F.col("r.search_dir").alias("folder"), "r.error")
 
 
-@query("p8_quantifiers", "SELECT * FROM (VALUES ('*', TRUE, TRUE), ('+', FALSE, TRUE), ('?', TRUE, FALSE), ('{0,3}', TRUE, TRUE), ('{2}', FALSE, TRUE), ('{1}', FALSE, FALSE), ('{0,1}', TRUE, FALSE), ('{1,}', FALSE, TRUE)) AS t(quantifier, zero, more)")
+@query("p8_quantifiers", """WITH q AS (SELECT c_custkey AS id, c_nationkey AS lo, c_nationkey + c_custkey % 3 AS hi, c_custkey % 7 AS k FROM customer)
+SELECT id, CASE k WHEN 0 THEN '*' WHEN 1 THEN '+?' WHEN 2 THEN '?' WHEN 3 THEN '{' || lo || '}' WHEN 4 THEN '{' || lo || ',}' ELSE '{' || lo || ',' || hi || '}' || CASE WHEN k = 5 THEN '' ELSE '?' END END AS quantifier,
+ CASE WHEN k < 3 THEN k <> 1 ELSE lo = 0 END AS zero, CASE k WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN lo > 1 WHEN 4 THEN TRUE ELSE hi > 1 END AS more FROM q""")
 def _quantifiers(spark, sf_dir):
     from .operators import explain
 
-    return spark.createDataFrame([(q, explain.allows_zero(q), explain.repeats_more(q)) for q in ("*", "+", "?", "{0,3}", "{2}", "{1}", "{0,1}", "{1,}")], "quantifier string, zero boolean, more boolean")
+    lo, hi = F.col("c_nationkey").cast("string"), (F.col("c_nationkey") + F.col("c_custkey") % 3).cast("string")
+    shapes = [F.lit("*"), F.lit("+?"), F.lit("?"), F.concat(F.lit("{"), lo, F.lit("}")), F.concat(F.lit("{"), lo, F.lit(",}")), F.concat(F.lit("{"), lo, F.lit(","), hi, F.lit("}")), F.concat(F.lit("{"), lo, F.lit(","), hi, F.lit("}?"))]
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _shape("c_custkey", shapes).alias("quantifier"))
+    zero, more = explain.quantifier_says(F.col("quantifier"))
+    return rows.select("id", "quantifier", zero.alias("zero"), more.alias("more"))
 
 
-@query("p9_test_matches", "SELECT * FROM (VALUES (0, 1, 3), (0, 3, 5), (1, 0, 2), (1, 4, 6)) AS t(no, start_, end_)")
+@query("p9_test_matches", """WITH cut AS (SELECT c_custkey AS id, regexp_split_to_array('é' || c_nationkey || 'x' || c_name, '[0-9]+') AS g, regexp_extract_all('é' || c_nationkey || 'x' || c_name, '[0-9]+') AS m FROM customer),
+hit AS (SELECT id, g, m, unnest(generate_series(1, len(m))) AS k FROM cut), h AS (SELECT id, m[k] AS m, array_to_string(list_transform(generate_series(1, k), lambda i: g[i] || CASE WHEN i < k THEN m[i] ELSE '' END), '') AS head FROM hit)
+SELECT id, CAST(strlen(head) AS INT) AS start_, CAST(strlen(head) + strlen(m) AS INT) AS end_ FROM h""")
 def _test_matches(spark, sf_dir):
     from .operators import explain
 
-    rows = [(i, a, b) for i, (p, t) in enumerate([("é", "aéé"), ("[0-9]+", "12ab34")]) for a, b in explain.test_matches(p, t)]
-    return spark.createDataFrame(rows, "no int, start_ int, end_ int")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("é"), F.col("c_nationkey").cast("string"), F.lit("x"), "c_name").alias("text"))
+    found = rows.select("id", F.explode(explain.test_hits(F.col("text"), F.lit(" [0-9]+ "))).alias("m"))
+    return found.select("id", F.col("m.start").alias("start_"), F.col("m.end").alias("end_"))
+
+
+#: Parts of the pattern ^(ab@|[0-9]+){2}$ with their kinds and depths.
+TOKENS = [(0, "anchor", "^", 0), (1, "group", "(", 0), (2, "literal", "ab@", 1), (3, "alternation", "|", 1), (4, "class", "[0-9]", 1), (5, "quantifier", "+", 1), (6, "group_end", ")", 0), (7, "quantifier", "{2}", 0), (8, "anchor", "$", 0)]
+
+
+@query("p6_regex_tokens", f"SELECT c_custkey AS id, no, kind, replace(token, '@', '' || c_nationkey) AS token, depth FROM customer, (VALUES {_values(TOKENS)}) AS t(no, kind, token, depth)")
+def _p6(spark, sf_dir):
+    from .sql import register
+
+    register(spark)
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string("^(ab%d|[0-9]+){2}$", "c_nationkey").alias("pattern")).createOrReplaceTempView("typed_patterns")
+    return spark.sql("SELECT c.id, t.no, t.kind, t.token, t.depth FROM typed_patterns c, LATERAL regex_tokens(c.pattern) t")
+
+
+# ---------------------------------------------------------------- dimensions met by rows (d8, p5, w7, u1, f6, f13)
+
+_LABEL_SQL = """(VALUES (0,'Utf8','UTF-8','UTF8, UTF-8N','UTF-16 LE, UTF-16 BE'), (1,'Utf16Le','UTF-16 LE','UTF-16, Unicode','UTF-8, Shift_JIS (CP932)'), (2,'Utf16Be','UTF-16 BE','UTF-16, Unicode','UTF-8, Shift_JIS (CP932)'),
+(3,'ShiftJis','Shift_JIS (CP932)','CP932, Windows-31J, MS_Kanji','EUC-JP, JIS (ISO-2022-JP)'), (4,'EucJp','EUC-JP','EUC','Shift_JIS (CP932), JIS (ISO-2022-JP)'), (5,'Iso2022Jp','JIS (ISO-2022-JP)','JIS','Shift_JIS (CP932), EUC-JP'),
+(6,'Gbk','GBK / GB18030','GB18030, CP936','Big5, Latin1 / Windows-1252'), (7,'Big5','Big5','CP950','GBK / GB18030, Latin1 / Windows-1252'), (8,'EucKr','EUC-KR','KS X 1001, CP949','Latin1 / Windows-1252, UTF-8'),
+(9,'Windows1252','Latin1 / Windows-1252','Latin1, ISO-8859-1','UTF-8, Shift_JIS (CP932)')) AS t(i, encoding, label, aliases, near)"""
+_NAMES = ["Utf8", "Utf16Le", "Utf16Be", "ShiftJis", "EucJp", "Iso2022Jp", "Gbk", "Big5", "EucKr", "Windows1252"]
+
+
+@query("d8_labels", f"SELECT c_custkey AS id, encoding, label, aliases, near FROM customer JOIN {_LABEL_SQL} ON c_custkey % 10 = i")
+def _d8(spark, sf_dir):
+    """The labels of the encoding that each customer prefers."""
+    from .functions import encodings
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _shape("c_custkey", [F.lit(n) for n in _NAMES]).alias("encoding"))
+    # a row for each encoding
+    return rows.join(F.broadcast(encodings.dimension(spark)), "encoding")
+
+
+@query("p5_presets", """SELECT c_custkey AS id, lang, no, pattern FROM customer JOIN (VALUES
+ (0, 'Rust', 0, 'fn $NAME($$$ARGS)'), (0, 'Rust', 1, 'impl $TRAIT for $TYPE'), (0, 'Rust', 2, '$VAR.unwrap()'), (0, 'Rust', 3, '$VAR.clone()'), (0, 'Rust', 4, 'panic!($$$ARGS)'),
+ (1, 'Java', 0, '$VAR == null'), (1, 'Java', 1, 'System.out.println($$$ARGS)'), (2, 'Python', 0, 'print($$$ARGS)'), (2, 'Python', 1, 'import $MODULE'),
+ (3, 'JavaScript', 0, 'console.log($$$ARGS)'), (4, 'TypeScript', 0, 'console.log($$$ARGS)'), (5, 'Go', 0, 'if err != nil { $$$BODY }'), (6, 'C++', 0, '$EXPR'), (7, 'C', 0, '$EXPR'), (8, 'C#', 0, '$EXPR'),
+ (9, 'Kotlin', 0, 'println($$$ARGS)'), (9, 'Kotlin', 1, 'fun $NAME($$$ARGS) { $$$BODY }'), (10, 'Scala', 0, 'println($$$ARGS)'), (10, 'Scala', 1, 'def $NAME($$$ARGS) = $EXPR')) AS t(i, lang, no, pattern) ON c_custkey % 11 = i""")
+def _p5(spark, sf_dir):
+    """The presets of the language that each customer uses."""
+    from .functions import languages
+
+    presets = spark.createDataFrame([(lang, i, p) for lang in languages.LANGUAGES for i, (_, p) in enumerate(languages.presets(lang))], "lang string, no int, pattern string")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _shape("c_custkey", [F.lit(n) for n in languages.LANGUAGES]).alias("lang"))
+    return rows.join(F.broadcast(presets), "lang")
+
+
+#: Extensions, the first language that claims each, and how many do.
+_CLAIMED = [("rs", "Rust", 1), ("java", "Java", 1), ("py", "Python", 1), ("pyi", "Python", 1), ("js", "JavaScript", 1), ("jsx", "JavaScript", 1), ("mjs", "JavaScript", 1), ("cjs", "JavaScript", 1), ("ts", "TypeScript", 1), ("tsx", "TypeScript", 1), ("mts", "TypeScript", 1), ("cts", "TypeScript", 1), ("go", "Go", 1), ("cpp", "C++", 1), ("cc", "C++", 1), ("cxx", "C++", 1), ("h", "C++", 2), ("hpp", "C++", 1), ("hh", "C++", 1), ("hxx", "C++", 1), ("c", "C", 1), ("cs", "C#", 1), ("kt", "Kotlin", 1), ("kts", "Kotlin", 1), ("ktm", "Kotlin", 1), ("scala", "Scala", 1), ("sc", "Scala", 1), ("sbt", "Scala", 1), ("md", None, 0), ("txt", None, 0)]
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    ext = _shape("c_custkey", [F.lit(e) for e, *_ in _CLAIMED])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("dir.d/"), F.col("c_custkey").cast("string"), F.lit("."), ext).alias("path"))
+
+
+_CLAIMED_SQL = f"customer JOIN (VALUES {_values([(i, *c) for i, c in enumerate(_CLAIMED)])}) AS t(i, ext, lang, n) ON c_custkey % {len(_CLAIMED)} = i"
+
+
+@query("w7_extension_map", f"SELECT c_custkey AS id, lang FROM {_CLAIMED_SQL}")
+def _w7(spark, sf_dir):
+    """Of all languages that claim a file's extension, the first."""
+    from .functions import languages
+    from .operators import windows
+
+    files = _named(spark, sf_dir).withColumn("ext", languages.extension_of(F.col("path")))
+    # the dimension has a row for each language and extension
+    claims = files.join(F.broadcast(languages.dimension(spark)), "ext", "left")
+    return windows.keep_first(claims, ["id"], ["priority"]).select("id", "lang")
+
+
+@query("u1_extensions", f"SELECT c_custkey AS id, n AS claims FROM {_CLAIMED_SQL} WHERE n > 0")
+def _u1(spark, sf_dir):
+    """Files that the union of all languages' extensions lets through, and how many languages claim each."""
+    from .functions import languages
+    from .operators import filters
+
+    files = _named(spark, sf_dir).where(filters.has_language_extension(F.col("path"), languages.AUTO))
+    claims = F.aggregate(F.array(*[filters.has_language_extension(F.col("path"), lang).cast("int") for lang in languages.LANGUAGES]), F.lit(0), lambda a, x: a + x)
+    return files.select("id", claims.alias("claims"))
+
+
+@query("f6_runnable", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey % 5 <> 2 AND c_nationkey % 7 <> 4")
+def _f6(spark, sf_dir):
+    """Jobs that are enabled, with a pattern and a directory; each customer has one."""
+    c = table(spark, sf_dir, "customer")
+    jobs = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3 != 0).alias("enabled"), F.when(F.col("c_nationkey") % 5 == 2, " \t").otherwise(F.col("c_name")).alias("pattern"), F.when(F.col("c_nationkey") % 7 == 4, "").otherwise("d").alias("search_dir"))
+    return conditions.runnable_rows(jobs).select("id")
+
+
+#: What a command line calls the languages.
+_ALIASES = [("rust", "Rust"), ("rs", "Rust"), ("java", "Java"), ("python", "Python"), ("py", "Python"), ("javascript", "JavaScript"), ("js", "JavaScript"), ("typescript", "TypeScript"), ("ts", "TypeScript"), ("go", "Go"), ("c", "C"), ("cpp", "C++"), ("c++", "C++"), ("cc", "C++"), ("cxx", "C++"), ("csharp", "C#"), ("cs", "C#"), ("c#", "C#"), ("kotlin", "Kotlin"), ("kt", "Kotlin"), ("kts", "Kotlin"), ("ktm", "Kotlin"), ("scala", "Scala"), ("sc", "Scala"), ("sbt", "Scala"), ("perl", None)]
+
+
+@query("f13_alias", f"SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN upper(alias) ELSE alias END AS typed, lang AS language FROM customer JOIN (VALUES {_values([(i, *a) for i, a in enumerate(_ALIASES)])}) AS t(i, alias, lang) ON c_custkey % {len(_ALIASES)} = i")
+def _f13(spark, sf_dir):
+    from .functions import languages
+
+    typed = _shape("c_custkey", [F.lit(a) for a, _ in _ALIASES])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, F.upper(typed)).otherwise(typed).alias("typed"))
+    return rows.withColumn("language", languages.language_of_alias(F.col("typed")))

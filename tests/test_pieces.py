@@ -154,6 +154,9 @@ def test_reports(spark, root, tmp_path):
     assert "&lt;a&gt;&amp;" in page and "(truncated at hit limit)" in page
     d = json.loads(report.as_json(files, stats, c))
     assert set(d) == {"search", "stats", "results"} and set(d["stats"]) == {"total_matches", "total_files", "elapsed_ms", "hit_limit_reached"} and "recv_type_hint" not in d["results"][0]["matches"][0]
+    streamed = lambda kind: "".join(report.parts(kind, hits, stats, c))
+    assert (streamed("txt"), streamed("md"), streamed("html")) == (text, md, report.html(files, stats, c)) and json.loads(streamed("json")) == d
+    assert "".join(r.block for r in search.ordered(report.blocks(hits, "terminal", c)).collect()).rstrip("\n").split("\n") == cli.rendered(files, stats)[:-2]
     for ext in ("txt", "md", "html", "json", "xlsx"):
         report.save(str(tmp_path / f"r.{ext}"), hits, stats, c)
     assert {"xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml"} <= set(zipfile.ZipFile(tmp_path / "r.xlsx").namelist())
