@@ -55,7 +55,28 @@ def as_of(uses: DataFrame, declarations: DataFrame, key: list[str]) -> DataFrame
 
 
 def innermost(points: DataFrame, scopes: DataFrame, key: list[str]) -> DataFrame:
-    """For each point(key, at) the innermost of the nested scopes(key, scope_start, scope_end, scope) around it; null outside."""
-    inside = points.join(scopes, key, "left").where(F.col("scope").isNull() | F.col("at").between(F.col("scope_start"), F.col("scope_end")))
-    best = inside.groupBy(*key, "at").agg(F.max_by("scope", "scope_start").alias("scope"))
-    return points.join(best, [*key, "at"], "left")
+    """For each point(key, at, ...) the innermost of the nested scopes(key, scope_start, scope_end, scope) around it, both ends included; null outside.
+
+    A sweep over opens, points and closes in the order of place. The depth is a running sum, and the scope that a point
+    at a depth stands in is the last one that was opened to that depth: no row is paired with another, so the output is
+    the points. Points and scopes without a place or key are in no scope; of equal scopes either may be told."""
+    from pyspark.sql.window import Window
+
+    rest = [c for c in points.columns if c not in (*key, "at")]
+    row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+    p = points.select(*key, F.col("at").cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.lit(0).alias("__step"), F.col("at").alias("__given"), row.alias("__row"), F.lit(None).cast(scopes.schema["scope"].dataType).alias("scope"))
+    nothing = (F.lit(None).cast(p.schema["__given"].dataType).alias("__given"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"))
+    size = (F.col("scope_end") - F.col("scope_start")).cast("long")
+    proper = scopes.where(size >= 0)
+    # at one place outer scopes open first and inner ones close first, with the points between
+    opens = proper.select(*key, F.col("scope_start").cast("long").alias("__at"), F.lit(0).alias("__kind"), (-size).alias("__tie"), F.lit(1).alias("__step"), *nothing, "scope")
+    closes = proper.select(*key, F.col("scope_end").cast("long").alias("__at"), F.lit(2).alias("__kind"), size.alias("__tie"), F.lit(-1).alias("__step"), *nothing, F.lit(None).cast(scopes.schema["scope"].dataType).alias("scope"))
+    order = ("__at", "__kind", "__tie")
+    so_far = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deep = p.unionByName(opens).unionByName(closes).withColumn("__depth", F.sum("__step").over(so_far(key)))
+    # a close leaves its depth: it belongs to the one above, where it changes nothing
+    told = deep.where("__kind < 2").withColumn("__scope", F.last(F.when(F.col("__kind") == 0, F.struct("scope")), ignorenulls=True).over(so_far([*key, "__depth"])))
+    inside = (F.col("__depth") > 0) & F.col("__at").isNotNull()
+    for k in key:
+        inside &= F.col(k).isNotNull()
+    return told.where("__kind = 1").select(*key, F.col("__given").alias("at"), *[F.col(f"__row.{c}").alias(c) for c in rest], F.when(inside, F.col("__scope.scope")).alias("scope"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import checkpoint_folder
+
 
 def display_lines(text: Column) -> Column:
     """Lines that a cell takes: one more than its line ends."""
@@ -18,15 +22,37 @@ def row_units(hit: list[str]) -> Column:
     return F.greatest(*[display_lines(F.col(c)) for c in hit]) if len(hit) > 1 else display_lines(F.col(hit[0]))
 
 
-def prefix_heights(rows: DataFrame, group: str, order: list[str], units: str = "units") -> DataFrame:
-    """Running sum of heights within each group; across groups add the groups' totals."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("bottom", F.sum(units).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("top", F.col("bottom") - F.col(units))
-
-
-def row_at(heights: DataFrame, offset: int) -> DataFrame:
-    """The row that stands at a scroll offset: the first whose bottom lies beyond it."""
-    return heights.where((F.col("top") <= offset) & (F.col("bottom") > offset))
+class Heights:
+    """Rows of a table in one order, each with its top and bottom: running sums of heights over everything.
+
+    Rows are dealt out by ranges of the order and summed up within each range; what stands above a range is added from
+    a table of one row for each range, the page index. Ranges are written as folders, so that a lookup reads the one
+    that it needs. A null height is 0; rows that are equal in the order stand in any sequence, but in one that stays."""
+
+    def __init__(self, rows: DataFrame, order: list[str], units: str = "units"):
+        spark = rows.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+        ranged = tied.repartitionByRange(n, *order, "__tie").sortWithinPartitions(*order, "__tie").withColumn("page", F.spark_partition_id())
+        path = f"{checkpoint_folder(spark)}/heights-{uuid.uuid4().hex}"
+        ranged.write.partitionBy("page").parquet(path)
+        kept = spark.read.schema(ranged.schema).parquet(path)
+        height = F.coalesce(F.col(units), F.lit(0)).cast("long")
+        self.pages = kept.groupBy("page").agg(F.sum(height).alias("height")).withColumn("above", F.coalesce(F.sum("height").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        within = Window.partitionBy("page").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # one row for each of n ranges
+        summed = kept.withColumn("__sum", F.sum(height).over(within)).join(F.broadcast(self.pages.select("page", "above")), "page")
+        bottom = F.col("above") + F.col("__sum")
+        self.rows = summed.select(*rows.columns, "page", (bottom - height).alias("top"), bottom.alias("bottom"))
+
+    def between(self, first: int, beyond: int) -> DataFrame:
+        """The rows that a view from one offset up to another shows, and no others; reads only the ranges that they stand in."""
+        pages = [r["page"] for r in self.pages.where((F.col("above") < beyond) & (F.col("above") + F.col("height") > first)).select("page").collect()]
+        return self.rows.where(F.col("page").isin(pages) & (F.col("top") < beyond) & (F.col("bottom") > first)).drop("page")
+
+    def row_at(self, offset: int) -> DataFrame:
+        """The row that stands at a scroll offset: the first whose bottom lies beyond it."""
+        return self.between(offset, offset + 1)
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

@@ -206,12 +206,13 @@ def _l6(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(8)
 
 
-@query("l8_viewport", f"""WITH {_TREE_SQL}, h AS ({_line_hits_sql("er")}), o AS (SELECT path, line_start, col_start, row_number() OVER (PARTITION BY path ORDER BY line_start, col_start) AS rn FROM h JOIN tree USING (doc_id))
-SELECT path, line_start, col_start, rn FROM o WHERE rn BETWEEN 11 AND 20""")
+@query("l8_viewport", f"""WITH {_TREE_SQL}, h AS ({_line_hits_sql("er")}), o AS (SELECT path, line_start, col_start, row_number() OVER (ORDER BY path, line_start, col_start) AS rn FROM h JOIN tree USING (doc_id))
+SELECT path, line_start, col_start, rn FROM o WHERE rn BETWEEN 4001 AND 4040""")
 def _l8(spark, sf_dir):
-    hits = search.places(tree(spark, sf_dir), _plain("er"))
-    w = Window.partitionBy("path").orderBy("line_start", "col_start")
-    return hits.select("path", "line_start", "col_start", F.row_number().over(w).cast("long").alias("rn")).where("rn BETWEEN 11 AND 20")
+    """Forty rows of all hits, from the 4,001st on."""
+    hits = search.places(tree(spark, sf_dir), _plain("er")).select("path", "line_start", "col_start", F.lit(1).alias("units"))
+    seen = windows.Heights(hits, ["path", "line_start", "col_start"]).between(4000, 4040)
+    return seen.select("path", "line_start", "col_start", F.col("bottom").alias("rn"))
 
 
 # ---------------------------------------------------------------- filters and dimensions
@@ -404,22 +405,22 @@ def _a13(spark, sf_dir):
 
 # ---------------------------------------------------------------- windows and sets
 
-_UNITS_SQL = "u AS (SELECT source, doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS units FROM documents), p AS (SELECT *, CAST(sum(units) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS bottom FROM u)"
+_UNITS_SQL = "u AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS units FROM documents), p AS (SELECT *, CAST(sum(units) OVER (ORDER BY doc_id) AS BIGINT) AS bottom FROM u)"
 
 
-def _heights(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", windows.display_lines(F.col("text")).cast("long").alias("units"))
-    return windows.prefix_heights(rows, "source", ["doc_id"])
+def _heights(spark, sf_dir) -> windows.Heights:
+    return windows.Heights(table(spark, sf_dir, "documents").select("doc_id", windows.display_lines(F.col("text")).cast("long").alias("units")), ["doc_id"])
 
 
-@query("w1_prefix", f"WITH {_UNITS_SQL} SELECT source, doc_id, units, bottom, bottom - units AS top FROM p")
+@query("w1_prefix", f"WITH {_UNITS_SQL} SELECT doc_id, units, bottom, bottom - units AS top FROM p")
 def _w1(spark, sf_dir):
-    return _heights(spark, sf_dir)
+    """Where every document begins and ends in one long list of them all."""
+    return _heights(spark, sf_dir).rows.drop("page")
 
 
-@query("w2_row_at", f"WITH {_UNITS_SQL} SELECT source, min(doc_id) AS doc_id FROM p WHERE bottom > 100 GROUP BY source")
+@query("w2_row_at", f"WITH {_UNITS_SQL} SELECT min(doc_id) AS doc_id FROM p WHERE bottom > 5000")
 def _w2(spark, sf_dir):
-    return windows.row_at(_heights(spark, sf_dir), 100).select("source", "doc_id")
+    return _heights(spark, sf_dir).row_at(5000).select("doc_id")
 
 
 @query("w4_dedupe", "SELECT text AS pattern, min(doc_id) AS doc_id FROM documents GROUP BY text")
