@@ -8,11 +8,13 @@ of the host around it. A url takes the stack of the last end before it.
 
 Each host in a url's stack, joined to the url's path, then is a point of a second sweep, over host and path. Its
 intervals are the paths that begin with a rule's; an opening end holds its rule, a closing one the rule around it, so the
-last end before a point is the longest rule of that host that fits. The longest over the stack wins.
+last end before a point is the longest rule of that host that fits. The longest over the stack wins. The rule around
+another is found by sweeps as well: the depth of each end is a running sum of opens and closes, and what a closing end
+falls back to is the last rule opened at the depth that it leaves behind.
 
-Sweeps run in slices of sampled key ranges, as many as there are rows for, not fewer with more rules. Ends go to
-the slice of their key only; the state at a slice's start is that of the last end in the slices before it, a row for each
-slice. Points of one key that fills several slices are dealt among them at random. No page content is shuffled.
+A sweep deals its rows out by ranges of the key, with ends before points and then by row, so one key's points may fill
+any number of ranges; it is written once, and read with its range. The state at the start of a range is that of the
+last end in the ranges before it, a row for each. No page content is shuffled.
 
 Defined results: a null url, or one without `://`, has an empty host and path and meets only rules of an empty host;
 without a rule the verdict is the default; of two rules of equal length, the one with the longer host wins, then block;
@@ -29,8 +31,6 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Rows in a slice of a sweep, about, and keys sampled for each slice's bounds.
-SLICE_ROWS, SAMPLED = 50_000, 32
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,29 +63,30 @@ def _behind(key: Column) -> Column:
     return F.concat(key, F.lit(b"\xff"))
 
 
-def _swept(points: DataFrame, ends: DataFrame, slice_rows: int) -> DataFrame:
-    """points(key, ...) with the state of the last of ends(key, state) at or before their key; null where there is none."""
-    spark = points.sparkSession
-    keys = points.select("key").unionByName(ends.select("key"))
-    total = keys.count()
-    n = max(1, min(-(-total // slice_rows), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # a bounded sample, whatever the table's size; it only decides where slices begin
-    share = min(1.0, SAMPLED * n / max(1, total))
-    got = sorted(bytes(r["key"]) for r in keys.sample(share, 7).limit(4 * SAMPLED * n).collect()) if n > 1 else []
-    bounds = [got[len(got) * i // n] for i in range(1, n)] if got else []
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<binary>")
-    from_, to = F.size(F.filter(cuts, lambda b: b < F.col("key"))), F.size(F.filter(cuts, lambda b: b <= F.col("key")))
-    placed = ends.select("key", F.lit(0).alias("kind"), "state", from_.alias("slice"))
-    dealt = points.withColumn("slice", (from_ + F.pmod(F.xxhash64("uid"), to - from_ + 1)).cast("int")).withColumn("kind", F.lit(1))
-
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = placed.groupBy("slice").agg(F.max_by("state", "key").alias("state"))
-    # a row for each of n slices
-    carried = spark.range(n).select(F.col("id").cast("int").alias("slice")).join(lasts, "slice", "left")
-    carried = carried.select("slice", F.last("state", ignorenulls=True).over(before).alias("carried"))
-    so_far = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = dealt.unionByName(placed, allowMissingColumns=True).withColumn("state", F.last("state", ignorenulls=True).over(so_far)).where("kind = 1")
-    return merged.join(F.broadcast(carried), "slice", "left").withColumn("state", F.coalesce("state", "carried")).drop("slice", "kind", "carried", "key")
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with the number of their range in that order, in part: written, so that every reading agrees."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "swept")
+
+
+def _so_far(order: list[str]):
+    return Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _parts_before(column: Column) -> Column:
+    return column.over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _swept(points: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
+    """points(*key, uid, ...) with the state of the last of ends(*key, state) at or before their key; null where there is none."""
+    order = [*key, "kind", "uid"]
+    both = points.withColumn("kind", F.lit(1)).unionByName(ends.select(*key, "state", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("uid")), allowMissingColumns=True)
+    rows = _ranged(both, order)
+    last = rows.where("kind = 0").groupBy("part").agg(F.max_by("state", F.struct(*key)).alias("state"))
+    # a row for each range
+    carried = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(last), "part", "left").select("part", _parts_before(F.last("state", ignorenulls=True)).alias("carried"))
+    known = rows.withColumn("state", F.last("state", ignorenulls=True).over(_so_far(order))).where("kind = 1").join(F.broadcast(carried), "part")
+    return known.withColumn("state", F.coalesce("state", "carried")).drop("part", "kind", "carried", *key)
 
 
 def _host_ends(rules: DataFrame) -> DataFrame:
@@ -106,17 +107,27 @@ def _host_ends(rules: DataFrame) -> DataFrame:
 
 def _path_ends(rules: DataFrame) -> DataFrame:
     """Both ends of each rule's interval of paths, with the rule behind them: itself, or the next shorter one of its host."""
-    r = rules.select("host", "path", "verdict")
-    shorter = r.where("path <> ''").select("host", "path", F.explode(F.expr("transform(sequence(0, length(path) - 1), i -> substring(path, 1, i))")).alias("over"))
-    over = shorter.join(r.select("host", F.col("path").alias("over"), F.col("verdict").alias("over_verdict")), ["host", "over"])
-    around = over.groupBy("host", "path").agg(F.max(F.struct(F.length("over"), F.col("over").alias("path"), F.col("over_verdict").alias("verdict"))).alias("around"))
     key = _rule_key(F.col("host"), F.col("path"))
-    opened = r.select(key.alias("key"), F.struct(F.col("path").alias("path"), F.col("verdict").alias("verdict")).alias("state"))
-    closed = r.join(around, ["host", "path"], "left").select(_behind(key).alias("key"), F.struct(F.col("around.path").alias("path"), F.col("around.verdict").alias("verdict")).alias("state"))
-    return opened.union(closed)
-
-
-def judge(urls: DataFrame, rules: DataFrame, *keep: str, url: str = "url", default: str = ALLOW, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    rule = F.struct("path", "verdict").alias("state")
+    both = rules.select(key.alias("key"), rule, F.lit(1).alias("step")).union(rules.select(_behind(key).alias("key"), rule, F.lit(-1).alias("step")))
+    # no two ends have the same key, but for closing ones with nothing between them: the longest closes first
+    order = ["key", "size"]
+    rows = _ranged(both.withColumn("size", -F.length("state.path")), order)
+    depth = rows.groupBy("part").agg(F.sum("step").alias("s")).select("part", F.coalesce(_parts_before(F.sum("s")), F.lit(0)).alias("before"))
+    # a row for each range
+    deep = rows.join(F.broadcast(depth), "part").withColumn("depth", F.sum("step").over(_so_far(order)) + F.col("before")).select("depth", "key", "size", "step", "state")
+    opened = deep.where("step = 1")
+    closed = deep.where("step = -1").select("depth", "key", F.monotonically_increasing_id().alias("uid"), F.col("key").alias("at"), F.col("size").alias("rest"))
+    # a rule that stands around another was the last one opened at its depth
+    around = _swept(closed.where("depth > 0"), opened.select("depth", "key", "state"), ["depth", "key"]).select(F.col("at").alias("key"), "state", "rest")
+    outmost = closed.where("depth = 0").select(F.col("at").alias("key"), F.lit(None).cast(opened.schema["state"].dataType).alias("state"), "rest")
+    # of closing ends of one key the last one counts, the shortest rule's
+    ends = around.unionByName(outmost).groupBy("key").agg(F.max_by("state", "rest").alias("state"))
+    empty = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("verdict"))
+    return opened.select("key", "state").union(ends.select("key", F.coalesce("state", empty).alias("state")))
+
+
+def judge(urls: DataFrame, rules: DataFrame, *keep: str, url: str = "url", default: str = ALLOW) -> DataFrame:
     """keep columns, host, path, rule and verdict of every url, by the longest rule that fits.
 
     rules(host, path, verdict): a rule fits its host and the hosts below it where the path starts with the rule's."""
@@ -126,9 +137,9 @@ def judge(urls: DataFrame, rules: DataFrame, *keep: str, url: str = "url", defau
     given = urls.select(F.struct(*keep).alias("keep"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     # written, so that every later reading gives a row the same number
     given = written(given.withColumn("uid", F.monotonically_increasing_id()), "urls")
-    stacked = _swept(given.select("uid", "host", "path", key_of(F.col("host")).alias("key")), _host_ends(rules), slice_rows)
+    stacked = _swept(given.select("uid", "host", "path", key_of(F.col("host")).alias("key")), _host_ends(rules), ["key"])
     points = stacked.select("uid", "path", F.explode("state.stack").alias("of")).select("uid", F.col("of"), _rule_key(F.col("of"), F.col("path")).alias("key"))
-    fit = _swept(points, _path_ends(rules), slice_rows).where(F.col("state.path").isNotNull())
+    fit = _swept(points, _path_ends(rules), ["key"]).where(F.col("state.path").isNotNull())
     size = F.length("of") + F.length("state.path")
     best = fit.groupBy("uid").agg(F.max(F.struct(size.alias("size"), F.length("of").alias("of_host"), F.concat("of", "state.path").alias("rule"), F.col("state.verdict").alias("verdict"))).alias("best"))
     out = given.join(best, "uid", "left")

@@ -31,7 +31,7 @@ def check(spark, urls, rules, **kw):
 
 def test_contract_rules_on_odd_urls(spark):
     check(spark, ODD, URL_RULES)
-    check(spark, ODD * 4, URL_RULES, slice_rows=5)
+    check(spark, ODD * 4, URL_RULES)
 
 
 def test_random_nested_rules(spark):
@@ -42,7 +42,7 @@ def test_random_nested_rules(spark):
     rules = sorted({(host(rng.randint(1, 4)), path()): rng.choice(["allow", "block"]) for _ in range(60)}.items())
     rules = [(h, p, v) for (h, p), v in rules]
     urls = [f"http://{host(rng.randint(1, 5))}{path()}" for _ in range(400)]
-    check(spark, urls, rules, slice_rows=40)
+    check(spark, urls, rules)
     check(spark, urls[:100], [*rules, ("", "/x", "block")])
 
 
@@ -75,11 +75,11 @@ def test_many_rules_over_few_hosts_in_many_slices(spark):
         return (host, p, best[3] + best[4], by[best[3], best[4]]) if best else (host, p, None, "allow")
 
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, url_rules.rules_frame(spark, rules), "page_id", slice_rows=500).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, url_rules.rules_frame(spark, rules), "page_id").collect()}
     assert got == {i: want(u) for i, u in enumerate(urls)}
     from pyspark.sql import functions as F
 
     points = df.select(F.col("page_id").alias("uid"), url_rules._rule_key(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("key"))
     ends = url_rules._path_ends(url_rules.rules_frame(spark, rules))
-    swept = url_rules._swept(points, ends, 500)
+    swept = url_rules._swept(points, ends, ["key"])
     assert swept.count() == len(urls)
