@@ -3,8 +3,10 @@
 The pattern cuts texts into pieces; each distinct piece of a slice is encoded once. Pieces of like length stand in one
 matrix, a row for each, padded on the right. Every round each row merges its leftmost pair of least rank; pairs are
 found in a hash table from two tokens to the token of their joined bytes. Rows without a pair leave the matrix. A piece
-that is a token itself is taken whole, as the merges might not reach it. Very long pieces, whose rows would cost the
-square of their length, take the same merges from a heap instead.
+that is a token itself is taken whole, as the merges might not reach it. A piece of more than WIDE bytes is a row of its
+own, and a round merges its least pair wherever it stands, left to right, as the next rounds would do, up to the first
+place where the merged token makes a pair of lower rank, which then comes first. Its rounds are then about as many as
+the ranks that occur in it, instead of one for each merge.
 
 Defined results: a null text is an empty one, with no tokens and the digests of no bytes; repeated rows each get their
 row; an empty table gives an empty result; other columns are ignored.
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-LONG_PIECE = 192
+#: Bytes of the widest matrix.
+WIDE = 192
 NONE = np.int64(1 << 40)
 
 
@@ -53,7 +55,6 @@ class Ranks:
                 if (left := get(t[:i])) is not None and (right := get(t[i:])) is not None:
                     keys.append(left * size + right)
                     values.append(r)
-        self.pair = dict(zip(keys, values, strict=True))
         self._table(np.array(keys, np.int64), np.array(values, np.int64))
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -141,28 +142,28 @@ def _merge_matrix(ids: np.ndarray, r: Ranks) -> list[np.ndarray]:
         ids, joined = new, pairs
 
 
-def _merge_long(piece: bytes, r: Ranks) -> np.ndarray:
-    """The same merges for one long piece, by a heap over a linked list."""
-    ids = r.byte[np.frombuffer(piece, np.uint8)].tolist()
-    n, size, pair = len(ids), r.size, r.pair
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(t, i, ids[i], ids[i + 1]) for i in range(n - 1) if (t := pair.get(ids[i] * size + ids[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        t, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j] = t, -1
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if (x := pair.get(t * size + ids[k])) is not None:
-                heapq.heappush(heap, (x, i, t, ids[k]))
-        h = before[i]
-        if h >= 0 and (x := pair.get(ids[h] * size + t)) is not None:
-            heapq.heappush(heap, (x, h, ids[h], t))
-    return np.array([i for i in ids if i >= 0], np.int64)
+def _merge_row(ids: np.ndarray, r: Ranks) -> np.ndarray:
+    """The merged tokens of one long row."""
+    joined = r.lookup(ids[:-1], ids[1:])
+    while len(joined) and (least := joined.min()) < NONE:
+        at = np.flatnonzero(joined == least)
+        # of places side by side every second one, from the left, as each merge takes the next place's token
+        starts = np.concatenate(([True], np.diff(at) != 1))
+        at = at[(at - np.maximum.accumulate(np.where(starts, at, 0))) % 2 == 0]
+        left = np.where(at > 0, ids[at - 1], -1)
+        left[1:][np.diff(at) == 2] = least
+        right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+        this = np.full(len(at), least)
+        lower = (r.lookup(left, this) < least) | (r.lookup(this, right) < least)
+        if lower.any():
+            at = at[: int(lower.argmax()) + 1]
+        ids[at] = least
+        ids = np.delete(ids, at + 1)
+        joined = np.delete(joined, at)
+        now = at - np.arange(len(at))
+        for places in (now[now > 0] - 1, now[now < len(joined)]):
+            joined[places] = r.lookup(ids[places], ids[places + 1])
+    return ids
 
 
 def encode_pieces(pieces: list[str], r: Ranks) -> list[np.ndarray]:
@@ -174,8 +175,8 @@ def encode_pieces(pieces: list[str], r: Ranks) -> list[np.ndarray]:
     for i, p in enumerate(raw):
         if (t := get(p)) is not None:
             out[i] = np.array([t], np.int64)
-        elif len(p) > LONG_PIECE:
-            out[i] = _merge_long(p, r)
+        elif len(p) > WIDE:
+            out[i] = _merge_row(r.byte[np.frombuffer(p, np.uint8)], r)
         else:
             n = len(p)
             groups.setdefault(n if n <= 16 else 16 << ((n - 1) // 16).bit_length(), []).append(i)

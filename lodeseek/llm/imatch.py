@@ -1,8 +1,10 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 Terms are kept whose document frequency lies in a band: neither so common that all documents share them, nor rarer than
-its lower end. Frequencies are counted over all documents in a fixed number of hashed counters, so a term's may be told
-too high, never too low. A fingerprint holds the hash of all distinct kept terms, and, for each of several sampling
+its lower end, which is 2 documents at least. Frequencies are exact: hashes of terms are counted in a shuffle, slices of
+documents summed up before it. The terms of the band, not more than a document's terms over its lower end however many
+documents there are, are then told by a bitmap of at most 2 ** MOST_BITS bits in TESTS places each; another term passes
+by chance, the same one everywhere, for about one in a thousand at two million terms of the band. A fingerprint holds the hash of all distinct kept terms, and, for each of several sampling
 rates, hashes of the terms that lie in each of a number of random lexicon subsets. The terms' own hashes are distinct
 and sorted, and a subset's hash is their sum after mixing, which does not depend on order either.
 
@@ -10,6 +12,7 @@ Of two fingerprints, the share of equal subset hashes falls with the terms that
 log P(equal) / log P(both empty) at a sampling rate estimates the unshared part of their terms. Likeness is 1 less it.
 
 Defined results: a null text is an empty one; a document with fewer than MIN_TERMS terms in the band keeps all its terms;
+very long texts are taken whole, and an empty table gives an empty result;
 without any term the fingerprint is empty and likeness 1 to an equal one, else 0; equal doc_ids follow one another by
 the hash of their texts, null ids come last; the only document is its own next; other columns are ignored.
 """
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, U64, pack, slices, span_hashes, splitmix, summed, text_buffer, word_spans
+from .common import LOWER, NOT_ALNUM, U64, Scratch, slices, span_hashes, splitmix, text_buffer, word_spans
 
-COUNTER_BITS = 18
-#: The band of document frequencies, as shares of all documents. Its lower end tells in corpora of over a million documents, and
-#: only of terms in counters without a more frequent one; in smaller ones rare terms are all kept, as edits are told by them.
-RAREST, COMMONEST = 2.0**-20, 0.10
+#: The band of document frequencies: at least LEAST documents and the share RAREST of all, at most the share COMMONEST.
+LEAST, RAREST, COMMONEST = 2, 2.0**-18, 0.10
+#: Bits of the bitmap for each term of the band, the most that it has, as a power of two, and the places of a term.
+TERM_BITS, MOST_BITS, TESTS = 32, 26, 3
 MIN_TERMS = 3
 #: Subsets at each sampling rate; rates are 4 ** -1 to 4 ** -LEVELS.
 SUBSETS, LEVELS = 16, 6
@@ -49,31 +52,67 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[new], h[new]
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (splitmix(h) >> U64(64 - COUNTER_BITS)).astype(np.int64)
+class Lexicon:
+    """The terms of the band, as a bitmap."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def places(self, h: np.ndarray) -> list[np.ndarray]:
+        return [splitmix(h + U64(0xD1B54A32D192ED03 * k & 0xFFFFFFFFFFFFFFFF)) >> U64(64 - self.bits) for k in range(1, TESTS + 1)]
+
+    def put(self, h: np.ndarray) -> None:
+        for p in self.places(h):
+            np.bitwise_or.at(self.words, (p >> U64(6)).astype(np.int64), U64(1) << (p & U64(63)))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for p in self.places(h):
+            out &= (self.words[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1) == 1
+        return out
+
+
+def empty_lexicon(terms: int) -> Lexicon:
+    bits = min(max(10, (TERM_BITS * terms).bit_length()), MOST_BITS)
+    return Lexicon(bits, np.zeros(1 << (bits - 6), U64))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros((1 << COUNTER_BITS) + 1, np.int64)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 16 << 20):
         _, h = terms(*text_buffer(part.column(0)))
-        df[:-1] += np.bincount(_counter(h), minlength=1 << COUNTER_BITS)
-        df[-1] += part.num_rows
-    yield pa.RecordBatch.from_pydict({"blob": pa.array([pack(df)], pa.binary())})
+        h, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """term (its hash) and n, the number of documents that hold it, over all of docs(text)."""
+    return docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame) -> Lexicon:
+    """The terms of docs(text) whose frequency lies in the band."""
+    rows = docs.select("text").count()
+    with Scratch(docs.sparkSession) as scratch:
+        band = scratch.written(frequencies(docs).where((F.col("n") >= max(LEAST, RAREST * rows)) & (F.col("n") <= COMMONEST * rows)).select("term"), "band")
+        found = empty_lexicon(band.count())
 
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = np.concatenate(found.places(b.column(0).to_numpy().view(U64)))
+                yield pa.RecordBatch.from_pydict({"word": pa.array((p >> U64(6)).astype(np.int64)), "held": pa.array((U64(1) << (p & U64(63))).view(np.int64))})
 
-def lexicon(docs: DataFrame) -> np.ndarray:
-    """Which counters lie in the band, from all of docs(text)."""
-    df = summed(docs.select("text").mapInArrow(_count, "blob binary"), (1 << COUNTER_BITS) + 1)
-    return (df[:-1] >= RAREST * df[-1]) & (df[:-1] <= COMMONEST * df[-1])
+        # at most 2 ** (MOST_BITS - 6) words, whatever the number of terms
+        words = band.mapInArrow(places, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+        found.words[words["word"].to_numpy()] = words["held"].to_numpy().view(U64)
+    return found
 
 
-def fingerprints(texts: list[str], band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the hash of all its kept terms, and the 16-bit hashes of its subsets (LEVELS x SUBSETS), 0 where a subset is empty."""
+def fingerprints(texts: list[str], band: Lexicon | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the hash of all its terms in the band (without one, of all its terms), and the 16-bit hashes of its subsets (LEVELS x SUBSETS), 0 where a subset is empty."""
     n = len(texts)
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
     row, h = terms(data, offsets)
-    kept = band[_counter(h)]
+    kept = band.has(h) if band is not None else np.ones(len(h), bool)
     enough = np.bincount(row[kept], minlength=n) >= MIN_TERMS
     kept |= ~enough[row]
     row, h = row[kept], h[kept]
@@ -159,11 +198,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of docs(doc_id, text), of its edited text, and their likeness to it and to the next document."""
-    band = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon(docs)))  # 2 ** COUNTER_BITS bits
+    band = docs.sparkSession.sparkContext.broadcast(lexicon(docs))  # 2 ** MOST_BITS bits at most
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = np.unpackbits(band.value).astype(bool)
+        lex = band.value
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:
             """Of rows but the last, which is only the next one of the row before it."""

@@ -314,6 +314,8 @@ def parse(data: bytes, step_over: bool = False) -> Media:
                                 m.scale = _uint(data, e, f)
                             elif j == DURATION:
                                 m.duration = _float(data, e, f)
+                        if not math.isfinite(m.duration * m.scale):
+                            raise Broken("a duration beyond all times")
                     elif i == TRACKS:
                         for j, e, f, _ in elements(data, c, d):
                             if j == TRACK_ENTRY:

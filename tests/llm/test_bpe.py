@@ -31,9 +31,16 @@ def test_long_pieces_like_tiktoken():
     texts = ["a" * 1000, "ab" * 700, "the" * 400, "é" * 300 + "ñ", "x" * 192, "y" * 193, "#" * 500, " " * 800, "1234567890" * 60]
     assert tokens(texts) == [TRUTH.encode_ordinary(t) for t in texts]
     r = bpe.ranks(FILE)
-    for t in texts:  # the matrix and the heap agree
-        p = t.encode()[:150]
-        assert bpe._merge_long(p, r).tolist() == bpe._merge_matrix(r.byte[np.frombuffer(p, np.uint8)][None, :], r)[0].tolist()
+    for t in texts:  # a row of its own and a row of a matrix agree
+        p = r.byte[np.frombuffer(t.encode()[:150], np.uint8)]
+        assert bpe._merge_row(p.copy(), r).tolist() == bpe._merge_matrix(p[None, :], r)[0].tolist()
+
+
+def test_random_long_pieces_like_tiktoken():
+    g = np.random.default_rng(4)
+    letters = ["abcdefghij", "ABCDEFabcdef", "éñü", "#$%&*", "thesandoring"]
+    texts = ["".join(g.choice(list(letters[k % 5]), int(g.integers(193, 10_000)))) for k in range(60)]
+    assert tokens(texts) == [TRUTH.encode_ordinary(t) for t in texts]
 
 
 def test_query_like_tiktoken(spark, sf):

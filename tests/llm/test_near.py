@@ -180,6 +180,64 @@ def test_imatch_edits_like_brute_force(spark, sf, odd_rows):
         assert by.setdefault(t, got[d].fingerprint) == got[d].fingerprint
 
 
+def _hash_of_terms(words):
+    """Hash of each word by the operator's own byte hashing, a word at a time."""
+    return {w: int(imatch.terms(*text_buffer(pa.array([w])))[1][0]) for w in words}
+
+
+def _mixed(x):
+    """The finishing step of splitmix64 in plain integers."""
+    m = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def test_imatch_fingerprints_like_brute_force(spark, sf):
+    """Both ends of the band cut, and fingerprints and likeness are those of the kept terms, one by one in plain Python."""
+    rows = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))) for t in rows]
+    count = {}
+    for s in sets:
+        for w in s:
+            count[w] = count.get(w, 0) + 1
+    hashes = _hash_of_terms(count)
+    got = {r.term: r.n for r in imatch.frequencies(df).collect()}
+    assert got == {(h - (1 << 64) if h >= 1 << 63 else h): count[w] for w, h in hashes.items()}
+    inside = {w for w, n in count.items() if 2 <= n <= 0.10 * len(rows)}
+    rare, common = {w for w, n in count.items() if n < 2}, {w for w, n in count.items() if n > 0.10 * len(rows)}
+    band = imatch.lexicon(df)
+    has = dict(zip(hashes, band.has(np.array(list(hashes.values()), np.uint64)).tolist(), strict=True))
+    assert all(has[w] for w in inside) and sum(has[w] for w in rare) <= 0.01 * len(rare) + 2 and sum(has[w] for w in common) <= 2
+    assert len(rare) > 100 and len(common) > 20
+    whole, short = imatch.fingerprints(rows, band)
+    salts = [int(x) for x in imatch._SALTS]
+    want = []
+    for s in sets[:60]:
+        kept = [hashes[w] for w in s if has[w]]
+        kept = kept if len(kept) >= imatch.MIN_TERMS else [hashes[w] for w in s]
+        subsets = []
+        for level in range(imatch.LEVELS):
+            for salt in salts:
+                v = [_mixed(h ^ salt) for h in kept]
+                v = [_mixed(x) | 1 << 63 for x in v if x < (1 << 64) >> 2 * (level + 1)]
+                total = sum(v) & (1 << 64) - 1
+                subsets.append(0 if total == 0 else _mixed(total) >> 48 or 1)
+        want.append((_mixed(sum(map(_mixed, kept)) & (1 << 64) - 1), subsets))
+    assert [(int(a), b.tolist()) for a, b in zip(whole[:60], short[:60], strict=True)] == want
+    # the likeness of estimated and true shares of kept terms
+    kept = [{w for w in s if has[w]} for s in sets]
+    big = [i for i in range(len(rows)) if len(kept[i]) >= 40]
+    for i, j in zip(big, big[1:]):
+        true = len(kept[i] & kept[j]) / len(kept[i] | kept[j])
+        told = imatch.likeness(whole[[i]], short[[i]], whole[[j]], short[[j]])[0]
+        assert abs(told - true) < 0.45 if true < 1 else told == 1.0
+
+
 def test_imatch_odd_rows(odd, none, odd_rows):
     got = imatch.compared(odd).collect()
     assert len(got) == len(odd_rows)
@@ -192,10 +250,9 @@ def test_imatch_odd_rows(odd, none, odd_rows):
 
 
 def test_imatch_likeness_follows_shared_terms():
-    band = np.ones(1 << imatch.COUNTER_BITS, bool)
     words = [f"w{i}x" for i in range(900)]
     texts = [" ".join(words[:300]), " ".join(words[:200] + words[600:700]), " ".join(words[300:600]), " ".join(reversed(words[:300]))]
-    whole, short = imatch.fingerprints(texts, band)
+    whole, short = imatch.fingerprints(texts, None)
     at = lambda i, j: imatch.likeness(whole[[i]], short[[i]], whole[[j]], short[[j]])[0]
     assert at(0, 3) == 1.0
     assert 0.25 < at(0, 1) < 0.8

@@ -110,6 +110,15 @@ def test_numbers_out_of_range_are_faults(spark):
         assert isinstance(m.features(m.parse(x), x, b"a"), str)
 
 
+def test_a_duration_beyond_all_times_is_a_fault():
+    import struct
+
+    data = bytearray(matroska.mux(b"x" * 64))
+    at = data.index(b"\x44\x89\x88") + 3  # the duration, of eight bytes
+    data[at : at + 8] = struct.pack(">d", 1e305)
+    assert "duration" in matroska.parse(bytes(data)).error
+
+
 def test_seeking_reads_the_same_packets():
     data = matroska.mux(bytes(range(256)) * 200)
     whole = matroska.parse(data)
