@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import HOT, Scratch, looked_up, written
 from .feistel_shards import numbered
 
 BLOCK = 4096
-#: A key with more than one row in so many is broadcast; there are at most so many.
-HOT = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -38,15 +36,6 @@ def blocks_of(raw: Column, block: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
 
 
-def _named(rows: DataFrame, names: DataFrame, keys: list[str], total: int, hot: int) -> DataFrame:
-    """rows with what names(keys, n, ...) says of their keys; n is the number of a key's rows, total their sum."""
-    large = F.col("n") * hot > total
-    # fewer than `hot` keys can have more than a part of 1 in `hot` of all rows
-    often = F.broadcast(names.where(large).drop("n"))
-    rest = rows.join(F.broadcast(names.where(large).select(*keys)), keys, "left_anti").join(names.where(~large).drop("n"), keys)
-    return rows.join(often, keys).unionByName(rest)
-
-
 def _block_names(cut: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Names of distinct blocks by (h, nth), and the blocks (h, nth, block) of hashes that several blocks share."""
     found = cut.groupBy("h").agg(F.collect_set("block").alias("blocks"), F.count(F.lit(1)).alias("n"))
@@ -76,7 +65,7 @@ def duplicates(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64, hot: int
             texts, places = told.where("at = 0").select("uid", "doc_id", "text_sha256"), told.select("uid", "of", "at", "h", "nth")
         sums = places.agg(F.count(F.lit(1)), F.max("of")).first()
         total, longest = sums[0], sums[1] or 0
-        rows = _named(places, names, ["h", "nth"], total, hot).drop("h", "nth")
+        rows = looked_up(places, names, ["h", "nth"], total, hot).drop("h", "nth")
         level, ended = 0, []
         while True:
             half = F.floor(F.col("at") / 2).cast("int")
@@ -87,7 +76,7 @@ def duplicates(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64, hot: int
                 break
             pairs = pairs.where("of > 1").withColumn("of", F.ceil(F.col("of") / 2).cast("int"))
             seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-            rows = _named(pairs, numbered(seen, ["a", "b"], "name", scratch), ["a", "b"], total, hot)
+            rows = looked_up(pairs, numbered(seen, ["a", "b"], "name", scratch), ["a", "b"], total, hot)
             level, longest = level + 1, -(-longest // 2)
         identity = ended[0]
         for e in ended[1:]:
@@ -96,5 +85,5 @@ def duplicates(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64, hot: int
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
         groups = scratch.written(known.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("n"), first), "groups")
         groups = groups.select("rounds", "name", "n", F.col("n").alias("group_size"), F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"))
-        out = _named(known, groups, ["rounds", "name"], known.count(), hot)
+        out = looked_up(known, groups, ["rounds", "name"], known.count(), hot)
         return written(out.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256"), "exact")

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
 U64 = np.uint64
 
@@ -61,6 +62,45 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("row_no", F.monotonically_increasing_id()), "rows")
 
 
+def ranged(rows: DataFrame, order: list[str], within: Scratch | None = None) -> DataFrame:
+    """rows with the number of their range in that order, in part: written, so that every reading agrees. Ranges hold about equally many rows, whatever the keys, if no two rows are equal in the order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged", within)
+
+
+def so_far(order: list[str]) -> WindowSpec:
+    """Up to each row of a range, itself included."""
+    return Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def parts_before(column: Column) -> Column:
+    """An aggregate over the ranges before each, of a table of one row for each range."""
+    return column.over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def running(rows: DataFrame, order: list[str], sums: dict[str, str], within: Scratch | None = None) -> DataFrame:
+    """rows with, for each name in sums, the sum of its column over the rows up to and with this one: within ranges, and over the ranges before."""
+    kept = ranged(rows, order, within)
+    per = kept.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # a row for each range
+    above = per.select("part", *[F.coalesce(parts_before(F.sum(n)), F.lit(0)).alias(f"__{n}") for n in sums])
+    summed = kept.join(F.broadcast(above), "part").withColumns({n: F.sum(c).over(so_far(order)) + F.col(f"__{n}") for n, c in sums.items()})
+    return summed.drop("part", *[f"__{n}" for n in sums])
+
+
+#: A key with more than one row in so many is broadcast by looked_up; there are at most so many.
+HOT = 1024
+
+
+def looked_up(rows: DataFrame, names: DataFrame, keys: list[str], total: int, hot: int = HOT) -> DataFrame:
+    """rows with what names(*keys, n, ...) says of their keys; n is the number of a key's rows, total their sum. Rows of keys without a name go."""
+    large = F.col("n") * hot > total
+    # fewer than `hot` keys can have more than a part of 1 in `hot` of all rows
+    often = F.broadcast(names.where(large).drop("n"))
+    rest = rows.join(F.broadcast(names.where(large).select(*keys)), keys, "left_anti").join(names.where(~large).drop("n"), keys)
+    return rows.join(often, keys).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

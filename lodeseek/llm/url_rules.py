@@ -27,9 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import parts_before, ranged, running, so_far, written
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,29 +62,15 @@ def _behind(key: Column) -> Column:
     return F.concat(key, F.lit(b"\xff"))
 
 
-def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with the number of their range in that order, in part: written, so that every reading agrees."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "swept")
-
-
-def _so_far(order: list[str]):
-    return Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _parts_before(column: Column) -> Column:
-    return column.over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-
-
-def _swept(points: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
+def swept(points: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
     """points(*key, uid, ...) with the state of the last of ends(*key, state) at or before their key; null where there is none."""
     order = [*key, "kind", "uid"]
     both = points.withColumn("kind", F.lit(1)).unionByName(ends.select(*key, "state", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("uid")), allowMissingColumns=True)
-    rows = _ranged(both, order)
+    rows = ranged(both, order)
     last = rows.where("kind = 0").groupBy("part").agg(F.max_by("state", F.struct(*key)).alias("state"))
     # a row for each range
-    carried = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(last), "part", "left").select("part", _parts_before(F.last("state", ignorenulls=True)).alias("carried"))
-    known = rows.withColumn("state", F.last("state", ignorenulls=True).over(_so_far(order))).where("kind = 1").join(F.broadcast(carried), "part")
+    carried = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(last), "part", "left").select("part", parts_before(F.last("state", ignorenulls=True)).alias("carried"))
+    known = rows.withColumn("state", F.last("state", ignorenulls=True).over(so_far(order))).where("kind = 1").join(F.broadcast(carried), "part")
     return known.withColumn("state", F.coalesce("state", "carried")).drop("part", "kind", "carried", *key)
 
 
@@ -112,14 +97,11 @@ def _path_ends(rules: DataFrame) -> DataFrame:
     both = rules.select(key.alias("key"), rule, F.lit(1).alias("step")).union(rules.select(_behind(key).alias("key"), rule, F.lit(-1).alias("step")))
     # no two ends have the same key, but for closing ones with nothing between them: the longest closes first
     order = ["key", "size"]
-    rows = _ranged(both.withColumn("size", -F.length("state.path")), order)
-    depth = rows.groupBy("part").agg(F.sum("step").alias("s")).select("part", F.coalesce(_parts_before(F.sum("s")), F.lit(0)).alias("before"))
-    # a row for each range
-    deep = rows.join(F.broadcast(depth), "part").withColumn("depth", F.sum("step").over(_so_far(order)) + F.col("before")).select("depth", "key", "size", "step", "state")
+    deep = running(both.withColumn("size", -F.length("state.path")), order, {"depth": "step"})
     opened = deep.where("step = 1")
     closed = deep.where("step = -1").select("depth", "key", F.monotonically_increasing_id().alias("uid"), F.col("key").alias("at"), F.col("size").alias("rest"))
     # a rule that stands around another was the last one opened at its depth
-    around = _swept(closed.where("depth > 0"), opened.select("depth", "key", "state"), ["depth", "key"]).select(F.col("at").alias("key"), "state", "rest")
+    around = swept(closed.where("depth > 0"), opened.select("depth", "key", "state"), ["depth", "key"]).select(F.col("at").alias("key"), "state", "rest")
     outmost = closed.where("depth = 0").select(F.col("at").alias("key"), F.lit(None).cast(opened.schema["state"].dataType).alias("state"), "rest")
     # of closing ends of one key the last one counts, the shortest rule's
     ends = around.unionByName(outmost).groupBy("key").agg(F.max_by("state", "rest").alias("state"))
@@ -137,9 +119,9 @@ def judge(urls: DataFrame, rules: DataFrame, *keep: str, url: str = "url", defau
     given = urls.select(F.struct(*keep).alias("keep"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     # written, so that every later reading gives a row the same number
     given = written(given.withColumn("uid", F.monotonically_increasing_id()), "urls")
-    stacked = _swept(given.select("uid", "host", "path", key_of(F.col("host")).alias("key")), _host_ends(rules), ["key"])
+    stacked = swept(given.select("uid", "host", "path", key_of(F.col("host")).alias("key")), _host_ends(rules), ["key"])
     points = stacked.select("uid", "path", F.explode("state.stack").alias("of")).select("uid", F.col("of"), _rule_key(F.col("of"), F.col("path")).alias("key"))
-    fit = _swept(points, _path_ends(rules), ["key"]).where(F.col("state.path").isNotNull())
+    fit = swept(points, _path_ends(rules), ["key"]).where(F.col("state.path").isNotNull())
     size = F.length("of") + F.length("state.path")
     best = fit.groupBy("uid").agg(F.max(F.struct(size.alias("size"), F.length("of").alias("of_host"), F.concat("of", "state.path").alias("rule"), F.col("state.verdict").alias("verdict"))).alias("best"))
     out = given.join(best, "uid", "left")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lodeseek.llm import feistel_shards, license_scan, matroska, mixing, registry
@@ -306,9 +307,31 @@ def test_mix(spark, sf, odd, odd_rows, none):
     assert mixing.taken(none).collect() == []
 
 
+def test_targets_like_resharing_round_by_round(spark):
+    """Many sources, empty and tiny ones among them, against the contract's loop; equal and null ids of one text land in no one task."""
+    g = np.random.default_rng(5)
+    sizes = [int(x) for x in np.concatenate((g.integers(0, 9, 40), g.integers(0, 5000, 60)))]
+    table = spark.createDataFrame(list(enumerate(sizes)), "source_no long, source_size long")
+    got = {r.source_no: r.target for r in mixing.with_targets(table).collect()}
+    weights, goal, left = [mixing.WEIGHTS[i % 3] for i in range(100)], {}, 1.5 * sum(sizes)
+    open_ = [i for i in range(100) if sizes[i]]
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if weights[i] * unit > 2 * sizes[i]]
+        for i in over or open_:
+            goal[i] = 2.0 * sizes[i] if over else weights[i] * unit
+            left -= goal[i]
+        open_ = [i for i in open_ if i not in goal]
+    assert all(abs(got[i] - goal.get(i, 0.0)) < 1e-6 * max(1, goal.get(i, 0.0)) for i in range(100))
+    same = spark.createDataFrame([(None, "one two three", "a")] * 300 + [(7, "x y", None)] * 200, "doc_id long, text string, source string").repartition(4)
+    rows = mixing.taken(same).collect()
+    check_mix([(None, "one two three", "a")] * 300 + [(7, "x y", None)] * 200, rows)
+
+
 def test_prefixes_of_the_schedule_hold_the_shares(spark):
     shares = [0.5, 0.3, 0.15, 0.05]
-    rows = sorted((r.slot, r.source_no, r.rank) for r in mixing.schedule(spark, shares, 10_000).collect())
+    table = spark.createDataFrame([(i, int(w * 10_000), int(sum(shares[:i]) * 10_000 + 0.5)) for i, w in enumerate(shares)], "source_no long, words long, above long")
+    rows = sorted((r.slot, r.source_no, r.rank) for r in mixing.schedule(table, 10_000, 10_000).collect())
     seen = Counter()
     for slot, s, rank in rows:
         assert rank == seen[s]

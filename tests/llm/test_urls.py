@@ -81,5 +81,5 @@ def test_many_rules_over_few_hosts_in_many_slices(spark):
 
     points = df.select(F.col("page_id").alias("uid"), url_rules._rule_key(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("key"))
     ends = url_rules._path_ends(url_rules.rules_frame(spark, rules))
-    swept = url_rules._swept(points, ends, ["key"])
+    swept = url_rules.swept(points, ends, ["key"])
     assert swept.count() == len(urls)
