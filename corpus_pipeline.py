@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each of which takes the rows that the one before it kept."""
+"""A corpus pipeline of five stages, each of which takes the rows that the one before it kept.
+
+All stages decide by row, so that null ids, ids of several texts and repeated rows are rows like others; they read whole
+texts, however long, return the columns of documents without any others, and give an empty result for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -16,20 +20,27 @@ NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with one that is hardly likely, go."""
+    """Documents without a language, or with one that is hardly likely, go.
+
+    Those are all whose text is null, empty or without a letter. Rows of equal texts stay or go together. Where no row
+    has a language to learn from, none is likely, and all go."""
     ship(spark)
     found = langid.identify(docs.select(*COLUMNS), *COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (found["score"] >= langid.REJECT_BELOW)).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the scorer does not keep go."""
+    """Documents that the scorer does not keep go.
+
+    Those are all whose text is null or has no word. Rows of equal texts stay or go together."""
     ship(spark)
     return weak_quality.classify(docs.select(*COLUMNS), *COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, the first by id."""
+    """One row of each component stays, the first by id, null ids last; of equal ids any one row.
+
+    A row without words, null texts among them, is like no other and stays."""
     ship(spark)
     # by row, not by doc_id: ids may be null or stand in rows of different texts
     rows = numbered(docs.select(*COLUMNS))
@@ -38,7 +49,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, to the nearest whole; those that it hardly takes go."""
+    """Each document as many times as the mix takes its words, to the nearest whole; those that it hardly takes go.
+
+    A source's mix is its shuffled stream of documents, once, twice or in part, so the mix takes all of a document or
+    nothing, but for one document in each source, the one at which its words are full. Documents are not cut: that one
+    stands once more or not at all, so a source's words are within half of that document's of the target. Texts that
+    are null or without words have no share, and go; repeated rows count each."""
     ship(spark)
     rows = numbered(docs.select(*COLUMNS))
     mixture, placed = mixing.mixture(rows.select("doc_id", "text", "source", "row_no"), 0, mixing.BLOCK, "row_no")
@@ -49,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
+    """Token counts and digests of every row of the mix; a null text is an empty one, with no tokens."""
     ship(spark)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id")
 

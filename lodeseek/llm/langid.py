@@ -157,14 +157,30 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
     sample = labelled.where(pick < share).withColumn("part", F.when(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5)) == 0, 1).otherwise(0))
     # the share makes the sample about 1.25 * per_language a language; where chance or repeated texts make it larger, the least hashes stay
     bounded = sample.orderBy(F.xxhash64("text", F.lit(3)), "lang", "text").limit(5 * per_language * len(names))
-    got = bounded.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
-    # views of the sample's own bytes, and values of four bytes: the driver holds the sample about twice
-    at = [np.frombuffer(b, np.uint16) for b in got["buckets"].to_pylist()]
-    tf = (np.frombuffer(c, np.float32) for c in got["counts"].to_pylist())
+    # the sample is fitted where it lies: only the model's table comes to the driver
+    got = bounded.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").coalesce(1).mapInArrow(_fitting(names, idf, epochs), "weights binary, temperature double, nonzero double").collect()
+    if not got:  # Spark saw that there is nothing to fit
+        got = [dict(zip(("weights", "temperature", "nonzero"), _fit([], names, idf, epochs), strict=True))]
+    table = np.frombuffer(bytes(got[0]["weights"]), np.float32).reshape(-1, len(names))
+    return {"names": names, "table": table, "temperature": got[0]["temperature"], "nonzero": got[0]["nonzero"]}
+
+
+def _fitting(names: list[str], idf: np.ndarray, epochs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, t, nonzero = _fit(list(batches), names, idf, epochs)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights], pa.binary()), "temperature": pa.array([t]), "nonzero": pa.array([nonzero])})
+
+    return run
+
+
+def _fit(sample: list[pa.RecordBatch], names: list[str], idf: np.ndarray, epochs: int) -> tuple[bytes, float, float]:
+    """Weights of buckets by language, over the temperature, in four bytes each; the temperature; and the share of weights that are not 0."""
+    at = [np.frombuffer(x, np.uint16) for b in sample for x in b.column(2).to_pylist()]
+    tf = (np.frombuffer(x, np.float32) for b in sample for x in b.column(3).to_pylist())
     x = [(c / max(1.0, float(c.sum())) * idf[a]).astype(np.float32) for a, c in zip(at, tf, strict=True)]
     place = {k: i for i, k in enumerate(names)}
-    y = np.array([place[k] for k in got["lang"].to_pylist()], np.int64)
-    part = got["part"].to_numpy() if len(y) else np.empty(0)
+    y = np.array([place[k] for b in sample for k in b.column(0).to_pylist()], np.int64)
+    part = np.array([k for b in sample for k in b.column(1).to_pylist()], np.int64)
     model, rng = Ftrl(1 << BITS, len(names)), np.random.default_rng(11)
     # the order must not depend on how tasks ended
     order = sorted(np.flatnonzero(part == 0), key=lambda i: (y[i], len(at[i]), at[i].tobytes(), x[i].tobytes()))
@@ -175,7 +191,7 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
     w = model.weights()
     check = [i for i in np.flatnonzero(part == 1) if len(at[i])] or [i for i in order if len(at[i])]
     t = temperature(np.array([x[i] @ w[at[i]] for i in check]).reshape(-1, len(names)), y[check])
-    return {"names": names, "table": (w * idf[:, None] / t).astype(np.float32), "temperature": t, "nonzero": float((w != 0).mean())}
+    return (w * idf[:, None] / t).astype(np.float32).tobytes(), t, float((w != 0).mean())
 
 
 def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:

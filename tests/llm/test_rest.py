@@ -375,7 +375,37 @@ def test_pipeline_of_odd_rows(spark, odd, none, sf):
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
         for _, stage in corpus_pipeline.STAGES:
             docs = mixing.written(stage(spark, docs, sf), "test")
-        docs.count()
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert docs.count() == 0
+
+
+def test_each_stage_on_odd_rows(spark, odd, odd_rows, sf):
+    """Which rows the filters may keep, what the mix takes of each source, and that tokens decode to the texts."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    given = Counter((r[0], r[1], r[2], r[3]) for r in odd_rows)
+    rows = lambda df: Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    spoken = rows(corpus_pipeline.language(spark, docs, sf))
+    assert spoken <= given and all(letters(t) for _, t, *_ in spoken) and spoken[1, odd_rows[0][1], "en", "a"] == spoken[2, odd_rows[1][1], "en", "a"]
+    good = rows(corpus_pipeline.quality(spark, docs, sf))
+    assert good <= given and all((t or "").split() for _, t, *_ in good) and good[1, odd_rows[0][1], "en", "a"] == good[2, odd_rows[1][1], "en", "a"]
+    words = lambda t: len(re.findall(mixing.WORD, t or ""))
+    mixed, targets = rows(corpus_pipeline.mix(spark, docs, sf)), {}
+    for r in mixing.taken(odd.select("doc_id", "text", "source")).collect():
+        targets.setdefault(r.source_size, r.target)
+    size, took, largest = Counter(), Counter(), Counter()
+    for (_, t, _, s), n in given.items():
+        size[s] += words(t) * n
+        largest[s] = max(largest[s], words(t))
+    for (_, t, _, s), n in mixed.items():
+        took[s] += words(t) * n
+        assert words(t) and n <= 2 * given[next(k for k in given if k[1] == t and k[3] == s)] * 2
+    assert all(abs(took[s] - targets[size[s]]) <= largest[s] / 2 + 1 for s in size)
+    told = sorted((str(r.doc_id), r.decoded_sha256) for r in corpus_pipeline.encode(spark, docs, sf).collect())
+    assert told == sorted((str(d), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in odd_rows)
 
 
 def test_pipeline_links_from_080(spark, sf):
