@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +132,23 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back; where there is none, nothing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for the stages to come, beside the JVM that then needs it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about most_bytes of text, or one row that is longer."""
+    """Cut batches so that each holds about most_bytes of text, or one row that is longer. At the end of a task its memory is given back."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -142,6 +159,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most_bytes, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 def byte_table(separators: bytes) -> np.ndarray:

@@ -11,14 +11,15 @@ is told; a very long text is one row of counts, taken whole; repeated rows each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, pack, sample_share, slices, splitmix, summed
+from .common import U64, give_back, pack, sample_share, slices, splitmix, summed
 
 #: Labelled documents of each language, about, on which weights are fitted; a quarter as many set the temperature.
 FIT_PER_LANGUAGE = 800
@@ -158,7 +159,7 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
     # the share makes the sample about 1.25 * per_language a language; where chance or repeated texts make it larger, the least hashes stay
     bounded = sample.orderBy(F.xxhash64("text", F.lit(3)), "lang", "text").limit(5 * per_language * len(names))
     # the sample is fitted where it lies: only the model's table comes to the driver
-    got = bounded.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").coalesce(1).mapInArrow(_fitting(names, idf, epochs), "weights binary, temperature double, nonzero double").collect()
+    got = bounded.coalesce(1).mapInArrow(_fitting(names, idf, epochs), "weights binary, temperature double, nonzero double").collect()
     if not got:  # Spark saw that there is nothing to fit
         got = [dict(zip(("weights", "temperature", "nonzero"), _fit([], names, idf, epochs), strict=True))]
     table = np.frombuffer(bytes(got[0]["weights"]), np.float32).reshape(-1, len(names))
@@ -167,23 +168,39 @@ def train(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE, epochs: int
 
 def _fitting(names: list[str], idf: np.ndarray, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, t, nonzero = _fit(list(batches), names, idf, epochs)
+        # one function, so that one worker does it all
+        weights, t, nonzero = _fit(_counted(batches), names, idf, epochs)
+        give_back()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights], pa.binary()), "temperature": pa.array([t]), "nonzero": pa.array([nonzero])})
 
     return run
 
 
-def _fit(sample: list[pa.RecordBatch], names: list[str], idf: np.ndarray, epochs: int) -> tuple[bytes, float, float]:
+def _fit(sample: Iterable[pa.RecordBatch], names: list[str], idf: np.ndarray, epochs: int) -> tuple[bytes, float, float]:
     """Weights of buckets by language, over the temperature, in four bytes each; the temperature; and the share of weights that are not 0."""
-    at = [np.frombuffer(x, np.uint16) for b in sample for x in b.column(2).to_pylist()]
-    tf = (np.frombuffer(x, np.float32) for b in sample for x in b.column(3).to_pylist())
-    x = [(c / max(1.0, float(c.sum())) * idf[a]).astype(np.float32) for a, c in zip(at, tf, strict=True)]
+    langs, parts, ats, xs, sizes = [], [], [], [], []
+    for b in sample:
+        # a batch's rows end to end in two arrays: no small objects that keep a worker's memory
+        n = np.diff(np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset :][: b.num_rows + 1]) // 2
+        a = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16)
+        c = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float32)
+        row = np.repeat(np.arange(len(n)), n)
+        total = np.maximum(1.0, np.bincount(row, c, minlength=len(n)))
+        ats.append(a)
+        xs.append((c / total[row] * idf[a]).astype(np.float32))
+        sizes.append(n)
+        langs += b.column(0).to_pylist()
+        parts += b.column(1).to_pylist()
+    cat = lambda v, kind: np.concatenate(v) if v else np.empty(0, kind)
+    flat_at, flat_x, ends = cat(ats, np.uint16), cat(xs, np.float32), np.concatenate(([0], np.cumsum(cat(sizes, np.int64)))).astype(np.int64)
+    del ats, xs
+    at = [flat_at[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    x = [flat_x[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
     place = {k: i for i, k in enumerate(names)}
-    y = np.array([place[k] for b in sample for k in b.column(0).to_pylist()], np.int64)
-    part = np.array([k for b in sample for k in b.column(1).to_pylist()], np.int64)
+    y, part = np.array([place[k] for k in langs], np.int64), np.array(parts, np.int64)
     model, rng = Ftrl(1 << BITS, len(names)), np.random.default_rng(11)
     # the order must not depend on how tasks ended
-    order = sorted(np.flatnonzero(part == 0), key=lambda i: (y[i], len(at[i]), at[i].tobytes(), x[i].tobytes()))
+    order = sorted(np.flatnonzero(part == 0), key=lambda i: (y[i], len(at[i]), hashlib.sha1(at[i]).digest(), hashlib.sha1(x[i]).digest()))
     for _ in range(epochs):
         for i in rng.permutation(order).astype(np.int64) if len(order) else []:
             if len(at[i]):

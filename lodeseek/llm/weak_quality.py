@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, byte_table, sample_share, slices, span_hashes, text_buffer, word_spans
+from .common import SPACE, byte_table, give_back, sample_share, slices, span_hashes, text_buffer, word_spans
 
 #: Documents, about, on which the scorer is fitted; the labellers and the estimation see all.
 FIT_DOCUMENTS = 4_000
@@ -232,20 +232,22 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> dict:
     share = min(1.0, fit_documents / max(1.0, counts.sum()))
     sample = docs.where(sample_share(["doc_id", "text"], share)).select("text").orderBy(F.xxhash64("text", F.lit(3)), "text").limit(4 * fit_documents)
     # the sample is fitted where it lies: only the weights come to the driver
-    got = sample.mapInArrow(_rows_of_features, "pattern long, buckets binary, shares binary").coalesce(1).mapInArrow(_fitting(patterns, post), "weights binary, bias double").collect()
+    got = sample.coalesce(1).mapInArrow(_fitting(patterns, post), "weights binary, bias double").collect()
     w, b = (np.frombuffer(bytes(got[0]["weights"]), np.float64), got[0]["bias"]) if got else (np.zeros(BUCKETS), 0.0)
     return {"patterns": patterns, "posterior": post, "votes": theta, "good": good, "weights": w, "bias": b}
 
 
 def _fitting(patterns: np.ndarray, post: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = list(batches)
+        sample = list(_rows_of_features(batches))  # one function, so that one worker does it all
         cells = lambda i: [x for b in sample for x in b.column(i).to_pylist()]
         sizes = np.array([len(x) // 2 for x in cells(1)], np.int64)
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         bucket, value = np.frombuffer(b"".join(cells(1)), np.uint16), np.frombuffer(b"".join(cells(2)), np.float32)
         target = post[np.searchsorted(patterns, np.array(cells(0), np.int64))] if len(sizes) else np.empty(0)
         w, b = fit(row, bucket, value, target)
+        del sample, row, bucket, value
+        give_back()
         yield pa.RecordBatch.from_pydict({"weights": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([float(b)])})
 
     return run
