@@ -181,7 +181,7 @@ def encode_pieces(pieces: list[str], r: Ranks) -> list[np.ndarray]:
             n = len(p)
             groups.setdefault(n if n <= 16 else 16 << ((n - 1) // 16).bit_length(), []).append(i)
     for width, members in groups.items():
-        step = max(1, (1 << 20) // width)
+        step = max(1, (1 << 18) // width)
         for lo in range(0, len(members), step):
             some = members[lo : lo + step]
             flat = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in some), np.uint8).reshape(len(some), width)
@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, *keep: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, cut = ranks(rank_file), regex.compile(pattern)
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             ids, off = encode(part.column(1).to_pylist(), r, cut)
             back, ends = decode(ids, r)
             small = ids.astype("<u4")
