@@ -124,6 +124,7 @@ SELECT doc_id, CAST(o AS INT) AS byte_offset, CAST(max(line) AS INT) AS line, CA
 FROM s, (VALUES (0), (7), (500), (100000)) AS t(o) WHERE begins <= least(o, n) GROUP BY doc_id, o"""
 
 
+@query("m10_place_bytes", _PLACE_SQL)
 @query("m10_place", _PLACE_SQL)
 def _m10(spark, sf_dir):
     """Offsets in the bytes of all texts, whatever their characters."""
