@@ -95,7 +95,7 @@ REWRITTEN = "struct<after:string,replacements:int,hit_pass_limit:boolean,error:s
 
 
 def rewritten(files: DataFrame, pattern: str, template: str, lang: str = AUTO, hits: DataFrame | None = None) -> DataFrame:
-    """files(path, source_language, text) that the rewrite changes, before and after; only those with hits, if hits are given.
+    """files(path, source_language, text) that the rewrite changes, before and after, with their text_encoding if they have one; only those with hits, if hits are given.
 
     A rewrite that does not end within the pass limit has an error and no text after it, so none is written half rewritten."""
     check(pattern, lang)
@@ -118,35 +118,50 @@ def rewritten(files: DataFrame, pattern: str, template: str, lang: str = AUTO, h
 
     word = _literal(pattern)
     some = files.where(F.contains("text", F.lit(word))) if word else files
-    out = some.select("path", "source_language", F.col("text").alias("before"), apply("text", "source_language").alias("r"))
-    return out.select("path", "source_language", "before", "r.*").where("replacements > 0 OR error IS NOT NULL")
+    keep = ["path", "source_language", *(["text_encoding"] if "text_encoding" in files.columns else [])]
+    out = some.select(*keep, F.col("text").alias("before"), apply("text", "source_language").alias("r"))
+    return out.select(*keep, "before", "r.*").where("replacements > 0 OR error IS NOT NULL")
 
 
-def write_back(preview: DataFrame, target: str, encoding: str = "Utf8") -> DataFrame:
+def write_back(preview: DataFrame, target: str, encoding: str | None = None) -> DataFrame:
     """Write every changed file below the folder target, by its path; a row for each file with an error where it could not be written.
 
-    Files are written where they belong only if the target is their root; each on its own, so a failure leaves the others.
-    A path that leads out of the target is an error. The folder must be one that all executors share."""
+    Each file goes back in its own text_encoding, if the preview has that column, or else in UTF-8; encoding overrides both.
+    A file is first written whole under a hidden name beside its place and then renamed, so a task that is lost leaves the
+    old file or the new one, never a part, and may simply run again. Files are written where they belong only if the target
+    is their root. A path that leads out of the target is an error. The folder must be one that all executors share."""
     from ...functions import encodings
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
         from pathlib import Path
 
         for pdf in batches:
             errors = []
-            for path, after in zip(pdf["path"], pdf["after"], strict=True):
+            for path, after, name in zip(pdf["path"], pdf["after"], pdf["text_encoding"], strict=True):
+                staged = None
                 try:
                     if ".." in path.split("/"):
                         raise OSError(f"{path} leads out of the folder")
+                    raw = encodings.encode(after, name)
                     p = Path(target) / path.lstrip("/")
                     p.parent.mkdir(parents=True, exist_ok=True)
-                    p.write_bytes(encodings.encode(after, encoding))
+                    staged = p.with_name(f".{uuid.uuid4().hex}.part")
+                    staged.write_bytes(raw)
+                    if p.exists():
+                        staged.chmod(p.stat().st_mode)
+                    os.replace(staged, p)
                     errors.append(None)
-                except (OSError, encodings.DecodeError) as e:
+                except (OSError, LookupError, encodings.DecodeError) as e:
                     errors.append(str(e))
+                    if staged is not None:
+                        staged.unlink(missing_ok=True)
             yield pd.DataFrame({"path": pdf["path"], "error": errors})
 
-    return preview.where("after IS NOT NULL").select("path", "after").mapInPandas(write, "path string, error string")
+    own = F.col("text_encoding") if "text_encoding" in preview.columns else F.lit(None)
+    name = F.coalesce(F.lit(encoding), own, F.lit("Utf8")).alias("text_encoding")
+    return preview.where("path IS NOT NULL AND after IS NOT NULL").select("path", "after", name).mapInPandas(write, "path string, error string")
 
 
 def include_rows(files: DataFrame) -> DataFrame:

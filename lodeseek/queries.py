@@ -561,7 +561,7 @@ def _j2(spark, sf_dir):
 def _s1(spark, sf_dir):
     from .sources import tree as files
 
-    return files.scan(spark, sf_dir).select("path", "length")
+    return files.listing(spark, sf_dir)
 
 
 @query("d1_decode", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'Utf16Be' ELSE 'Utf8' END AS text_encoding, md5(text) AS digest FROM documents")

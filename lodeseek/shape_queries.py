@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import search
@@ -211,6 +213,44 @@ def _encode(spark, sf_dir):
     return rows.where("encoding NOT IN ('Auto', 'Utf16Le', 'Utf16Be')").select("id", "encoding", F.hex(encodings.encoded(F.col("text"), F.col("encoding"))).alias("bytes"))
 
 
+# ---------------------------------------------------------------- trees of files (s1, s2, f5), written in their encodings (x3, x6)
+
+FOLDERS = ["a", "a/b", "skipped/c", "_own/deep/er"]
+_FILES_SQL = f"""(SELECT folder || '/' || c_custkey || '.txt' AS path, bytes || hex('' || c_nationkey) AS content
+FROM {_BYTES_SQL} JOIN (VALUES {_values(list(enumerate(FOLDERS)))}) AS f(k, folder) ON c_custkey % {len(FOLDERS)} = k
+WHERE told IS NOT NULL AND preference NOT IN ('Auto', 'Utf16Le', 'Utf16Be'))"""
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a tree with a file for each customer, in one of nine encodings."""
+    from .cluster import checkpoint_folder
+    from .operators.syntax import spark as syntax
+
+    root = f"{checkpoint_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = F.concat(_shape("c_custkey", [F.lit(x) for x in FOLDERS]), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    text = _shape("c_custkey", [F.concat(F.lit(t), F.col("c_nationkey").cast("string")) for _, _, t, _ in BYTES])
+    rows = table(spark, sf_dir, "customer").select(path.alias("path"), text.alias("after"), _shape("c_custkey", [F.lit(p) for p, *_ in BYTES]).alias("text_encoding"))
+    rows = rows.where("after IS NOT NULL AND text_encoding NOT IN ('Auto', 'Utf16Le', 'Utf16Be')")
+    syntax.write_back(rows, f"{root.removeprefix('file:')}/tree").write.parquet(f"{root}/errors")
+    return f"{root}/tree"
+
+
+@query("x6_encodings", f"SELECT path, content FROM {_FILES_SQL}")
+def _encodings(spark, sf_dir):
+    """What stands in files that were written back, each in the encoding that was recorded for it."""
+    from .sources import tree as files
+
+    return files.scan(spark, _written_tree(spark, sf_dir)).select("path", F.hex("content").alias("content"))
+
+
+@query("s1_tree", f"SELECT path, len(content) // 2 AS length FROM {_FILES_SQL} WHERE path NOT LIKE 'skipped/%' AND len(content) <= 16")
+def _tree(spark, sf_dir):
+    """A listing by levels on executors, without a skipped folder and files over 8 bytes."""
+    from .sources import tree as files
+
+    return files.scan(spark, _written_tree(spark, sf_dir), "skipped", 8).select("path", "length")
+
+
 # ---------------------------------------------------------------- reports (k1 to k4) and rendering (p13)
 
 _REPORT_SQL = f"""WITH {_LINES_SQL}, {_TREE_SQL}, h AS (

@@ -15,6 +15,7 @@ from .functions import encodings, regexes
 from .operators import explain, match
 from .operators.syntax import matcher
 from .operators.syntax.spark import _rows as syntax_rows
+from .sources.tree import TreeSource
 
 _HIT = match.HIT
 
@@ -74,6 +75,7 @@ def decode_auto(raw: bytes) -> str | None:
 
 
 def register(spark: SparkSession) -> None:
+    spark.dataSource.register(TreeSource)
     tables = {
         "search_regex": (SearchRegex, _HIT), "search_plain": (SearchPlain, _HIT), "search_token": (SearchToken, _HIT),
         "search_syntax": (SearchSyntax, f"{_HIT}, recv_type_hint string"), "regex_tokens": (RegexTokens, "no int, kind string, token string, depth int, label string"),

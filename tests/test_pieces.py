@@ -132,6 +132,11 @@ def test_tree(spark, root):
 
     assert sorted(r.path for r in tree.scan(spark, root, "node_modules").collect()) == ["_own/b.py", "a.py", "bin.py", "jis.txt", "pkg/__init__.py"]
     assert sorted(r.path for r in tree.scan(spark, root, "", 7).collect()) == ["node_modules/d.py", "pkg/__init__.py"]
+    spark.dataSource.register(tree.TreeSource)
+    by_source = spark.read.format("file_tree").option("skipDirs", "node_modules").load(root)
+    rows = lambda df: sorted(tuple(r) for r in df.select("path", "length", "content").collect())
+    assert rows(by_source) == rows(tree.scan(spark, root, "node_modules")) == rows(tree.scan(spark, f"file://{root}", "node_modules"))
+    assert tree.scan(spark, f"{root}/nowhere").count() == 0
     c = SearchConditions(root, "x", search_mode=PLAIN)
     got = {r.path: (r.text, r.text_encoding) for r in tree.files(spark, c).collect()}
     assert got["_own/b.py"] == ("é x", "Utf16Le") and got["a.py"][1] == "Utf8" and "bin.py" not in got and "jis.txt" in got

@@ -155,6 +155,20 @@ def test_write_back(spark, tmp_path):
     assert [r.path for r in errors] == ["b.py"]
 
 
+def test_write_back_in_recorded_encodings(spark, tmp_path):
+    (tmp_path / "jis.py").write_bytes("f('日本')".encode("cp932"))
+    files = [("jis.py", "Python", "ShiftJis", "f('日本')"), ("wide.py", "Python", "Utf16Be", "f(1)"), ("late.py", "Python", "Windows1252", "f('日')"), ("none.py", "Python", None, "f(2)"), ("odd.py", "Python", "detected:nothing", "f(3)")]
+    preview = syntax.rewritten(spark.createDataFrame(files, "path string, source_language string, text_encoding string, text string"), "f($A)", "g($A)", "Python")
+    errors = {r.path: r.error for r in syntax.write_back(preview, str(tmp_path)).collect()}
+    assert {p for p, e in errors.items() if e is None} == {"jis.py", "wide.py", "none.py"} and len(errors) == 5
+    assert (tmp_path / "jis.py").read_bytes() == "g('日本')".encode("cp932")
+    assert (tmp_path / "wide.py").read_bytes() == b"\xfe\xff" + "g(1)".encode("utf-16-be") and (tmp_path / "none.py").read_bytes() == b"g(2)"
+    # nothing is left half done, not even where a file could not be put in its place
+    (tmp_path / "taken").mkdir()
+    taken = spark.createDataFrame([("taken", "x")], "path string, after string")
+    assert syntax.write_back(taken, str(tmp_path)).first().error and not list(tmp_path.glob("**/*.part"))
+
+
 def test_include_closure(spark):
     rows = [("a.cpp", '#include "x/b.h"\n'), ("x/b.h", '#include "../c.h"\n#include <none.h>'), ("c.h", '#include "x/b.h"\n'), ("d.cpp", "")]
     got = {(r.path, r.target): r.depth for r in syntax.include_closure(spark.createDataFrame(rows, "path string, text string")).collect()}
