@@ -17,6 +17,14 @@ from lodeseek.llm.common import numbered, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share so many hundredths of their five-word shingles at least; op6's own query is stricter.
 NEAR = 80
+#: Bytes of one batch of rows on its way to Python. Spark's own bound of 64 MB is held several times over in each task, by
+#: the JVM while a batch grows and by the worker that reads it; results do not depend on how rows are cut into batches.
+BATCH_BYTES = "8m"
+
+
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Those are all whose text is null, empty or without a letter. Rows of equal texts stay or go together. Where no row
     has a language to learn from, none is likely, and all go."""
-    ship(spark)
+    _ready(spark)
     found = langid.identify(docs.select(*COLUMNS), *COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (found["score"] >= langid.REJECT_BELOW)).select(*COLUMNS)
 
@@ -33,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer does not keep go.
 
     Those are all whose text is null or has no word. Rows of equal texts stay or go together."""
-    ship(spark)
+    _ready(spark)
     return weak_quality.classify(docs.select(*COLUMNS), *COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -41,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays, the first by id, null ids last; of equal ids any one row.
 
     A row without words, null texts among them, is like no other and stays."""
-    ship(spark)
+    _ready(spark)
     # by row, not by doc_id: ids may be null or stand in rows of different texts
     rows = numbered(docs.select(*COLUMNS))
     gone = setsketch.redundant(rows.select("row_no", "doc_id", "text"), NEAR)
@@ -55,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing, but for one document in each source, the one at which its words are full. Documents are not cut: that one
     stands once more or not at all, so a source's words are within half of that document's of the target. Texts that
     are null or without words have no share, and go; repeated rows count each."""
-    ship(spark)
+    _ready(spark)
     rows = numbered(docs.select(*COLUMNS))
     mixture, placed = mixing.mixture(rows.select("doc_id", "text", "source", "row_no"), 0, mixing.BLOCK, "row_no")
     words = mixture.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
@@ -66,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row of the mix; a null text is an empty one, with no tokens."""
-    ship(spark)
+    _ready(spark)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id")
 
 
