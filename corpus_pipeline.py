@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = 80
 #: Bytes of one batch of rows on its way to Python. Spark's own bound of 64 MB is held several times over in each task, by
 #: the JVM while a batch grows and by the worker that reads it; results do not depend on how rows are cut into batches.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def _ready(spark: SparkSession) -> None:

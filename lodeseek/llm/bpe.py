@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, *keep: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, cut = ranks(rank_file), regex.compile(pattern)
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 18):
             ids, off = encode(part.column(1).to_pylist(), r, cut)
             back, ends = decode(ids, r)
             small = ids.astype("<u4")
