@@ -193,6 +193,17 @@ def test_batch(spark):
         search.run_batch(lambda _: df, [jobs[2]])
 
 
+def test_batch_totals_beyond_the_default_cap(spark, tmp_path):
+    """a6_failed counts every hit, as its SQL does, also where there are more than searches return by default."""
+    from lodeseek import queries
+    from lodeseek.plans.conditions import DEFAULT_MAX_HITS
+
+    each = DEFAULT_MAX_HITS // 2 + 1
+    docs = [(i, "er no\n" * each, "en", "s", 6 * each) for i in (1, 2)] + [(3, "none", "en", "s", 4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert tuple(queries.QUERIES["a6_failed"](spark, str(tmp_path)).first()) == (3, 2, 2 * each, 2)
+
+
 def test_streaming_search(spark, tmp_path):
     from lodeseek.streaming import search as streaming
 
