@@ -8,8 +8,10 @@ The tree has two storeys. The upper one, fitted on at most FIT_ROWS rows of leas
 row goes to its cell, and each cell is dealt into blocks of about BLOCK rows. The lower one is built in each block over
 all its rows, down to leaves of LEAF rows. A search goes to the blocks of its nearest cell first; the score of its k-th
 row then keeps it out of all cells whose bound is worse, and the rest get it in a second turn. Within a block, searches
-take its leaves nearest first (a batch of searches at a time), skip those outside of their annulus, and end when the
-next bound is beyond their k-th row. Bounds only ever skip rows that cannot be in a result, so results are exact.
+take its leaves nearest first (a batch of searches at a time, twice as many leaves in each turn), skip those outside of
+their annulus, and end when the next bound is beyond their k-th row. Bounds only ever skip rows that cannot be in a
+result, so results are exact. How much they skip is up to the vectors: where those have clusters, most leaves; among
+vectors that point anywhere in many dimensions, hardly any, and then anchors times rows inner products are made.
 
 A block is the state of one task while its searches stream past; no group of searches is gathered. Of rows with the
 same vector and label only the MOST first by vec_id can be in a result, as equal rows have equal scores; the others
@@ -56,17 +58,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray, safe: bool) -> np.ndarray:
-    """Integer inner products; by floating point where no sum can leave the whole numbers it holds."""
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if safe else a @ b.T
-
-
 class Space:
-    """Distances of augmented vectors: how wide they are, the largest squared norm, and whether sums are exact in float64."""
+    """Distances of augmented vectors: how wide they are, the largest squared norm, and the narrowest numbers that hold all inner products exactly."""
 
     def __init__(self, width: int, most: int, largest: float):
         self.width, self.most = width, float(most)
-        self.safe = width * largest * largest < 2.0**52
+        sums = width * largest * largest
+        self.exact = np.float32 if sums < 2.0**23 else np.float64 if sums < 2.0**52 else np.int64
 
     def raised(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -162,17 +160,26 @@ class Cells:
 # ---------------------------------------------------------------- searches in a block
 
 
+#: Candidates of a batch of searches are sifted to k for each when there are so many, whatever ties make of them.
+SIFTED = 1 << 18
+
+
 class Block:
-    """The lower storey over one block's rows, in (vec_id, uid) order."""
+    """The lower storey over one block's rows, in (vec_id, uid) order; leaf by leaf beside it, in numbers that hold inner products."""
 
     def __init__(self, space: Space, uid, vec_id, label, vec: np.ndarray):
         order = np.lexsort((uid, vec_id))
-        self.uid, self.vec_id, self.label, self.vec = uid[order], vec_id[order], label[order], vec[order]
-        self.space, self.tree = space, Tree(space.raised(self.vec), LEAF)
+        self.uid, self.vec_id, self.label = uid[order], vec_id[order], label[order]
+        raised = space.raised(vec[order])
+        self.space, self.tree = space, Tree(raised, LEAF)
         self.leaves = [np.sort(x) for x in self.tree.leaves]
+        self.vecs = [np.ascontiguousarray(vec[order[x]].astype(space.exact).T) for x in self.leaves]
 
     def nearest(self, vec, label, same, uid, lo, hi, floor, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each search its k best rows here: (search, row, score). floor: no lower score can be of use."""
+        """For each search its k best rows here: (search, row, score). floor: no lower score can be of use.
+
+        Each turn takes twice as many leaves as the last one, nearest first, so that where bounds keep little out, as
+        among vectors without clusters, most rows meet the k-th score of half of them and only few are looked at twice."""
         n, space = len(vec), self.space
         squared = (vec.astype(np.float64) ** 2).sum(1)
         low, high = self.tree.bounds(space.of_anchor(vec))
@@ -181,30 +188,52 @@ class Block:
         scores = np.full((n, k), -(1 << 62), np.int64)
         rows = np.full((n, k), len(self.uid), np.int64)
         order = np.argsort(low, axis=1, kind="stable")
-        least = np.maximum(lo, floor)
-        for turn in range(order.shape[1]):
-            leaf = order[:, turn]
-            at = np.arange(n)
-            farthest = space.distance(squared, np.maximum(np.maximum(least, scores[:, -1]), -_WIDE)) + slack
-            going = (low[at, leaf] <= farthest)
-            if not going.any():
+        asked, wanted = vec.astype(space.exact), np.maximum(lo, floor)
+        turn, many = 0, 1
+        while turn < order.shape[1]:
+            farthest = space.distance(squared, np.maximum(np.maximum(wanted, scores[:, -1]), -_WIDE)) + slack
+            these = order[:, turn : turn + many]
+            near = np.take_along_axis(low, these, 1) <= farthest[:, None]
+            if not near.any():
                 break
-            going &= high[at, leaf] >= nearest
-            for k_leaf in np.unique(leaf[going]):
-                some = np.flatnonzero(going & (leaf == k_leaf))
-                these = self.leaves[k_leaf]
-                s = products(vec[some], self.vec[these], space.safe)
-                fits = (self.label[these][None, :] == label[some][:, None]) == same[some][:, None]
-                fits &= (self.uid[these][None, :] != uid[some][:, None]) & (s >= least[some][:, None]) & (s <= hi[some][:, None])
-                s = np.where(fits, s, -(1 << 62))
-                both = np.concatenate((scores[some], s), axis=1)
-                which = np.concatenate((rows[some], np.where(fits, these[None, :], len(self.uid))), axis=1)
+            going = np.zeros(low.shape, bool)
+            np.put_along_axis(going, these, near & (np.take_along_axis(high, these, 1) >= nearest[:, None]), 1)
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
+            for leaf in np.flatnonzero(going.any(0)):
+                some, members = np.flatnonzero(going[:, leaf]), self.leaves[leaf]
+                least = np.maximum(wanted[some], scores[some, -1])
+                s = asked[some] @ self.vecs[leaf]
+                i, c = np.nonzero(s >= least.astype(space.exact)[:, None])
+                q, row, score = some[i], members[c], s[i, c].astype(np.int64)
+                fits = (self.label[row] == label[q]) == same[q]
                 # rows are numbered by vec_id, so ties go to the smaller one
-                best = np.lexsort((which, -both), axis=1)[:, :k]
-                scores[some], rows[some] = np.take_along_axis(both, best, 1), np.take_along_axis(which, best, 1)
+                fits &= (self.uid[row] != uid[q]) & (score <= hi[q]) & ((score > scores[q, -1]) | (row < rows[q, -1]))
+                held.append((q[fits], row[fits], score[fits]))
+                size += len(held[-1][0])
+                if size > SIFTED:
+                    self._sift(held, scores, rows)
+                    held, size = [], 0
+            if size:
+                self._sift(held, scores, rows)
+            turn, many = turn + many, 2 * many
         q, c = np.nonzero(rows < len(self.uid))
         return q, rows[q, c], scores[q, c]
 
+    @staticmethod
+    def _sift(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scores: np.ndarray, rows: np.ndarray) -> None:
+        """Take candidates (search, row, score) into each search's best ones, in place."""
+        k = scores.shape[1]
+        q, row, score = (np.concatenate(x) for x in zip(*held, strict=True))
+        some = np.unique(q)
+        q = np.concatenate((np.repeat(some, k), q))
+        row, score = np.concatenate((rows[some].ravel(), row)), np.concatenate((scores[some].ravel(), score))
+        order = np.lexsort((row, -score, q))
+        q, row, score = q[order], row[order], score[order]
+        # every search has its k former ones here at least, so its first k are never another's
+        at = (np.searchsorted(q, some)[:, None] + np.arange(k)).ravel()
+        scores[some], rows[some] = score[at].reshape(-1, k), row[at].reshape(-1, k)
+
 
 # ---------------------------------------------------------------- Spark
 

@@ -63,3 +63,45 @@ def test_odd_rows(spark, monkeypatch):
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**20 + i), float(i * 3)], i % 3) for i in range(120)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_few_rows_are_sorted_where_bounds_keep_none_out(monkeypatch):
+    """Among vectors without clusters every row is met, but only those near a search's k-th score may be put in order."""
+    g = np.random.default_rng(5)
+    n, searches, k = 3000, 100, 10
+    vec = g.integers(-60, 60, size=(n, 64))
+    label, anchors = g.integers(0, 10, n), vec[:searches]
+    space = hard_negatives.Space(64, int((vec * vec).sum(1).max()), float(np.abs(vec).max()))
+    block = hard_negatives.Block(space, np.arange(n), np.arange(n), label, vec)
+    lexsort, sizes = np.lexsort, []
+
+    def counted(keys, axis=-1):
+        sizes.append(np.asarray(keys[0]).size)
+        return lexsort(keys, axis)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    lo, hi = np.zeros(searches, np.int64), np.full(searches, 50_000)
+    q, row, score = block.nearest(anchors, label[:searches], np.zeros(searches, bool), np.arange(searches), lo, hi, lo, k)
+    want = []
+    for i, s in enumerate(anchors @ vec.T):
+        fits = np.flatnonzero((label != label[i]) & (s >= 0) & (s <= 50_000))
+        want += [(i, int(j), int(s[j])) for j in fits[lexsort((fits, -s[fits]))][:k]]
+    assert sorted(zip(q.tolist(), row.tolist(), score.tolist(), strict=True)) == sorted(want)
+    assert sum(sizes) < searches * n // 5
+
+
+@pytest.mark.parametrize("sifted", [50, 1 << 18])
+def test_ties_are_sifted_alike(monkeypatch, sifted):
+    monkeypatch.setattr(hard_negatives, "SIFTED", sifted)
+    g = np.random.default_rng(6)
+    vec, label = g.integers(-1, 2, size=(900, 3)), g.integers(0, 3, 900)
+    anchors = np.concatenate((vec[:40], np.zeros((10, 3), np.int64)))
+    space = hard_negatives.Space(3, 3, 1.0)
+    block = hard_negatives.Block(space, np.arange(900), np.arange(900), label, vec)
+    lo, hi = np.full(50, -5), np.full(50, 2)
+    q, row, score = block.nearest(anchors, label[:50], np.ones(50, bool), np.arange(50), lo, hi, lo, 5)
+    want = []
+    for i, s in enumerate(anchors @ vec.T):
+        fits = [j for j in np.flatnonzero((label == label[i]) & (s <= 2)) if j != i]
+        want += [(i, int(j), int(s[j])) for j in sorted(fits, key=lambda j: (-s[j], j))[:5]]
+    assert sorted(zip(q.tolist(), row.tolist(), score.tolist(), strict=True)) == sorted(want)
