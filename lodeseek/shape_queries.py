@@ -12,6 +12,7 @@ from .plans import conditions
 from .plans.conditions import PLAIN, SearchConditions
 from .queries import _LINES_SQL, _TREE_SQL, _line_hits_sql, query, table, tree
 from .sinks import report
+from .sources.tables import spread
 
 
 def _quoted(*values: object) -> str:
@@ -19,7 +20,8 @@ def _quoted(*values: object) -> str:
 
 
 def _shaped(rows: DataFrame, key: str, shapes: list[tuple[str, str]], *values: str) -> DataFrame:
-    """files(path, text): to each row the shape of its key's remainder, with the values printed into it."""
+    """files(path, text): to each row the shape of its key's remainder, with the values printed into it. On all cores, as syntax takes long and tables may be one file."""
+    rows = spread(rows.select(key, *values))
     ext = F.element_at(F.array(*[F.lit(e) for e, _ in shapes]), (F.col(key) % len(shapes) + 1).cast("int"))
     text = F.coalesce(*[F.when(F.col(key) % len(shapes) == i, F.format_string(t, *values)) for i, (_, t) in enumerate(shapes)])
     return rows.select(F.concat(F.col(key).cast("string"), F.lit("."), ext).alias("path"), text.alias("text"))
@@ -134,7 +136,7 @@ def _rewrites(spark, sf_dir):
     """Rewrites in several languages; each customer's text takes one of them."""
     from .operators.syntax import spark as syntax
 
-    customers, out = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), None
+    customers, out = spread(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"))), None
     for i, (lang, text, pattern, template, _, _) in enumerate(REWRITES):
         files = customers.where(F.col("c_custkey") % len(REWRITES) == i).select(F.col("c_custkey").cast("string").alias("path"), F.lit(lang).alias("source_language"), F.replace(F.lit(text), F.lit("@"), "nation").alias("text"))
         one = syntax.rewritten(files, pattern, template, lang).select(F.col("path").cast("long").alias("id"), F.col("before").alias("before_"), F.col("after").alias("after_"), "replacements")

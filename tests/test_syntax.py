@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodeseek import queries
 from lodeseek.functions.regexes import PatternError
 from lodeseek.operators import explain, search, suggest
 from lodeseek.operators.syntax import matcher, receivers
@@ -202,3 +203,24 @@ def test_explain():
 def test_qualified_calls():
     yes, no = ["a::b($X)", " ns::f() "], ["a.b()", "a::b();", "x = a::b()", "if (a::b())", "return a::b()", "a::b() {}"]
     assert all(map(matcher.looks_like_qualified_call, yes)) and not any(map(matcher.looks_like_qualified_call, no))
+
+
+def test_expressions_are_only_looked_for_where_the_pattern_may_begin(monkeypatch):
+    asked, ends = [], matcher.Expressions.ends
+
+    def counted(self, i, level=None):
+        asked.append(i)
+        return ends(self, i, level)
+
+    source = "class A { void f() { " + "a(1, 2); b.c(3 + 4); " * 50 + "run(5, 5); } }"
+    matcher.strategies("run($A, $A)", "Java")
+    monkeypatch.setattr(matcher.Expressions, "ends", counted)
+    assert [source[h.start : h.end] for h in matcher.find(source, "run($A, $A)", "Java")] == ["run(5, 5)"]
+    assert len(asked) < 10
+
+
+@pytest.mark.parametrize("name", ["m9_same_name_of_all_languages", "m7_calls_of_all_languages", "m7_many_of_all_languages", "x1_rewrite_shapes"])
+def test_one_small_file_is_searched_on_all_cores(spark, sf, name):
+    found = queries.QUERIES[name](spark, sf)
+    assert queries.table(spark, sf, "customer").rdd.getNumPartitions() == 1
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism * (6 if name.startswith("x1") else 1)
