@@ -27,6 +27,17 @@ def ship(spark: SparkSession) -> None:
     sc._lodeseek_shipped = True
 
 
+#: Bytes of one batch of rows on its way to Python, where the session sets none. Spark's own bound of 64 MB is held several times over in each worker.
+BATCH_BYTES = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in small batches, so that a worker's memory does not grow with its partition. Results do not depend on how rows are cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     sc = spark.sparkContext

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import small_batches
+
 AUTO = "Auto"
 
 #: Encodings with their labels, aliases, and what they are taken for.
@@ -175,25 +179,29 @@ def encoded(text: Column, encoding: Column) -> Column:
 def decoded(files: DataFrame, preference: str = AUTO) -> DataFrame:
     """files(content, ...) with text and text_encoding instead of content; files that are no text are left out.
 
-    Well-formed UTF-8 without marks stays in the JVM; only the rest goes to Python."""
+    Well-formed UTF-8, with its mark or without one, stays in the JVM; only the rest goes to Python, in small batches."""
     from ..operators.filters import looks_binary as binary
 
-    @F.pandas_udf("struct<text:string,text_encoding:string>")
-    def slow(raw: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in raw:
-            try:
-                d = decode(bytes(b), preference) if b is not None else None
-            except DecodeError:
-                d = None
-            rows.append((d.text, d.encoding) if d else (None, None))
-        return pd.DataFrame(rows, columns=["text", "text_encoding"])
-
+    @F.arrow_udf("struct<text:string,text_encoding:string>")
+    def slow(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for raw in batches:
+            texts, names = [], []
+            for b in raw:
+                try:
+                    d = decode(b.as_py(), preference) if b.is_valid else None
+                except DecodeError:
+                    d = None
+                texts.append(d.text if d else None)
+                names.append(d.encoding if d else None)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(names, pa.string())], ["text", "text_encoding"])
+
+    small_batches(files.sparkSession)
     content: Column = F.col("content")
     rest = [c for c in files.columns if c != "content"]
-    marked = F.substring(content, 1, 2).isin(codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) | (F.substring(content, 1, 3) == F.lit(codecs.BOM_UTF8)) | (F.substring(content, 1, 4) == F.lit(codecs.BOM_UTF32_BE))
-    easy = (F.is_valid_utf8(content.cast("string")) & ~marked) if preference == AUTO else F.lit(False)
-    fast = files.where(easy).select(*rest, content.cast("string").alias("text"), F.lit("Utf8").alias("text_encoding"))
+    wide = F.substring(content, 1, 2).isin(codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) | (F.substring(content, 1, 4) == F.lit(codecs.BOM_UTF32_BE))
+    easy = (F.is_valid_utf8(content.cast("string")) & ~wide) if preference == AUTO else F.lit(False)
+    bare = F.when(F.substring(content, 1, 3) == F.lit(codecs.BOM_UTF8), F.expr("substring(content, 4)")).otherwise(content)
+    fast = files.where(easy).select(*rest, bare.cast("string").alias("text"), F.lit("Utf8").alias("text_encoding"))
     fast = fast.where(~binary(F.col("text")))
     hard = files.where(~easy).select(*rest, slow(content).alias("d")).where("d.text IS NOT NULL").select(*rest, "d.text", "d.text_encoding")
     return fast.unionByName(hard)

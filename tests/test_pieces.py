@@ -5,6 +5,7 @@ import subprocess
 import sys
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from lodeseek import cli
@@ -217,3 +218,31 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'm1_plain' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
+
+
+def test_decoding_sends_small_batches_to_python(spark):
+    """Files of one partition reach a worker 2 MB at a time; with a mark or without one, they are read as the plain function reads them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        mark, text = b"\xef\xbb\xbf", "é日本語\n" * 20_000
+        raws = {i: b"\xfe\xff" + (text + str(i)).encode("utf-16-be") for i in range(40)}
+        raws |= {100: mark + b"a", 101: mark + mark + b"b", 102: mark, 103: mark + b"\xff", 104: b"", 105: None, 106: mark + b"\x01\x02", 107: b"\x00\x00\xfe\xff\x00\x00\x00a", 108: b"\xff\xfe\x00\x00a\x00\x00\x00", 109: b"\xfe\xff\xd8\x00", 110: b"caf\xe9"}
+        files = spark.createDataFrame([(i, r) for i, r in raws.items()], "id int, content binary").coalesce(1)
+        found = encodings.decoded(files)
+        want = {}
+        for i, r in raws.items():
+            try:
+                d = encodings.decode(r) if r is not None else None
+            except encodings.DecodeError:
+                d = None
+            if d is not None:
+                want[i] = (d.text, d.encoding)
+        assert {r.id: (r.text, r.text_encoding) for r in found.collect()} == want and len(want) >= 44
+        sizes = files.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) < 4 << 20 and sum(r.n for r in sizes) > 6 << 20
+        marked = encodings.decoded(files.where("hex(substring(content, 1, 3)) = 'EFBBBF' AND is_valid_utf8(CAST(content AS STRING))"))
+        assert marked.count() == 3
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
