@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, Scratch, gram_hashes, slices, span_hashes, splitmix, text_buffer, word_spans, written
+from .common import LOWER, SPACE, U64, Scratch, gram_hashes, slices, span_hashes, splitmix, text_buffer, word_spans
+from .common import written as written_by_all
 
 WORDS = 5
 #: Pairs are linked from this similarity on, as a share of hundredths, unless the caller names another.
@@ -89,6 +90,17 @@ CLASS_SHARE = 1 / 32
 SALTS, PART = 16, 256
 
 
+#: A task that writes takes so many partitions of a shuffle, where there are many: to start a writer costs more than most of these tables' partitions do.
+PARTS_WRITTEN = 8
+
+
+def written(df: DataFrame, name: str, within: Scratch | None = None) -> DataFrame:
+    """df, which comes from a shuffle, as a table: shuffled and joined in all partitions, written by fewer tasks, four for each core at least."""
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS_WRITTEN)
+    return written_by_all(df.coalesce(tasks), name, within)
+
+
 def _factors(registers: int) -> np.ndarray:
     return splitmix(np.arange(1, registers + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
@@ -196,6 +208,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Bits of a bitmap for each of its keys, and the most that any has, as a power of two: 8 MB.
 KEY_BITS, MOST_BITS = 64, 26
+#: Tasks that bring a bitmap's words to the driver.
+WORD_TASKS = 8
 
 
 def _among(keys: DataFrame) -> Callable[[str], Column]:
@@ -207,7 +221,8 @@ def _among(keys: DataFrame) -> Callable[[str], Column]:
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(7)), F.lit(1 << bits))
     at = keys.select(place("key").alias("p"))
     bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
-    words = at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("held")).toArrow()
+    # a million words at most, whatever the keys: a few tasks bring them
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("held")).coalesce(WORD_TASKS).toArrow()
     table = np.zeros((1 << bits) // 64, np.int64)
     table[words["word"].to_numpy()] = words["held"].to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(table.view(U64))
@@ -249,22 +264,39 @@ def _buckets(members: DataFrame) -> DataFrame:
 MEMBER = ("node", "size", "company", "at", "d", "g")
 
 
-def _salt(salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64("node", F.lit(5)), F.lit(salts)).cast("int")
+def _salt(salts: int | Column = SALTS) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(5)), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
+
+
+def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """members with the component of each node in comp: itself, as long as it is not linked."""
+    if found is None:
+        return members.withColumn("comp", F.col("node"))
+    return members.join(found, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("comp"))
 
 
 def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader."""
-    held = held.select("bucket", *MEMBER)
-    comp = F.col("node") if found is None else F.coalesce("component", "node")
-    here = (held if found is None else held.join(found, "node", "left")).select("bucket", *MEMBER, comp.alias("comp"), _salt().alias("salt"))
+    """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader.
+
+    A bucket is kept or left as a whole, so its size n stays."""
+    here = _with_components(held.select("bucket", "n", *MEMBER), found)
     # one order of all nodes in each turn, so that a node leads in most of its buckets: first by company, as the original of
     # many copies is nearer to each of them than they are to each other, then at random
     order = F.col("company") if turn % 2 == 0 else F.lit(0).cast("long")
     first = F.max(F.struct(order.alias("by"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size"))
-    parts = here.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead"))
-    per = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("lead").alias("lead")).where("lo <> hi")
-    return here.join(parts.select("bucket", "salt").join(per.select("bucket", "n", "lead"), "bucket"), ["bucket", "salt"]).drop("salt")
+    per = here.groupBy("bucket", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead")).where("lo <> hi")
+    salts = F.least(F.lit(SALTS), 1 + F.floor(F.col("n") / SALTS)).cast("int")
+    told = per.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "lead")
+    return here.withColumn("salt", _salt(salts)).join(told, ["bucket", "salt"]).drop("salt")
+
+
+def _pairs_within(few: DataFrame, found: DataFrame | None, link: int) -> DataFrame:
+    """Pairs of different components in buckets of a few members each, that their sizes and places allow."""
+    members = _with_components(few.select("bucket", "node", "size", "at", "d", "g"), found)
+    lists = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "size", "at", "d", "g")).alias("m"))
+    room = f"(200 + 2 * {link}) * LEAST(x.d - x.at, y.d - y.at) >= x.g + y.g AND 100 * LEAST(x.size, y.size) >= {link} * GREATEST(x.size, y.size)"
+    met = f"FLATTEN(TRANSFORM(m, x -> TRANSFORM(FILTER(m, y -> x.node < y.node AND x.comp <> y.comp AND {room}), y -> NAMED_STRUCT('a', x.node, 'b', y.node))))"
+    return lists.select(F.explode(F.expr(met)).alias("p")).select("p.a", "p.b")
 
 
 def _all_pairs(here: DataFrame, link: int) -> DataFrame:
@@ -310,7 +342,7 @@ def _nearest(crowd: DataFrame) -> DataFrame:
     return near.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
 
 
-def _dealt(crowd: DataFrame, link: int) -> DataFrame:
+def _dealt(crowd: DataFrame, link: int, scratch: Scratch | None = None) -> DataFrame:
     """Buckets of shingles in which members differ from their leader: all links of f(x) + f(y) > |L| share one, at places that leave room for it.
 
     A bucket is named by the leader, a shingle, and the classes of the two members that meet in it."""
@@ -322,7 +354,7 @@ def _dealt(crowd: DataFrame, link: int) -> DataFrame:
     ordered = shared.groupBy("lead", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("diff"))
     whole = 200 + 2 * link
     kind = F.floor(F.col("g") / (whole * F.ceil(F.col("n_head") * CLASS_SHARE))).cast("int")
-    members = crowd.drop("diff").join(ordered, ["lead", "node"]).withColumn("d", F.size("diff").cast("long")).withColumn("kind", kind)
+    members = written(crowd.drop("diff").join(ordered, ["lead", "node"]).withColumn("d", F.size("diff").cast("long")).withColumn("kind", kind), "members", scratch)
     kinds = members.groupBy("lead", "kind").agg(F.min("g").alias("lo"), F.max("d").alias("most"), F.min("comp").alias("from_"), F.max("comp").alias("to"))
     kinds = kinds.groupBy("lead").agg(F.collect_list(F.struct("kind", "lo", "most", "from_", "to")).alias("kinds"))
     known = members.select("lead", "salt").distinct().join(kinds, "lead")
@@ -341,10 +373,10 @@ def _joined(found: DataFrame | None, more: DataFrame, scratch: Scratch) -> DataF
         return components(more, scratch)
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    moved = scratch.written(components(ends, scratch), "moved")
+    moved = components(ends, scratch)
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("into"))
     old = found.join(to, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    return old.union(moved.join(found, "node", "left_anti").select("node", "component"))
+    return written(old.union(moved.join(found, "node", "left_anti").select("node", "component")), "components", scratch)
 
 
 def links(classes: DataFrame, texts: DataFrame, small: int = SMALL, turns: int = TURNS, last_turns: int = LAST_TURNS, shape: Shape = _SHAPE) -> DataFrame | None:
@@ -361,77 +393,98 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
     keys = classes.select("node", "regs", "n_shingles").mapInArrow(lambda batches: _banded(batches, shape), "node long, size long, keys array<bigint>")
     members = keys.select("node", "size", F.explode("keys").alias("bucket"))
     # most keys have one member only, and end here
-    held = scratch.written(_buckets(members), "buckets")
-    held = held.join(held.groupBy("node").agg(F.sum("n").alias("company")), "node")
+    held = written(_buckets(members), "buckets", scratch)
+    wanted = written(held.groupBy("node").agg(F.sum("n").alias("company")), "wanted", scratch)
     # in buckets of bands, two sets can have no more in common than the smaller one has
-    held = held.select("bucket", "node", "size", "company", F.lit(0).cast("long").alias("at"), F.col("size").alias("d"), (2 * shape.link * F.col("size")).alias("g"))
-    wanted = scratch.written(held.select("node").distinct(), "wanted")
+    held = held.select("bucket", "n", "node", "size", F.lit(0).cast("long").alias("at"), F.col("size").alias("d"), (2 * shape.link * F.col("size")).alias("g"))
+    few = held.where(F.col("n") <= small) if turns else None
+    held = written((held.where(F.col("n") > small) if turns else held).join(wanted, "node"), "large", scratch)
     # most classes have no company in any band, and none of the pairs to come
-    near = scratch.written(classes.select("node", "doc_id", "n_shingles", "regs").where(_among(wanted.select(F.col("node").alias("key")))("node")).join(wanted, "node", "left_semi"), "near")
+    near = written(classes.select("node", "doc_id", "n_shingles", "regs").where(_among(wanted.select(F.col("node").alias("key")))("node")).join(wanted, "node", "left_semi"), "near", scratch)
     # texts stay where they are: who passes in vain is dropped by its node
     found_texts = texts.where(_among(near.select(F.col("doc_id").alias("key")))("doc_id")).select("text")
-    sets = scratch.written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets", scratch)
     tested = found = None
 
     def test(pairs: DataFrame) -> None:
         """Verify pairs that were not tested before, and join the components of those linked."""
         nonlocal tested, found
         new = pairs.distinct()
-        new = scratch.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs", scratch)
         if new.isEmpty():
             return
         tested = new if tested is None else tested.union(new)
-        more = scratch.written(similarities(new, near, sets, shape.hopeless).where(linked).select("a", "b"), "linked")
+        more = written(similarities(new, near, sets, shape.hopeless).where(linked).select("a", "b"), "linked", scratch)
         if not more.isEmpty():
-            found = scratch.written(_joined(found, more, scratch), "components")
+            found = _joined(found, more, scratch)
 
     for dealing, n_turns in ((False, turns), (True, last_turns)):
         if dealing:
-            crowd = scratch.written(_beside_leaders(here, sets, shape.link), "crowd")
+            crowd = written(_beside_leaders(here, sets, shape.link), "crowd", scratch)
             test(_nearest(crowd))
-            posts = scratch.written(_dealt(crowd, shape.link), "posts")
-            met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-            held = scratch.written(posts.join(met, "bucket", "left_semi"), "dealt")
+            posts = written(_dealt(crowd, shape.link, scratch), "posts", scratch)
+            met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            held = written(posts.join(met, "bucket"), "dealt", scratch)
+            few, held = (held.where(F.col("n") <= small), held.where(F.col("n") > small)) if last_turns else (None, held)
         for turn in range(n_turns):
-            here = scratch.written(_open(held, found, turn), "open")
-            if here.isEmpty():
+            here = written(_open(held, found, turn), "open", scratch)
+            stars, ends = _stars(here, shape.link), here.isEmpty()
+            if turn == 0:  # small buckets end here
+                stars = _pairs_within(few, found, shape.link).union(stars)
+            elif ends:
+                return found
+            test(stars)
+            if ends:
                 return found
-            test(_all_pairs(here.where(F.col("n") <= small), shape.link).union(_stars(here.where(F.col("n") > small), shape.link)))
-            held = here.where(F.col("n") > small)
-        here = scratch.written(_open(held, found, 0), "open")
+            held = here
+        here = written(_open(held, found, 0), "open", scratch)
         if here.isEmpty():
             return found
     test(_all_pairs(here, shape.link))
     return found
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links(a, b) of a batch as links of its nodes to the least of their component there, which is less."""
+    for batch in batches:
+        nodes, at = np.unique(np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while not np.array_equal(x := root[a], y := root[b]):
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(root, above := root[root]):
+                root = above
+        child = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[child], pa.int64()), "b": pa.array(nodes[root[child]], pa.int64())})
+
+
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """node and the least node of its component, for every node of edges(a, b).
+    """node and the least node of its component, for every node of edges(a, b): a written table.
 
-    Rounds of large and small stars: neighbours above a node link to its least neighbour, until nothing changes."""
-    both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", scratch)
-    before = None
+    Batches of links are contracted where they lie. Then rounds of large and small stars: neighbours above a node link to its
+    least neighbour, until every node has one neighbour below it, or some above it, and not both."""
+    long = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    now = written(long.mapInArrow(_contracted, "a long, b long"), "edges", scratch)
     while True:
-        all_ = both(now)
-        least = all_.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: neighbours greater than the node go to the least of its neighbourhood
-        big = all_.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        below = F.when(F.col("b") < F.col("a"), F.col("b"))
+        near = both.groupBy("a").agg(F.min("b").alias("m"), F.max(below).alias("below"), F.max("b").alias("most"))
+        near = written(near.select(F.col("a").alias("node"), F.least("a", "m").alias("component"), F.expr("below <> m OR below IS NOT NULL AND most > a").alias("open")), "least", scratch)
+        if near.where("open").isEmpty():
+            return near.select("node", "component")
+        # large star: neighbours greater than the node go to the least of its neighbourhood; all links of now go down
+        down = now.select(F.col("b").alias("node"), F.col("a").alias("child"))
+        big = written(down.join(near.select("node", "component"), "node").select(F.col("child").alias("a"), F.col("component").alias("b")), "big", scratch)
         # small star: the node and its lesser neighbours go to the least one
-        least2 = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least2.select("a", F.col("m").alias("b")))
+        least = big.groupBy("a").agg(F.min("b").alias("m"))
+        small = big.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b")))
         now = written(small.distinct(), "edges", scratch)
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
 def _classed(given: DataFrame, link: int, *ids: str) -> tuple[DataFrame, DataFrame]:
     """The sketches of given(*ids, text), doc_id among them, and node, least and component of every class; the least is of the ids, null ones last."""
     shape = shape_for(link)
-    rows = written(given.mapInArrow(lambda batches: _sketched(batches, shape), ", ".join([*(f"{i} long" for i in ids), SKETCH])), "sketches")
+    rows = written_by_all(given.mapInArrow(lambda batches: _sketched(batches, shape), ", ".join([*(f"{i} long" for i in ids), SKETCH])), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *ids)).alias("least")
     # a class is named by the 64-bit hash of its word sequence
     full = rows.where("n_shingles > 0").groupBy("node").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))

@@ -278,3 +278,37 @@ def test_keys_among_others(spark, monkeypatch):
         assert len(passed) < len(keys) + 2000 or bits == 6
     none = rows.where(setsketch._among(given.limit(0))("x"))
     assert none.count() == 0
+
+
+def test_small_tables_take_few_writers_and_rounds(spark, monkeypatch):
+    """With many shuffle partitions, tables of a turn are written by few tasks, and links that lie together take no round of stars."""
+    from pyspark.sql import functions as F
+
+    many = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        counts = spark.range(3000).groupBy((F.col("id") % 1000).alias("k")).count()
+        assert len(setsketch.written(counts, "counts").inputFiles()) <= max(26, 4 * spark.sparkContext.defaultParallelism)
+        names, put = [], setsketch.written
+        monkeypatch.setattr(setsketch, "written", lambda df, name, within=None: names.append(name) or put(df, name, within))
+        links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 55), (70, 70), (60, 50)], "a long, b long").coalesce(1)
+        got = {r.node: r.component for r in setsketch.components(links).collect()}
+        assert got == {i: 0 for i in range(31)} | {50: 50, 55: 50, 60: 50} and len(names) == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_of_small_buckets(spark):
+    """Pairs within small buckets are those that pairing by parts finds, whatever is linked already."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(b, i, rng.choice((100, 101, 90, 60)), 0, rng.randint(0, 60)) for b in range(40) for i in rng.sample(range(30), rng.randint(2, 6))]
+    held = spark.createDataFrame(rows, "bucket long, node long, size long, company long, at long").withColumns({"d": F.col("size"), "g": 2 * 85 * F.col("size")})
+    held = held.join(held.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    for found in (None, spark.createDataFrame([(i, i % 3) for i in range(9)], "node long, component long")):
+        want = {(r.a, r.b) for r in setsketch._all_pairs(setsketch._open(held, found, 1), 85).collect()}
+        assert {(r.a, r.b) for r in setsketch._pairs_within(held, found, 85).collect()} == want != set()
