@@ -80,10 +80,12 @@ def shape_for(link: int) -> Shape:
 
 _SHAPE = shape_for(LINK)
 REGISTERS = _SHAPE.registers
-#: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns.
+#: Buckets of up to so many classes are paired within; in larger ones all are set against a leader, in TURNS turns at most.
 SMALL, TURNS = 6, 3
-#: Turns in the buckets of first shingles, before what is open there is paired.
+#: Turns in the buckets of first shingles at most, before what is open there is paired.
 LAST_TURNS = 2
+#: A turn that links less than one in so many of the pairs it tests is the last: another would take all members again for as few links. What is left open is dealt out or paired, so no pair is lost.
+WORTH = 16
 #: Members of a crowd are dealt by classes of f; a class is this share of the leader's shingles wide.
 CLASS_SHARE = 1 / 32
 #: Parts of a bucket in joins, at most in turns, and members of a part in the last pairing.
@@ -276,17 +278,18 @@ def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def _open(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """Members of the buckets that lie in more than one component, with their own, the bucket's size, and its leader.
+    """Members of the buckets that lie in more than one component, with their own, the bucket's size, its leader in this turn, and in origin the one of turn 0.
 
-    A bucket is kept or left as a whole, so its size n stays."""
+    A bucket is kept or left as a whole, so its size n stays. Each member makes one row."""
     here = _with_components(held.select("bucket", "n", *MEMBER), found)
     # one order of all nodes in each turn, so that a node leads in most of its buckets: first by company, as the original of
     # many copies is nearer to each of them than they are to each other, then at random
     order = F.col("company") if turn % 2 == 0 else F.lit(0).cast("long")
     first = F.max(F.struct(order.alias("by"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size"))
-    per = here.groupBy("bucket", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead")).where("lo <> hi")
+    origin = F.max(F.struct(F.col("company").alias("by"), F.xxhash64("node", F.lit(0)).alias("h"), "node"))
+    per = here.groupBy("bucket", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("lead"), origin.alias("origin")).where("lo <> hi")
     salts = F.least(F.lit(SALTS), 1 + F.floor(F.col("n") / SALTS)).cast("int")
-    told = per.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "lead")
+    told = per.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "lead", "origin")
     return here.withColumn("salt", _salt(salts)).join(told, ["bucket", "salt"]).drop("salt")
 
 
@@ -406,26 +409,28 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
     sets = written(found_texts.mapInArrow(_sets, "node long, items array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets", scratch)
     tested = found = None
 
-    def test(pairs: DataFrame) -> None:
-        """Verify pairs that were not tested before, and join the components of those linked."""
+    def test(pairs: DataFrame) -> tuple[int, int]:
+        """Verify pairs that were not tested before, and join the components of those linked; the number of both."""
         nonlocal tested, found
         new = pairs.distinct()
         new = written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs", scratch)
-        if new.isEmpty():
-            return
+        if not (n_new := new.count()):
+            return 0, 0
         tested = new if tested is None else tested.union(new)
         more = written(similarities(new, near, sets, shape.hopeless).where(linked).select("a", "b"), "linked", scratch)
-        if not more.isEmpty():
+        if n_more := more.count():
             found = _joined(found, more, scratch)
+        return n_new, n_more
 
     for dealing, n_turns in ((False, turns), (True, last_turns)):
         if dealing:
-            crowd = written(_beside_leaders(here, sets, shape.link), "crowd", scratch)
+            crowd = written(_beside_leaders(here.withColumn("lead", F.col("origin")), sets, shape.link), "crowd", scratch)
             test(_nearest(crowd))
             posts = written(_dealt(crowd, shape.link, scratch), "posts", scratch)
             met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             held = written(posts.join(met, "bucket"), "dealt", scratch)
             few, held = (held.where(F.col("n") <= small), held.where(F.col("n") > small)) if last_turns else (None, held)
+        here = None
         for turn in range(n_turns):
             here = written(_open(held, found, turn), "open", scratch)
             stars, ends = _stars(here, shape.link), here.isEmpty()
@@ -433,13 +438,20 @@ def _links(classes: DataFrame, texts: DataFrame, small: int, turns: int, last_tu
                 stars = _pairs_within(few, found, shape.link).union(stars)
             elif ends:
                 return found
-            test(stars)
+            n_tested, n_linked = test(stars)
             if ends:
                 return found
             held = here
-        here = written(_open(held, found, 0), "open", scratch)
-        if here.isEmpty():
-            return found
+            if n_linked:
+                here = None  # components have changed
+            # the first turn also tests the pairs of small buckets, which tell nothing of large ones
+            if not n_linked or turn and n_linked * WORTH < n_tested:
+                break
+        # as long as no link has come since, the members of the last turn are those that are open
+        if here is None:
+            here = written(_open(held, found, 0), "open", scratch)
+            if here.isEmpty():
+                return found
     test(_all_pairs(here, shape.link))
     return found
 

@@ -312,3 +312,24 @@ def test_pairs_of_small_buckets(spark):
     for found in (None, spark.createDataFrame([(i, i % 3) for i in range(9)], "node long, component long")):
         want = {(r.a, r.b) for r in setsketch._all_pairs(setsketch._open(held, found, 1), 85).collect()}
         assert {(r.a, r.b) for r in setsketch._pairs_within(held, found, 85).collect()} == want != set()
+
+
+def test_turns_end_where_they_link_hardly_anything(spark, monkeypatch):
+    """A crowd that no turn links is told its leaders twice at most before it is dealt, and once after; rows grow with the members, and results are whole."""
+    for members in (40, 80):
+        rng = random.Random(11)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+        base, passage = [word() for _ in range(200)], [word() for _ in range(120)]
+        texts = [passage + [word() for _ in range(rng.randint(20, 40))] for _ in range(members)]
+        texts += [base[:i] + [word()] + base[i + 1 :] for i in rng.sample(range(200), 10)]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        sizes, put = {}, setsketch.written
+        with monkeypatch.context() as patched:
+            patched.setattr(setsketch, "written", lambda df, name, within=None: sizes.setdefault(name, []).append(put(df, name, within)) or sizes[name][-1])
+            # before the tables of the run go, none is counted: the last one, of components, is made within
+            counts, leave = {}, setsketch.Scratch.__exit__
+            patched.setattr(setsketch.Scratch, "__exit__", lambda self, *a: counts.update({n: [t.count() for t in sizes.get(n, [])] for n in ("open", "large", "dealt")}) or leave(self, *a))
+            got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect())
+        assert got == brute(rows, 80)
+        assert counts["large"][0] >= 2 * members and len(counts["dealt"]) == 1
+        assert sum(counts["open"]) <= 2 * counts["large"][0] + counts["dealt"][0], counts
